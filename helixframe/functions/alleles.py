@@ -50,7 +50,7 @@ def comma_item(text: Column, pos: Column | int) -> Column:
 
 def pipe_item(text: Column, pos: Column | int) -> Column:
     """Element of a pipe list, counted from 1; NULL out of range."""
-    return F.try_element_at(F.split(text, "[|]"), _index(pos))
+    return F.try_element_at(F.split(text, r"\|"), _index(pos))
 
 
 def _index(pos: Column | int) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..session import pin
 
@@ -18,8 +18,9 @@ def measured_bytes(df: DataFrame) -> int:
         if isinstance(field.dataType, StringType):
             lengths.append(F.octet_length(column))
         elif isinstance(field.dataType, ArrayType):
-            lengths.append(F.octet_length(F.array_join(column.cast("array<string>"), ",")) + F.size(column) * 8)
-        fixed += 16
+            texts = F.octet_length(F.array_join(column.cast("array<string>"), ","))
+            lengths.append(texts + F.size(column) * 8)
+        fixed += 16 * len(field.dataType.fields) if isinstance(field.dataType, StructType) else 16
     total = sum((F.coalesce(F.sum(c), F.lit(0)) for c in lengths), F.lit(0))
     rows, variable = df.agg(F.count("*"), total).first()
     return rows * fixed + variable

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import BITMAP_WORD, STATS_BIN, WEIGHT_BIN
 from ..functions.numbers import floor_to
@@ -28,14 +28,19 @@ def model_stats(alt_allele: DataFrame) -> DataFrame:
     ).agg(*measures)
 
 
+def _offset_words() -> tuple[Column, Column]:
+    """The bit of a row's offset in its bin, in the low or in the high word."""
+    offset = (F.col("location") % WEIGHT_BIN).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), offset % BITMAP_WORD)
+    nothing = F.lit(0).cast("bigint")
+    low = F.when(offset < BITMAP_WORD, bit).otherwise(nothing)
+    high = F.when(offset >= BITMAP_WORD, bit).otherwise(nothing)
+    return low, high
+
+
 def model_bitmaps(alt_allele: DataFrame) -> DataFrame:
     """Offsets seen in each 100-base bin, as two 50-bit words."""
-    offset = (F.col("location") % WEIGHT_BIN).cast("int")
-    one = F.lit(1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    bit = F.call_function("shiftleft", one, offset % BITMAP_WORD)
-    low = F.when(offset < BITMAP_WORD, bit).otherwise(zero)
-    high = F.when(offset >= BITMAP_WORD, bit).otherwise(zero)
+    low, high = _offset_words()
     return alt_allele.groupBy(floor_to(F.col("location"), WEIGHT_BIN).alias("bin")).agg(
         F.count("*").alias("entries"),
         F.bit_or(low).alias("low_bits"),
@@ -65,6 +70,45 @@ def model_spikes(alt_allele: DataFrame, min_share: float = 0.0) -> DataFrame:
     ).where(F.col("percentage") >= min_share)
 
 
+def model_bins(alt_allele: DataFrame) -> DataFrame:
+    """Weights, bitmaps and spikes of all bins in one pass.
+
+    Rows are counted per location and allele first; everything a bin needs follows from those
+    counts. ``bin_weights``, ``bin_bitmaps`` and ``bin_spikes`` show it as the separate tables.
+    """
+    counts = alt_allele.groupBy("location", "allele").agg(F.count("*").alias("_n"))
+    low, high = _offset_words()
+    best = F.max(F.struct("_n", (-F.col("location")).alias("_neg"), "allele"))
+    bins = counts.groupBy(floor_to(F.col("location"), WEIGHT_BIN).alias("bin")).agg(
+        F.sum("_n").alias("entries"),
+        F.bit_or(low).alias("low_bits"),
+        F.bit_or(high).alias("high_bits"),
+        best.alias("_top"),
+    )
+    return bins.select(
+        "bin", "entries", "low_bits", "high_bits",
+        (-F.col("_top._neg")).alias("location"),
+        F.col("_top.allele").alias("allele"),
+        (F.col("_top._n").cast("double") / F.col("entries").cast("double")).alias("percentage"),
+    )
+
+
+def bin_weights(bins: DataFrame) -> DataFrame:
+    """The weights of ``model_bins``."""
+    return bins.select(F.col("bin").alias("location"), F.col("entries").alias("weight"))
+
+
+def bin_bitmaps(bins: DataFrame) -> DataFrame:
+    """The bitmaps of ``model_bins``."""
+    return bins.select("bin", "entries", "low_bits", "high_bits")
+
+
+def bin_spikes(bins: DataFrame, min_share: float = 0.0) -> DataFrame:
+    """The spikes of ``model_bins``."""
+    spikes = bins.select("bin", "location", "allele", "percentage")
+    return spikes.where(F.col("percentage") >= min_share)
+
+
 def spike_lookup(bins: DataFrame, spikes: DataFrame, key: str = "bucket") -> DataFrame:
     """Attach the dominant variant of the bin, if there is one."""
     side = spikes.select(

@@ -80,13 +80,16 @@ def cell_width(weights: DataFrame) -> Column:
     return bins.agg(width.alias("width")).scalar()
 
 
-def nearest_bucket(draws: DataFrame, cdf: DataFrame, width: Column, draw: str = "u") -> DataFrame:
+def nearest_bucket(
+    draws: DataFrame, cdf: DataFrame, width: Column, draw: str = "u", broadcast_bins: bool = False
+) -> DataFrame:
     """Attach to each draw the bin with the smallest running weight at or above it.
 
     ``u`` counts from 1. A bin covers ``(cw - weight, cw]`` and is listed in every cell it
     touches, so the lookup is an equality join on the cell that yields one row per draw. Draws
     spread evenly over cells whatever the weights are: a bin with a third of all weight owns a
-    third of the cells. Draws that no bin covers are left out.
+    third of the cells. Draws that no bin covers are left out. Set ``broadcast_bins`` for bins
+    of a measured size only.
     """
     low, high = F.col("cw") - F.col("weight"), F.col("cw")
     cells = F.sequence(int_div(low, F.col("_width")), int_div(high - 1, F.col("_width")))
@@ -98,6 +101,8 @@ def nearest_bucket(draws: DataFrame, cdf: DataFrame, width: Column, draw: str =
     )
     placed = draws.withColumn("_cell", int_div(F.col(draw) - 1, width))
     covers = (F.col(f"d.{draw}") > F.col("b.cw") - F.col("b.weight")) & (F.col(f"d.{draw}") <= F.col("b.cw"))
+    if broadcast_bins:
+        listed = F.broadcast(listed)
     joined = placed.alias("d").join(
         listed.alias("b"), (F.col("d._cell") == F.col("b._cell")) & covers
     )

@@ -14,7 +14,7 @@ from ..functions import sql as sql_functions
 from ..operators import annotate, cohort, expand, model, weights
 from ..operators.model import METRICS
 from ..schemas import ALT_ALLELE, STAT_METRICS, WEIGHTS, conform
-from ..session import scratch_path
+from ..session import pin, scratch_path
 from ..sources import fasta, tables
 from ..sources import text as text_files
 from ..streaming import ingest
@@ -392,7 +392,7 @@ def exists_subquery(spark, sf_dir):
 
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = model.model_weights(fx.alt_allele(spark, sf_dir))
+    bins = pin(model.model_weights(fx.alt_allele(spark, sf_dir)))
     total = weights.total_weight(bins).scalar()
     drawn = fx.draws(spark, sf_dir).withColumn("u", synth.draw_weight(fixed_noise(), total))
     return weights.nearest_bucket(drawn, weights.cumulative_weight(bins), weights.cell_width(bins))
@@ -441,7 +441,7 @@ def stats_lookup(spark, sf_dir):
 
 
 def _slice(calls: DataFrame) -> DataFrame:
-    bins = model.model_weights(calls)
+    bins = pin(model.model_weights(calls))
     total = weights.total_weight(bins).scalar()
     return weights.weight_slice(weights.cumulative_weight(bins), *SLICE, total)
 
@@ -715,6 +715,11 @@ def model_spikes(spark, sf_dir):
     return model.model_spikes(fx.alt_allele(spark, sf_dir))
 
 
+@query
+def model_bins(spark, sf_dir):
+    return model.model_bins(fx.alt_allele(spark, sf_dir))
+
+
 @query
 def gen_draws(spark, sf_dir):
     per_sample = fx.table(spark, sf_dir, "lineitem").count() // 97
@@ -730,7 +735,8 @@ def gen_pick_bin(spark, sf_dir):
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = synth.build_model(fx.alt_allele(spark, sf_dir))
-    return synth.place_draws(fx.draws(spark, sf_dir), built, fixed_noise())
+    chunks = fx.genome(built.stats, "location_bin")
+    return synth.place_draws(fx.draws(spark, sf_dir), built, chunks, fixed_noise())
 
 
 @query
@@ -797,11 +803,11 @@ def gen_clamp(spark, sf_dir):
 
 
 def _generated(spark: SparkSession, sf_dir: str, rule: noise.Noise | None, **slice_ends) -> DataFrame:
-    calls = fx.alt_allele(spark, sf_dir)
-    built = synth.build_model(calls)
+    built = synth.build_model(fx.alt_allele(spark, sf_dir))
+    chunks = fx.genome(built.stats, "location_bin")
     if slice_ends:
         built = synth.slice_model(built, **slice_ends)
-    return synth.generate(fx.draws(spark, sf_dir), built, fx.genome(calls), rule, seed=1, **slice_ends)
+    return synth.generate(fx.draws(spark, sf_dir), built, chunks, rule, seed=1, **slice_ends)
 
 
 @query

@@ -104,10 +104,10 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DRAWS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
 
 
-def genome(calls: DataFrame) -> DataFrame:
-    """Located chunks for every 10,000-base block that holds a call."""
-    blocks = calls.select(floor_to(F.col("location"), STATS_BIN).alias("location")).distinct()
-    return blocks.withColumn("bases", F.repeat(F.lit(GENOME_UNIT), STATS_BIN // len(GENOME_UNIT)))
+def genome(blocks: DataFrame, key: str = "location") -> DataFrame:
+    """Located chunks for every 10,000-base block that the table names or has a location in."""
+    starts = blocks.select(floor_to(F.col(key), STATS_BIN).alias("location")).distinct()
+    return starts.withColumn("bases", F.repeat(F.lit(GENOME_UNIT), STATS_BIN // len(GENOME_UNIT)))
 
 
 def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,6 +450,10 @@ def oracle_sql() -> dict[str, str]:
         "model_stats": _sql(f"SELECT location_bin, entries, {_STATS_ROUNDED} FROM stats_raw", "stats_raw"),
         "model_bitmaps": _sql("SELECT bin, entries, low_bits, high_bits FROM bitmaps", "bitmaps"),
         "model_spikes": _sql("SELECT bin, location, allele, percentage FROM spikes", "spikes"),
+        "model_bins": _sql(
+            """SELECT b.bin, b.entries, low_bits, high_bits, location, allele, percentage
+               FROM bitmaps b JOIN spikes s ON s.bin = b.bin""", "bitmaps", "spikes"
+        ),
         "gen_draws": """SELECT s AS sample_id, count(*) AS draws, CAST(max(d) AS BIGINT) AS last_draw FROM (
             SELECT i // per + 1 AS s, i % per + 1 AS d FROM (SELECT count(*) // 97 AS per FROM lineitem) p,
             unnest(range(0, 97 * per)) t(i)) GROUP BY ALL""",

@@ -24,13 +24,14 @@ from ..functions.bits import set_offsets
 from ..functions.noise import Noise, choose, hash_noise, normal, whole
 from ..functions.numbers import clamp, floor_to, half_even, int_div
 from ..functions.text import depth_pair
+from ..operators.joins import MAX_BROADCAST_BYTES, measured_bytes
 from ..operators.model import (
+    bin_bitmaps,
+    bin_spikes,
+    bin_weights,
     bitmap_lookup,
-    model_bitmaps,
-    model_spikes,
+    model_bins,
     model_stats,
-    model_weights,
-    spike_lookup,
 )
 from ..operators.weights import (
     cell_width,
@@ -40,13 +41,10 @@ from ..operators.weights import (
     total_weight,
     weight_slice,
 )
-from ..schemas import ALT_ALLELE, conform
+from ..schemas import ALT_ALLELE, STAT_METRICS, conform
+from ..session import pin
 from ..sources.text import fill_stats
 
-# A lane is a share of the draws: a 10,000-base block gets one lane more per this part of the
-# total weight, so that a block with a third of the weight is spread over many tasks.
-LANES = 256
-
 NOISE_TAGS = (
     "bin", "spike", "offset_any", "offset_known", "snp",
     "qual_radius", "qual_angle", "refad_radius", "refad_angle",
@@ -64,13 +62,10 @@ class Model(NamedTuple):
 
 
 def build_model(alt_allele: DataFrame) -> Model:
-    """Derive the tables from called alleles."""
-    return Model(
-        model_weights(alt_allele),
-        fill_stats(model_stats(alt_allele)),
-        model_bitmaps(alt_allele),
-        model_spikes(alt_allele),
-    )
+    """Derive the tables from called alleles: two passes, each computed once and pinned."""
+    bins = pin(model_bins(alt_allele))
+    stats = pin(fill_stats(model_stats(alt_allele)))
+    return Model(bin_weights(bins), stats, bin_bitmaps(bins), bin_spikes(bins))
 
 
 def slice_model(model: Model, start: float, end: float) -> Model:
@@ -115,55 +110,94 @@ def substitute(base: Column, roll: Column) -> Column:
     )
 
 
-def bin_table(model: Model, start: float = 0.0, end: float = 1.0) -> DataFrame:
-    """All that a draw needs to know of its bin: running weight, spike, offsets, lanes of its block."""
-    total = total_weight(model.weights).scalar()
+def bin_table(model: Model, genome: DataFrame, start: float = 0.0, end: float = 1.0) -> DataFrame:
+    """All that a draw needs to know of its bin, so that a draw meets the model in one join.
+
+    Running weight, known offsets, the bin's own bases, metrics of its block, and the dominant
+    variant with its base and metrics. Work here grows with the genome, not with the draws.
+    """
     cdf = cumulative_weight(model.weights)
     if (start, end) != (0.0, 1.0):
-        cdf = weight_slice(cdf, start, end, total)
-    block = Window.partitionBy("_block")
-    lanes = int_div(F.sum("weight").over(block) * LANES, total) + 1
-    laned = cdf.withColumn("_block", floor_to(F.col("location"), STATS_BIN)).withColumn("lanes", lanes)
-    bins = laned.withColumnRenamed("location", "bucket").drop("_block")
-    bins = spike_lookup(bins, model.spikes)
-    return bitmap_lookup(bins, model.bitmaps, how="left").withColumnRenamed("bucket", "location")
+        cdf = weight_slice(cdf, start, end, total_weight(model.weights).scalar())
+    metrics = model.stats.select("location_bin", F.struct(*STAT_METRICS).alias("metrics"))
+    # Bytes, not text: cutting bytes out of a chunk does not count its characters first.
+    chunks = genome.select(
+        F.col("location").alias("location_bin"), F.col("bases").cast("binary").alias("_chunk")
+    )
 
+    def block_of(location: str) -> Column:
+        return floor_to(F.col(location), STATS_BIN).alias("location_bin")
 
-def block_table(model: Model, genome: DataFrame) -> DataFrame:
-    """Metrics and bases of each 10,000-base block, once per lane."""
-    total = total_weight(model.weights).scalar()
-    lanes = (
-        model.weights.groupBy(floor_to(F.col("location"), STATS_BIN).alias("location_bin"))
-        .agg(F.sum("weight").alias("_sum"))
-        .select("location_bin", (int_div(F.col("_sum") * LANES, total) + 1).alias("_lanes"))
+    def cut(location: str, width: int) -> Column:
+        place = (F.col(location) - F.col("location_bin") + 1).cast("int")
+        return F.substring(F.col("_chunk"), place, F.lit(width)).cast("string")
+
+    spikes = (
+        model.spikes.select("*", block_of("location"))
+        .join(metrics, ["location_bin"], "left")
+        .join(chunks, ["location_bin"], "left")
+        .select(
+            F.col("bin").alias("bucket"),
+            F.col("location").alias("spike_location"),
+            F.col("allele").alias("spike_allele"),
+            F.col("percentage").alias("spike_share"),
+            F.lower(cut("location", 1)).alias("spike_base"),
+            F.col("metrics").alias("spike_metrics"),
+        )
     )
-    chunks = genome.select(F.col("location").alias("location_bin"), "bases")
-    blocks = (
-        model.stats.drop("entries")
+    bins = cdf.withColumnRenamed("location", "bucket").join(spikes, ["bucket"], "left")
+    bins = bitmap_lookup(bins, model.bitmaps, how="left")
+    # Bits are turned into offsets here, once per bin; a draw only takes one element.
+    known = set_offsets(F.coalesce("low_bits", F.lit(0)), F.coalesce("high_bits", F.lit(0)))
+    return (
+        bins.select("*", block_of("bucket"))
+        .join(metrics, ["location_bin"], "left")
         .join(chunks, ["location_bin"], "left")
-        .join(lanes, ["location_bin"], "left")
+        .withColumns({"known": known, "bases": F.lower(cut("bucket", WEIGHT_BIN))})
+        .drop("location_bin", "_chunk", "low_bits", "high_bits")
+        .withColumnRenamed("bucket", "location")
     )
-    every = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_lanes", F.lit(1).cast("bigint")) - 1)
-    return blocks.withColumn("_lane", F.explode(every)).drop("_lanes")
 
 
-def place_draws(draws: DataFrame, model: Model, noise: Noise, start: float = 0.0, end: float = 1.0) -> DataFrame:
-    """Weighted bin, spike decision and the two candidate offsets of every draw."""
+def place_draws(
+    draws: DataFrame,
+    model: Model,
+    genome: DataFrame,
+    noise: Noise,
+    start: float = 0.0,
+    end: float = 1.0,
+    max_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Weighted bin, spike decision and the two candidate offsets and bases of every draw.
+
+    The bins are computed once and pinned (an action), and measured: below the bound they are
+    broadcast, above it draws and bins are shuffled by lookup cell, over which draws spread
+    evenly.
+    """
     total = total_weight(model.weights).scalar()
+    bins = pin(bin_table(model, genome, start, end))
     placed = nearest_bucket(
         draws.withColumn("u", draw_weight(noise, total, start, end)),
-        bin_table(model, start, end),
+        bins,
         cell_width(model.weights),
+        # A bin is listed once for every cell it touches: no more than bins + cells rows.
+        broadcast_bins=2 * measured_bytes(bins) <= max_bytes,
     )
-    spiked = F.coalesce(noise("spike") < F.col("spike_share"), F.lit(False))
-    known = set_offsets(F.coalesce("low_bits", F.lit(0)), F.coalesce("high_bits", F.lit(0)))
-    return placed.withColumns(
+    offsets = placed.withColumns(
         {
-            "spiked": spiked,
+            "spiked": F.coalesce(noise("spike") < F.col("spike_share"), F.lit(False)),
             "offset_any": whole(noise("offset_any"), WEIGHT_BIN),
-            "offset_known": choose(noise("offset_known"), known),
+            "offset_known": choose(noise("offset_known"), F.col("known")),
         }
-    ).drop("low_bits", "high_bits", "u", "cw", "weight")
+    )
+
+    def base_at(offset: str) -> Column:
+        return F.substring(F.col("bases"), F.col(offset) + 1, F.lit(1))
+
+    based = offsets.withColumns(
+        {"base_any": base_at("offset_any"), "base_known": base_at("offset_known")}
+    )
+    return based.drop("known", "bases", "u", "cw", "weight")
 
 
 def warmup_ends(rows: DataFrame, warmup: int = WARMUP_ROWS) -> DataFrame:
@@ -172,7 +206,7 @@ def warmup_ends(rows: DataFrame, warmup: int = WARMUP_ROWS) -> DataFrame:
     Ranks up to ``warmup`` are cut off before the shuffle, so a sample with a third of all
     draws sends no more rows than any other.
     """
-    by_spike = F.col("spiked") & F.col("base_spike").isNotNull()
+    by_spike = F.col("spiked") & F.col("spike_base").isNotNull()
     by_base = ~F.col("spiked") & F.col("base_any").isin(*ALLOWED_BASES)
     accepted = rows.where(by_spike | by_base)
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("draw_no"))
@@ -194,36 +228,16 @@ def generate(
 ) -> DataFrame:
     """Synthetic calls for draws of (sample_id, draw_no), in the columns of the expanded table.
 
-    ``genome`` holds located chunks of 10,000 bases. Draws meet the bins in one join and the
-    blocks (metrics and bases) in a second one. The first ``warmup`` accepted rows of a sample
-    fall anywhere in their bin, later ones on its known offsets. Draws whose bin has no metrics,
-    whose base is not g, a, t or c, or that find no known offset yield no row.
+    ``genome`` holds located chunks of 10,000 bases. The first ``warmup`` accepted rows of a
+    sample fall anywhere in their bin, later ones on its known offsets. Draws whose block has no
+    metrics, whose base is not g, a, t or c, or that find no known offset yield no row. Pinning
+    the bins is an action; the calls themselves are lazy.
     """
     noise = noise or hash_noise(seed)
-    placed = place_draws(draws, model, noise, start, end)
-    spot = F.when(F.col("spiked"), F.col("spike_location")).otherwise(F.col("bucket"))
-    home = floor_to(F.col("bucket"), STATS_BIN)
-    # A spike outside the block of its bin goes to lane 0, which every block has.
-    spread = F.pmod(F.xxhash64("sample_id", "draw_no"), F.col("lanes"))
-    keyed = placed.withColumn("location_bin", floor_to(spot, STATS_BIN)).withColumn(
-        "_lane", F.when(F.col("location_bin") == home, spread).otherwise(F.lit(0))
-    )
-
-    def base_at(location: Column) -> Column:
-        place = (location - F.col("location_bin") + 1).cast("int")
-        return F.lower(F.substring(F.col("bases"), place, F.lit(1)))
-
-    rows = (
-        keyed.join(block_table(model, genome), ["location_bin", "_lane"])
-        .withColumns(
-            {
-                "base_any": base_at(F.col("bucket") + F.col("offset_any")),
-                "base_known": base_at(F.col("bucket") + F.col("offset_known")),
-                "base_spike": base_at(F.col("spike_location")),
-            }
-        )
-        .drop("bases", "_lane", "location_bin", "lanes")
+    rows = place_draws(draws, model, genome, noise, start, end).withColumn(
+        "stats", F.when(F.col("spiked"), F.col("spike_metrics")).otherwise(F.col("metrics"))
     )
+    rows = rows.where(F.col("stats").isNotNull()).drop("metrics", "spike_metrics")
     anywhere = F.lit(False)
     if warmup > 0:
         rows = rows.join(warmup_ends(rows, warmup), ["sample_id"], "left")
@@ -240,31 +254,30 @@ def _finish(rows: DataFrame, anywhere: Column, noise: Noise) -> DataFrame:
             "location": F.when(F.col("spiked"), F.col("spike_location")).otherwise(
                 F.col("bucket") + offset
             ),
-            "base": F.when(F.col("spiked"), F.col("base_spike")).otherwise(base),
+            "base": F.when(F.col("spiked"), F.col("spike_base")).otherwise(base),
         }
     ).where(F.col("base").isNotNull() & (F.col("spiked") | F.col("base").isin(*ALLOWED_BASES)))
     roll = whole(noise("snp"), 6) + 1
     allele = F.when(F.col("spiked"), F.col("spike_allele")).otherwise(
         substitute(F.col("base"), roll)
     )
-    ref_ad = clamp(metric(noise, "refad"), 1)
-    ad = clamp(metric(noise, "ad"), 1)
     called = chosen.withColumns(
         {
             "ref": F.upper("base"),
             "allele": F.upper(allele),
             "allele_pos": F.lit(1),
             "call_GT": F.lit(FAKE_GENOTYPE),
-            "call_GQ": clamp(metric(noise, "gq"), 1, MAX_GQ),
-            "qual": clamp(metric(noise, "qual"), 0),
-            "ref_ad": ref_ad,
-            "ad": ad,
+            "call_GQ": clamp(metric(noise, "gq", "stats."), 1, MAX_GQ),
+            "qual": clamp(metric(noise, "qual", "stats."), 0),
+            "ref_ad": clamp(metric(noise, "refad", "stats."), 1),
+            "ad": clamp(metric(noise, "ad", "stats."), 1),
         }
     ).withColumn("call_AD", depth_pair(F.col("ref_ad"), F.col("ad")))
     missing = [c for c in ALT_ALLELE_COLUMNS if c not in called.columns]
     return conform(called.withColumns({c: F.lit(None) for c in missing}), ALT_ALLELE)
 
 
-def metric(noise: Noise, name: str) -> Column:
+def metric(noise: Noise, name: str, prefix: str = "") -> Column:
     """A whole number around the average of the block."""
-    return half_even(F.col(f"avg_{name}") + normal(noise, name) * F.col(f"stddev_{name}"))
+    average, spread = F.col(f"{prefix}avg_{name}"), F.col(f"{prefix}stddev_{name}")
+    return half_even(average + normal(noise, name) * spread)
