@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..constants import CONTIG_FACTOR, CONTIG_M, CONTIG_X, CONTIG_Y
-from .numbers import int_div
+from .numbers import int_div, parse_long
 
 
 def contig_number(contig: Column, mito: bool = False) -> Column:
@@ -20,7 +20,7 @@ def contig_number(contig: Column, mito: bool = False) -> Column:
     number = F.lit(None).cast("bigint")
     for letter, value in named.items():
         number = F.when(tag == letter, F.lit(value).cast("bigint")).otherwise(number)
-    return F.coalesce(number, tag.try_cast("bigint"))
+    return F.coalesce(number, parse_long(tag))
 
 
 def encode_location(contig: Column, position: Column, mito: bool = False) -> Column:

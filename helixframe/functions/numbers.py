@@ -31,12 +31,24 @@ def clamp(value: Column, low: int | None = None, high: int | None = None) -> Col
     return value
 
 
-def parse_double(text: Column, default: float = MISSING_STAT) -> Column:
-    """Text to double, or a default where it does not parse."""
-    return F.coalesce(text.try_cast("double"), F.lit(default))
+# A cast that fails costs an exception per row, so text is matched before it is cast.
+_WHOLE = r"^\s*[+-]?\d+\s*$"
+_WHOLE_PART = r"^\s*([+-]?\d+)(?:\.\d*)?\s*$"
+_DECIMAL = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|nan|inf(?:inity)?)\s*$"
+
+
+def parse_long(text: Column) -> Column:
+    """Text to bigint; NULL where it is not a whole number."""
+    return F.when(text.rlike(_WHOLE), text.try_cast("bigint"))
 
 
 def lenient_long(text: Column) -> Column:
     """Text to bigint; ``'57.9'`` gives 57 and text that is not a number gives NULL."""
-    whole = F.regexp_extract(F.trim(text), r"^([+-]?\d+)\.\d*$", 1)
-    return F.coalesce(text.try_cast("bigint"), whole.try_cast("bigint"))
+    whole = F.regexp_extract(text, _WHOLE_PART, 1)
+    return F.when(whole != "", whole.try_cast("bigint"))
+
+
+def parse_double(text: Column, default: float = MISSING_STAT) -> Column:
+    """Text to double, or a default where it does not parse."""
+    number = F.when(text.rlike(_DECIMAL), text.try_cast("double"))
+    return F.coalesce(number, F.lit(default))

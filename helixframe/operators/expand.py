@@ -11,7 +11,7 @@ from ..constants import (
     TWO_ALT_GENOTYPES,
 )
 from ..functions.alleles import comma_item, drop_suffix, pipe_item, shared_suffix
-from ..functions.numbers import lenient_long
+from ..functions.numbers import lenient_long, parse_long
 
 
 def single_alt_calls(raw: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def _project(calls: DataFrame, pos: Column) -> DataFrame:
         "ref": drop_suffix(F.col("ref"), F.col("_cut")),
         "allele": drop_suffix(F.col("_alt"), F.col("_cut")),
         "allele_pos": pos,
-        "raw_mq": pipe_item(F.col("as_raw_mq"), pos + 1).try_cast("bigint"),
+        "raw_mq": parse_long(pipe_item(F.col("as_raw_mq"), pos + 1)),
         "qual": lenient_long(pipe_item(F.col("as_qualapprox"), pos)),
         "ref_ad": lenient_long(comma_item(F.col("call_AD"), 1)),
         "ad": lenient_long(comma_item(F.col("call_AD"), pos + 1)),
@@ -73,7 +73,7 @@ def expand_by_union(raw: DataFrame) -> DataFrame:
 
 def cast_long(df: DataFrame, columns: tuple[str, ...] = LONG_COLUMNS) -> DataFrame:
     """Cast the named columns to bigint; text that does not parse becomes NULL."""
-    return df.withColumns({c: F.col(c).try_cast("bigint") for c in columns})
+    return df.withColumns({c: parse_long(F.col(c).cast("string")) for c in columns})
 
 
 def columns_first(df: DataFrame, first: tuple[str, ...]) -> DataFrame:

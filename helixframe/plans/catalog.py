@@ -324,7 +324,7 @@ def pick_alt(spark, sf_dir):
 
 @query
 def pick_raw_mq(spark, sf_dir):
-    item = alleles.pipe_item(F.col("as_raw_mq"), F.col("allele_pos") + 1).try_cast("bigint")
+    item = numbers.parse_long(alleles.pipe_item(F.col("as_raw_mq"), F.col("allele_pos") + 1))
     return _positions(spark, sf_dir).select(
         "location", "sample_id", "as_raw_mq", "allele_pos", item.alias("raw_mq")
     )

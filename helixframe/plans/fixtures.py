@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..constants import STATS_BIN
 from ..functions.numbers import floor_to
 from ..operators.expand import expand_alt_alleles
+from ..sources.tables import spread
 
 RAW_VARIANTS_SQL = """
 SELECT
@@ -82,8 +83,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
 def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RAW_VARIANTS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(RAW_VARIANTS_SQL, lineitem=order_lines(spark, sf_dir))
 
 
 def alt_allele(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,7 @@ def sample_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DRAWS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(DRAWS_SQL, lineitem=order_lines(spark, sf_dir))
 
 
 def genome(blocks: DataFrame, key: str = "location") -> DataFrame:

@@ -18,6 +18,15 @@ def scan_dir(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table of fewer splits than cores over all cores; a larger one is left alone.
+
+    Keys should be distinct together, so that the parts come out even.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table."""
     return spark.read.table(name)
