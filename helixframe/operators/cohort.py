@@ -92,18 +92,17 @@ def merge_condensed(master: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(*VARIANT_KEYS, _united().alias("sample_ids"))
 
 
-def merge_small_batch(
+def small_batch_parts(
     master: DataFrame, new: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES
-) -> DataFrame:
-    """``merge_condensed`` for a batch that is small as a rule (an action on the batch).
+) -> tuple[DataFrame, DataFrame] | None:
+    """The two halves of a merge that does not shuffle the master (an action on the batch).
 
-    A batch below the bound is broadcast and the master is not shuffled at all: its rows are
-    updated in place by a left join, and the batch rows that met no master row are appended.
-    A larger batch takes the full outer join.
+    First the master's rows, in place and with their lists united, then the batch rows that met
+    no master row. None when the batch is above the bound and must not be broadcast.
     """
     batch = pin(new.select(*VARIANT_KEYS, F.col("sample_ids").alias("_new")))
     if measured_bytes(batch) > max_bytes:
-        return merge_condensed(master, batch.withColumnRenamed("_new", "sample_ids"))
+        return None
     keys = list(VARIANT_KEYS)
     ours = master.select(*VARIANT_KEYS, F.col("sample_ids").alias("_old"))
     updated = ours.join(F.broadcast(batch), keys, "left").select(
@@ -114,7 +113,43 @@ def merge_small_batch(
     added = batch.join(F.broadcast(matched), keys, "left_anti").select(
         *VARIANT_KEYS, F.col("_new").alias("sample_ids")
     )
-    return updated.unionByName(added)
+    return updated, added
+
+
+def merge_small_batch(
+    master: DataFrame, new: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """``merge_condensed`` for a batch that is small as a rule (an action on the batch).
+
+    A larger batch takes the full outer join.
+    """
+    parts = small_batch_parts(master, new, max_bytes)
+    return merge_condensed(master, new) if parts is None else parts[0].unionByName(parts[1])
+
+
+def merge_blocks(master: DataFrame, new: DataFrame) -> DataFrame:
+    """``merge_condensed`` for tables of ``condense_blocks`` with one block width.
+
+    Blocks of both sides are united as sets of samples, one call each; no row outgrows a block.
+    """
+    keys = [*VARIANT_KEYS, "sample_block"]
+    ours = master.select(*keys, F.col("carriers").alias("_old"))
+    theirs = new.select(*keys, F.col("carriers").alias("_new"))
+
+    def ids(carriers: str):
+        return F.transform(carriers, lambda c: c["sample_id"])
+
+    one = F.lit(1).cast("bigint")
+    united = F.transform(
+        F.array_union(ids("_old"), ids("_new")),
+        lambda s: F.struct(s.alias("sample_id"), one.alias("calls")),
+    )
+    merged = (
+        F.when(F.col("_new").isNull(), F.col("_old"))
+        .when(F.col("_old").isNull(), F.col("_new"))
+        .otherwise(united)
+    )
+    return ours.join(theirs, keys, "full_outer").select(*keys, merged.alias("carriers"))
 
 
 def _united():

@@ -141,9 +141,15 @@ def stats_lookup(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def reference_base_lookup(rows: DataFrame, genome: DataFrame, chunk: int = STATS_BIN) -> DataFrame:
-    """Attach the genome base at each row's location from the located chunks."""
-    side = genome.select(F.col("location").alias("_chunk"), F.col("bases").alias("_bases"))
+    """Attach the genome base at each row's location from the located chunks.
+
+    Chunks are joined as bytes: a base is then one offset away, where text would be counted
+    through character by character for every row.
+    """
+    side = genome.select(
+        F.col("location").alias("_chunk"), F.col("bases").cast("binary").alias("_bases")
+    )
     keyed = rows.withColumn("_chunk", floor_to(F.col("location"), chunk))
     offset = (F.col("location") - F.col("_chunk") + 1).cast("int")
-    base = F.substring(F.col("_bases"), offset, F.lit(1))
+    base = F.substring(F.col("_bases"), offset, F.lit(1)).cast("string")
     return keyed.join(side, ["_chunk"]).withColumn("ref_base", base).drop("_chunk", "_bases")

@@ -45,6 +45,12 @@ def ids_as_text(df: DataFrame) -> DataFrame:
     return df.withColumn("sample_ids", F.array_join(F.array_sort("sample_ids"), ","))
 
 
+def blocks_as_text(df: DataFrame) -> DataFrame:
+    """Show carriers sorted, as text of id * 10^6 + calls."""
+    packed = F.transform("carriers", lambda c: c["sample_id"] * 1_000_000 + c["calls"])
+    return df.withColumn("carriers", F.array_join(F.array_sort(packed), ","))
+
+
 def vat_as_text(df: DataFrame) -> DataFrame:
     """Show the two array columns as text."""
     return df.select(
@@ -468,9 +474,7 @@ def condense_one_call(spark, sf_dir):
 
 @query
 def condense_blocks(spark, sf_dir):
-    blocks = cohort.condense_blocks(fx.alt_allele(spark, sf_dir), width=10)
-    packed = F.transform("carriers", lambda c: c["sample_id"] * 1_000_000 + c["calls"])
-    return blocks.withColumn("carriers", F.array_join(F.array_sort(packed), ","))
+    return blocks_as_text(cohort.condense_blocks(fx.alt_allele(spark, sf_dir), width=10))
 
 
 @query
@@ -535,6 +539,13 @@ def merge_small_batch(spark, sf_dir):
     return ids_as_text(cohort.merge_small_batch(cohort.condense(master), cohort.condense(new)))
 
 
+@query
+def merge_blocks(spark, sf_dir):
+    master, new = cohort.holdout(fx.alt_allele(spark, sf_dir), NEW_SAMPLES)
+    blocks = (cohort.condense_blocks(half, width=10) for half in (master, new))
+    return blocks_as_text(cohort.merge_blocks(*blocks))
+
+
 @query
 def union_all(spark, sf_dir):
     return expand.expand_by_union(fx.raw_variants(spark, sf_dir))

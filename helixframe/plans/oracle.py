@@ -402,6 +402,13 @@ def oracle_sql() -> dict[str, str]:
         # merge, set operations, sort, limit
         "merge_upsert": _MERGED,
         "merge_small_batch": _MERGED,
+        "merge_blocks": _sql(
+            """SELECT location, ref, allele, sample_id // 10 AS sample_block,
+               array_to_string(list_sort(list(sample_id * 1000000 + CASE WHEN united THEN 1 ELSE calls END)), ',') AS carriers
+               FROM (SELECT *, count(DISTINCT fresh) OVER (PARTITION BY location, ref, allele, sample_id // 10) = 2 AS united FROM (
+                 SELECT location, ref, allele, sample_id, sample_id IN (SELECT sample_id FROM hold) AS fresh, count(*) AS calls
+                 FROM aa GROUP BY ALL)) GROUP BY ALL""", "aa", "hold"
+        ),
         "union_all": _EXPANDED,
         "union_positional": _EXPANDED,
         "sample_limit": _sql("SELECT sample_id FROM hold", "hold"),

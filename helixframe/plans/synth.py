@@ -24,7 +24,7 @@ from ..functions.bits import set_offsets
 from ..functions.noise import Noise, choose, hash_noise, normal, whole
 from ..functions.numbers import clamp, floor_to, half_even, int_div
 from ..functions.text import depth_pair
-from ..operators.joins import MAX_BROADCAST_BYTES, measured_bytes
+from ..operators.joins import MAX_BROADCAST_BYTES, join_measured, measured_bytes
 from ..operators.model import (
     bin_bitmaps,
     bin_spikes,
@@ -231,7 +231,7 @@ def generate(
     ``genome`` holds located chunks of 10,000 bases. The first ``warmup`` accepted rows of a
     sample fall anywhere in their bin, later ones on its known offsets. Draws whose block has no
     metrics, whose base is not g, a, t or c, or that find no known offset yield no row. Pinning
-    the bins is an action; the calls themselves are lazy.
+    the bins and the ends of the warm-up are actions; the calls themselves are lazy.
     """
     noise = noise or hash_noise(seed)
     rows = place_draws(draws, model, genome, noise, start, end).withColumn(
@@ -240,7 +240,8 @@ def generate(
     rows = rows.where(F.col("stats").isNotNull()).drop("metrics", "spike_metrics")
     anywhere = F.lit(False)
     if warmup > 0:
-        rows = rows.join(warmup_ends(rows, warmup), ["sample_id"], "left")
+        # One row per sample: measured and broadcast as a rule, so the rows are not shuffled by sample.
+        rows = join_measured(rows, warmup_ends(rows, warmup), ["sample_id"], "left")
         anywhere = F.col("warmup_end").isNull() | (F.col("draw_no") <= F.col("warmup_end"))
     return _finish(rows, anywhere, noise)
 

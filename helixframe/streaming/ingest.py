@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cohort import condense, merge_small_batch
+from ..operators.cohort import condense, merge_condensed, small_batch_parts
 from ..schemas import ALT_ALLELE, CONDENSED
+from ..session import pin
 from ..sources.tables import write_clustered
 
 
@@ -41,13 +42,23 @@ def read_store(spark: SparkSession, store: str, upto: int | None = None) -> Data
 def merge_batch(batch: DataFrame, store: str, number: int) -> None:
     """Write the snapshot that follows from merging a batch of calls into the one before.
 
-    A batch that is run again reads the same earlier snapshot and overwrites its own, so a
-    replay changes nothing.
+    A small batch leaves the master's rows where they are: they are read, united and written
+    without a shuffle, which keeps the location ranges of the files, and only the new variants
+    are clustered. A batch that is run again reads the same earlier snapshot and overwrites its
+    own, so a replay changes nothing.
     """
-    master = read_store(batch.sparkSession, store, upto=number - 1)
-    merged = merge_small_batch(master, condense(batch))
-    write_clustered(merged, _path(store, number), then_by=("ref", "allele"), mode="overwrite")
-    _commit(batch.sparkSession, store, number)
+    spark, target = batch.sparkSession, _path(store, number)
+    master = read_store(spark, store, upto=number - 1)
+    condensed = pin(condense(batch))
+    parts = small_batch_parts(master, condensed)
+    if parts is None:
+        merged = merge_condensed(master, condensed)
+        write_clustered(merged, target, then_by=("ref", "allele"), mode="overwrite")
+    else:
+        updated, added = parts
+        updated.write.mode("overwrite").parquet(target)
+        write_clustered(added, target, then_by=("ref", "allele"), mode="append")
+    _commit(spark, store, number)
 
 
 def ingest_stream(

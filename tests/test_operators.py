@@ -111,6 +111,14 @@ def test_merging_halves_gives_the_whole_as_sets(spark, bound):
     assert cohort.with_sample(merged, 3).count() == sum(3 in v for v in whole.values())
 
 
+def test_merging_blocks_gives_the_whole_as_sets(spark):
+    rows = [r for r in skewed_calls() if r[3] is not None]
+    master, new = cohort.holdout(aa(spark, rows), 20)
+    merged = cohort.merge_blocks(*(cohort.condense_blocks(half, width=50) for half in (master, new)))
+    found = [(b.location, b.ref, b.allele, c.sample_id) for b in merged.collect() for c in b.carriers]
+    assert len(found) == len(set(found)) and set(found) == set(rows)
+
+
 def test_merge_unites_lists_of_known_variants_only(spark):
     master = spark.createDataFrame([(1, "A", "C", [1, 1, 2]), (2, "A", "C", [5, 5])], CONDENSED)
     new = spark.createDataFrame([(1, "A", "C", [2, 3, 3]), (3, "A", "C", [9, 9])], CONDENSED)
