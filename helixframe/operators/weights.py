@@ -75,7 +75,7 @@ def slice_semi(table: DataFrame, key: str, sliced: DataFrame) -> DataFrame:
 def cell_width(weights: DataFrame) -> Column:
     """Width of a lookup cell, as a scalar subquery: about one bin per cell."""
     bins = weights.where(F.col("weight") != 0)
-    cells = F.least(F.count("*"), F.lit(MAX_CELLS))
+    cells = F.greatest(F.least(F.count("*"), F.lit(MAX_CELLS)), F.lit(1))
     width = F.greatest(int_div(F.sum("weight"), cells), F.lit(1))
     return bins.agg(width.alias("width")).scalar()
 

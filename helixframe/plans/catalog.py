@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import ALLOWED_BASES, ALT_ALLELE_COLUMNS, MAX_GQ
 from ..functions import alleles, bits, coords, noise, numbers, text
-from ..functions import sql as sql_functions
+from ..functions import sql as named
 from ..operators import annotate, cohort, expand, model, weights
 from ..operators.model import METRICS
-from ..schemas import ALT_ALLELE, STAT_METRICS, WEIGHTS, conform
+from ..schemas import ALT_ALLELE, STAT_METRICS, conform
 from ..session import pin, scratch_path
 from ..sources import fasta, tables
 from ..sources import text as text_files
@@ -666,8 +666,8 @@ def letter_case(spark, sf_dir):
 
 
 @query
-def sql_functions_used(spark, sf_dir):
-    sql_functions.register(spark)
+def sql_functions(spark, sf_dir):
+    named.register(spark)
     picked = _positions(spark, sf_dir).withColumn("picked", _alt())
     return picked.selectExpr(
         "location", "sample_id", "minimize(ref, picked) AS pair", "decode_location(location).pos AS pos"
@@ -872,8 +872,5 @@ def ingest_stream(spark, sf_dir):
     arriving, store = scratch_path(spark, "arriving"), scratch_path(spark, "store")
     ingest.create_store(cohort.condense(master), store)
     tables.write_dir(new, arriving)
-    ingest.ingest_stream(spark, arriving, store, scratch_path(spark, "progress")).awaitTermination()
+    ingest.ingest_stream(spark, arriving, store).awaitTermination()
     return ids_as_text(ingest.read_store(spark, store))
-
-
-_QUERIES["sql_functions"] = _QUERIES.pop("sql_functions_used")

@@ -65,12 +65,12 @@ def ingest_stream(
     spark: SparkSession,
     source: str,
     store: str,
-    checkpoint: str,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Merge every new parquet file of expanded calls into the store, then stop.
 
-    Start it again with the same checkpoint folder to take up what has arrived since.
+    Start it again to take up what has arrived since. Progress is kept in the store itself, so
+    that batch numbers and snapshot numbers always belong together. A store follows one source.
     """
     reader = spark.readStream.schema(ALT_ALLELE)
     if files_per_batch:
@@ -78,7 +78,7 @@ def ingest_stream(
     calls = reader.parquet(source).select(*(F.col(c) for c in ("location", "sample_id", "ref", "allele")))
     return (
         calls.writeStream.foreachBatch(lambda batch, i: merge_batch(batch, store, i + 1))
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", f"{store}/progress")
         .trigger(availableNow=True)
         .start()
     )

@@ -94,7 +94,7 @@ def test_ingest_is_idempotent_and_resumes(spark, scratch):
     plain = spark.createDataFrame(rows, "location bigint, ref string, allele string, sample_id bigint")
     calls = plain.select(*(F.col(f.name) if f.name in plain.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ALT_ALLELE))
     old, new = cohort.holdout(calls, 10)
-    store, arriving, progress = (f"{scratch}/{n}" for n in ("store", "arriving", "progress"))
+    store, arriving = f"{scratch}/store", f"{scratch}/arriving"
     ingest.create_store(cohort.condense(new), store)
     expected = {tuple(r)[:3]: set(r.sample_ids) for r in cohort.condense(calls).collect()}
 
@@ -103,14 +103,14 @@ def test_ingest_is_idempotent_and_resumes(spark, scratch):
 
     for samples in ((11, 20), (21, 30)):
         old.where(F.col("sample_id").between(*samples)).write.mode("append").parquet(arriving)
-        ingest.ingest_stream(spark, arriving, store, progress, files_per_batch=2).awaitTermination()
+        ingest.ingest_stream(spark, arriving, store, files_per_batch=2).awaitTermination()
     assert state() == expected
     numbers = [r.number for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/commits").collect()]
     last = max(numbers)
-    before = ingest.read_store(spark, store, upto=last - 1)
+    earlier = ingest.read_store(spark, store, upto=last - 1)
     replay = old.where(F.col("sample_id").between(21, 30))
     ingest.merge_batch(replay, store, last)
-    assert state() == expected and before.count() > 0
+    assert state() == expected and earlier.count() > 0
 
 
 def test_questions_take_table_names(spark):
