@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grace_dedup, mixing, quality, toxicity
+import public_tokenizers
+
+from . import bpe, chat, grace_dedup, mixing, quality, toxicity, url_filters
 from .common import table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     docs = lambda spark, sf: table(spark, sf, "documents")
     return {
+        "op1_url_filters": lambda spark, sf: url_filters.report(table(spark, sf, "pages")),
         "op2_mixing": lambda spark, sf: mixing.report(docs(spark, sf)),
+        "op3_byte_bpe": lambda spark, sf: bpe.round_trip(
+            docs(spark, sf), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+        ),
+        "op4_chat_formatting": lambda spark, sf: chat.rendered(table(spark, sf, "conversations")),
         "op7_quality_rules": lambda spark, sf: quality.report(docs(spark, sf)),
         "op9_toxicity": lambda spark, sf: toxicity.report(docs(spark, sf), table(spark, sf, "labels")),
         "op10_exact_dedup": lambda spark, sf: grace_dedup.exact_groups(docs(spark, sf)),
@@ -24,7 +32,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filters": url_filters.oracle(),
         "op2_mixing": mixing.oracle(),
+        "op4_chat_formatting": chat.oracle(),
         "op7_quality_rules": quality.oracle(),
         "op10_exact_dedup": grace_dedup.oracle(),
     }
