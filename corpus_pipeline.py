@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import grace_dedup, mixing, toxicity
+from helixframe.llm import bpe, grace_dedup, minhash, mixing, toxicity
 from helixframe.llm.common import staged, table
 
 
@@ -16,14 +17,25 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return grace_dedup.stage(docs)
 
 
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.stage(docs)
+
+
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.stage(docs)
 
 
+def _encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
+
+
 STAGES = [
     ("toxicity", _toxicity),
     ("exact_dedup", _exact_dedup),
+    ("minhash_near_dedup", _near_dedup),
     ("mixing", _mixing),
+    ("byte_bpe", _encoding),
 ]
 
 #: The classifier is trained, near copies are found by hashing and ids come from merges: no SQL.

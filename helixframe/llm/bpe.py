@@ -15,8 +15,7 @@ an unfinished one.
 
 Defined results: a null or empty text has no tokens. Special tokens' strings are ordinary text.
 Repeated rows are encoded each for itself. Bytes that are no UTF-8 decode to U+FFFD in text; the
-decoded bytes are always exact. Columns other than doc_id and text are not read by the report; the
-``stage`` keeps none but doc_id.
+decoded bytes are always exact. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import text_of
+from .common import by_batches, text_of
 
 MAX_STATES = 150_000
 MAX_PIECES = 300_000
@@ -302,20 +301,7 @@ def _vocabulary(spark: SparkSession, path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids of every text."""
-    data = _vocabulary(docs.sparkSession, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(data.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [own.encode(t).astype(np.int32) for t in part.column(1).to_pylist()]
-                offsets = np.cumsum([0, *map(len, ids)])
-                values = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
-                listed = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values).cast(pa.list_(pa.int32()))
-                yield pa.record_batch([part.column(0), listed], names=["doc_id", "ids"])
-
-    return _narrow(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return round_trip(docs, path, pattern, with_ids=True).select("doc_id", "ids")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -328,27 +314,36 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [own.decode(np.array(ids or [], np.int64))[1] for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.selectExpr("cast(doc_id AS bigint) AS doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return by_batches(tokens.selectExpr("cast(doc_id AS bigint) AS doc_id", "ids"), run, "doc_id bigint, text string")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode every text and decode its ids again: token count and digests of ids and bytes."""
+def _listed(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    values = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encode every text and decode its ids again: token count and digests of ids and bytes, ids on request."""
     data = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(data.value, pattern)
         for batch in batches:
-            n, hashes, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = own.encode(text)
-                n.append(len(ids))
-                hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids)[0]).hexdigest())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes), pa.array(decoded)]
-            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _narrow(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [own.encode(text) for text in part.column(1).to_pylist()]
+                columns = {
+                    "doc_id": part.column(0),
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
+                    "decoded_sha256": pa.array([hashlib.sha256(own.decode(x)[0]).hexdigest() for x in ids]),
+                }
+                yield pa.record_batch(columns | ({"ids": _listed(ids)} if with_ids else {}))
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return by_batches(_narrow(docs), run, schema + ", ids array<int>" * with_ids)

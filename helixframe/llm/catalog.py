@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, chat, grace_dedup, mixing, quality, toxicity, url_filters
+from . import bpe, chat, grace_dedup, minhash, mixing, quality, toxicity, url_filters
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         ),
         "op4_chat_formatting": lambda spark, sf: chat.rendered(table(spark, sf, "conversations")),
         "op7_quality_rules": lambda spark, sf: quality.report(docs(spark, sf)),
+        "op8_minhash": lambda spark, sf: minhash.near_classes(docs(spark, sf)),
         "op9_toxicity": lambda spark, sf: toxicity.report(docs(spark, sf), table(spark, sf, "labels")),
         "op10_exact_dedup": lambda spark, sf: grace_dedup.exact_groups(docs(spark, sf)),
     }

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.joins import join_measured
@@ -35,3 +42,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id is not in the list; the list is broadcast only when measured small."""
     return join_measured(docs, ids.select("doc_id").distinct(), ["doc_id"], "left_anti")
+
+
+_SHIPPED: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks can import it there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    Path(target).write_bytes(packed.getvalue())
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
+
+
+def by_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

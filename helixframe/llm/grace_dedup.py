@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.joins import join_measured
 from ..session import pin
-from .common import SPACE, text_of, without_ids
+from .common import SPACE, by_batches, text_of, without_ids
 
 #: Bytes of distinct content that one table may hold.
 TABLE_BYTES = 48 << 20
@@ -166,8 +166,8 @@ def copy_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
         F.col("doc_id").cast("long").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
     )
-    dealt = records.mapInArrow(_collapse(table_bytes // 4), _SCHEMA).repartition("digest")
-    return dealt.mapInArrow(_resolve(table_bytes), _SCHEMA).drop("content")
+    dealt = by_batches(records, _collapse(table_bytes // 4), _SCHEMA).repartition("digest")
+    return by_batches(dealt, _resolve(table_bytes), _SCHEMA).drop("content")
 
 
 def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import join_measured
 from ..session import pin
-from .common import staged, text_of, without_ids
+from .common import by_batches, text_of, without_ids
 
 GRAM = 5
 BUCKETS = 1 << 20
@@ -119,7 +119,7 @@ def _logistic(x_rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray) -> tup
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature buckets, their weights (ratio included) and the bias."""
     rows = _training(docs, labels)
-    sums = rows.select("text", "label").mapInArrow(_count, "feature bigint, c0 bigint, c1 bigint")
+    sums = by_batches(rows.select("text", "label"), _count, "feature bigint, c0 bigint, c1 bigint")
     counts = pin(sums.groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
     sizes = rows.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in sizes}
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     first = keyed.select("_key").orderBy("_key").limit(FIT_ROWS).agg(F.max("_key").alias("last"))
     h, last = first.select("last.h", "last.doc_id").first()
     within = F.col("_key") <= F.struct(F.lit(h).alias("h"), F.lit(last).cast("long").alias("doc_id"))
-    sample = keyed.where(within).select("text", "label").mapInArrow(present, "present binary, label int")
+    sample = by_batches(keyed.where(within).select("text", "label"), present, "present binary, label int")
     fitted = sample.limit(FIT_ROWS).collect()
     y = np.array([r["label"] for r in fitted], float)
     weights, bias = _logistic([np.frombuffer(r["present"], np.int32) for r in fitted], ratios, y)
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Data
             yield pa.record_batch([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(score, "doc_id bigint, score double")
+    return by_batches(rows, score, "doc_id bigint, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
