@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, chat, grace_dedup, minhash, mixing, quality, toxicity, url_filters, warc
+from . import bpe, chat, grace_dedup, minhash, mixing, quality, suffix_dedup, toxicity, url_filters, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
             docs(spark, sf), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
         ),
         "op4_chat_formatting": lambda spark, sf: chat.rendered(table(spark, sf, "conversations")),
+        "op5_suffix_dedup": lambda spark, sf: suffix_dedup.report(docs(spark, sf)),
         "op6_warc": lambda spark, sf: warc.report(table(spark, sf, "pages")),
         "op7_quality_rules": lambda spark, sf: quality.report(docs(spark, sf)),
         "op8_minhash": lambda spark, sf: minhash.near_classes(docs(spark, sf)),
