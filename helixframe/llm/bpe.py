@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_batches, text_of
 
-MAX_STATES = 150_000
-MAX_PIECES = 300_000
+MAX_STATES = 300_000
+MAX_PIECES = 250_000
 CHUNK = 1 << 16
 
 
@@ -61,7 +62,8 @@ class Transducer:
             self.rank_at[node] = rank
         #: Whether merges make a token from its own bytes, and whether they leave two as they are.
         self.reachable: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.made_of: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -70,10 +72,10 @@ class Transducer:
         self.numbers = {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
         """Lowest rank first, leftmost first: what the merges themselves say about a short text."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
@@ -90,22 +92,52 @@ class Transducer:
             if known is None:
                 known = self.reachable[rank] = self.merged(self.tokens[rank]) == [rank]
             return known
-        known = self.fits.get((last, rank))
+        key = last << 32 | rank
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > MAX_STATES:
                 self.fits.clear()
-            known = self.fits[last, rank] = self.merged(self.tokens[last] + self.tokens[rank]) == [last, rank]
+            known = self.fits[key] = self.stay_apart(last, rank)
         return known
 
+    def halves(self, rank: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token; None for a single byte."""
+        if rank not in self.made_of:
+            token = self.tokens[rank]
+            self.made_of[rank] = tuple(self.merged(token, 2)) if len(token) > 1 else None
+        return self.made_of[rank]
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether merges leave two tokens as they are when one follows the other.
+
+        Merges are undone from both sides of the border, the later one first. A merge across the
+        border would have come first if its rank is below that of the left token's next merge and
+        not above that of the right token's (of equal ranks the leftmost merges first).
+        """
+        next_left = next_right = 1 << 62
+        while True:
+            across = self.ranks.get(self.tokens[left] + self.tokens[right])
+            if across is not None and across < next_left and across <= next_right:
+                return False
+            of_left, of_right = self.halves(left), self.halves(right)
+            if of_right is not None and (of_left is None or right >= left):
+                next_right, right = right, of_right[0]
+            elif of_left is not None:
+                next_left, left = left, of_left[1]
+            else:
+                return True
+
     def _move(self, key: int) -> tuple[int, tuple[int, ...]]:
         """The transition of a state and byte met for the first time, and what it sends."""
-        byte, alive, added = key & 255, [], None
+        byte, alive, added, child, fits = key & 255, [], None, self.child.get, self.fits.get
         for node, last, unsent in self.states[key >> 8]:
-            grown = self.child.get(node << 8 | byte)
+            grown = child(node << 8 | byte)
             if grown is None:
                 continue
-            if added is None and (rank := self.rank_at[grown]) >= 0 and self._may_follow(last, rank):
-                added = (0, rank, (*unsent, rank))
+            if added is None and (rank := self.rank_at[grown]) >= 0:
+                known = fits(last << 32 | rank)
+                if known or known is None and self._may_follow(last, rank):
+                    added = (0, rank, (*unsent, rank))
             if self.goes_on[grown]:
                 alive.append((grown, last, unsent))
         if added is None:
@@ -267,16 +299,24 @@ class Codec:
 
 
 class _Pieces(dict):
-    """Ids of pieces seen before, as little-endian bytes; emptied when full."""
+    """Ids of pieces seen before, as little-endian bytes.
+
+    When it is full, a new generation begins, and what is met again is taken over from the last.
+    """
 
     def __init__(self, transducer: Transducer) -> None:
         super().__init__()
         self.transducer = transducer
+        self.last: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
+        ids = self.last.get(piece)
+        if ids is None:
+            found = self.transducer.encode(piece.encode("utf-8"))
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(ids) <= 64:
             if len(self) >= MAX_PIECES:
+                self.last = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
