@@ -45,6 +45,8 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def _ship(spark: SparkSession) -> None:
@@ -60,6 +62,9 @@ def _ship(spark: SparkSession) -> None:
     target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
     Path(target).write_bytes(packed.getvalue())
     context.addPyFile(target)
+    # Rows hold whole texts: bound the batches by bytes, unless the user has.
+    if spark.conf.get(_BATCH) in ("64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     _SHIPPED.add(context.applicationId)
 
 
