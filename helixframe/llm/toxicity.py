@@ -5,8 +5,8 @@ space stands before and after it. Counts per feature and label come from all lab
 rows: each task counts into arrays and sends the features it met, and Spark sums them. The
 log-count ratio of a feature is smoothed towards 0 in proportion to the class sizes. The classifier
 is a logistic regression over presence times ratio, fitted on a bounded sample of training rows
-(``FIT_ROWS``, the first by hash, each a list of the ``MODEL_FEATURES`` features with the strongest
-counts). The model, a few hundred kB, goes to the tasks that score all texts.
+(``FIT_ROWS``, the first by hash, each a list of the at most ``MODEL_FEATURES`` features whose ratios
+lie the most standard errors from 0), each row with ratios that leave it out. The model, a few hundred kB, goes to the tasks that score all texts.
 
 Defined results: a null or empty text has only the bias and gets the score of a text without
 features. Labels that are null or refer to no document teach nothing; rows whose id is null are
@@ -31,8 +31,10 @@ GRAM = 5
 BUCKETS = 1 << 20
 FIT_ROWS = 6_000
 MODEL_FEATURES = 1 << 14
+#: Ratios nearer to 0 than so many standard errors say nothing.
+MIN_STRENGTH = 3.0
 SMOOTHING = 1.0
-RIDGE = 1.0
+RIDGE = 3.0
 HELD_OUT = 2
 THRESHOLD = 0.3
 _FLUSH_ROWS = 1 << 16
@@ -88,12 +90,13 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _logistic(x_rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Newton steps with conjugate gradients; x is sparse presence, scaled per feature."""
+    """Newton steps with conjugate gradients; x is sparse presence, scaled per label of the row and feature."""
     lengths = np.array([len(r) for r in x_rows])
     cols, rows = np.concatenate([*x_rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(y)), lengths)
-    m, n = len(scale), len(y)
-    times = lambda w: np.bincount(rows, (scale * w[:-1])[cols], n) + w[-1]
-    back = lambda v: np.append(scale * np.bincount(cols, v[rows], m), v.sum())
+    m, n = scale.shape[1], len(y)
+    x = scale[y.astype(int)[rows], cols]
+    times = lambda w: np.bincount(rows, x * w[cols], n) + w[-1]
+    back = lambda v: np.append(np.bincount(cols, x * v[rows], m), v.sum())
     w, ridge = np.zeros(m + 1), np.append(np.full(m, RIDGE), 1e-6)
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
@@ -129,10 +132,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     alpha1, alpha0 = SMOOTHING * n1 / (n0 + n1), SMOOTHING * n0 / (n0 + n1)
     ratio = F.log((F.col("c1") + alpha1) / n1) - F.log((F.col("c0") + alpha0) / n0)
-    strength = F.abs(F.col("ratio")) * F.sqrt(F.col("c0") / n0 + F.col("c1") / n1)
-    chosen = counts.withColumn("ratio", ratio).orderBy(strength.desc(), "feature").limit(MODEL_FEATURES).select("feature", "ratio").collect()
+    strength = F.abs(F.col("ratio")) / F.sqrt(1 / (F.col("c0") + 1) + 1 / (F.col("c1") + 1))
+    rated = counts.withColumn("ratio", ratio).where(strength >= MIN_STRENGTH)
+    chosen = rated.orderBy(strength.desc(), "feature").limit(MODEL_FEATURES).select("feature", "ratio", "c0", "c1").collect()
     chosen.sort()
     buckets, ratios = np.array([r[0] for r in chosen], np.int64), np.array([r[1] for r in chosen])
+    # A row's own count is left out of the ratios that it is fitted with, or n-grams that only it
+    # has would explain its label.
+    c0, c1 = np.array([r[2] for r in chosen], float), np.array([r[3] for r in chosen], float)
+    part = lambda c, alpha, n: np.log((np.maximum(c, 0) + alpha) / n)
+    without_own = np.stack([
+        part(c1, alpha1, n1) - part(c0 - 1, alpha0, max(n0 - 1, 1)),
+        part(c1 - 1, alpha1, max(n1 - 1, 1)) - part(c0, alpha0, n0),
+    ])
 
     place = np.full(BUCKETS, -1, np.int64)
     place[buckets] = np.arange(len(buckets))
@@ -152,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     sample = by_batches(keyed.where(within).select("text", "label"), present, "present binary, label int")
     fitted = sample.limit(FIT_ROWS).collect()
     y = np.array([r["label"] for r in fitted], float)
-    weights, bias = _logistic([np.frombuffer(r["present"], np.int32) for r in fitted], ratios, y)
+    weights, bias = _logistic([np.frombuffer(r["present"], np.int32) for r in fitted], without_own, y)
     return buckets, weights * ratios, bias
 
 
