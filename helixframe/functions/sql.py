@@ -6,10 +6,17 @@ from pyspark.sql import SparkSession
 
 from ..constants import CONTIG_FACTOR
 
+# The longest shared suffix by binary search, as in alleles.shared_suffix: equality of the last i
+# bases is monotone in i. One base stays on both sides.
+_CUT = """aggregate(
+  transform(sequence(30, 0, -1), b -> shiftleft(1, b)), 0,
+  (found, step) -> if(found + step < least(length(ref), length(allele))
+    AND right(ref, found + step) = right(allele, found + step), found + step, found))"""
+
 _DEFINITIONS = (
-    # Positive lookahead finds the shared suffix; see alleles.shared_suffix for the column form.
-    """CREATE OR REPLACE TEMPORARY FUNCTION minimize(ref STRING, allele STRING) RETURNS STRING
-       RETURN regexp_replace(concat(ref, ',', allele), '^([^,]+?)([^,]*),([^,]+)\\\\2$', '$1,$3')""",
+    f"""CREATE OR REPLACE TEMPORARY FUNCTION minimize(ref STRING, allele STRING) RETURNS STRING
+       RETURN transform(array({_CUT}), cut -> concat(left(ref, length(ref) - cut), ',',
+         left(allele, length(allele) - cut)))[0]""",
     f"""CREATE OR REPLACE TEMPORARY FUNCTION encode_location(contig STRING, pos BIGINT)
        RETURNS BIGINT RETURN (CASE try_element_at(split(contig, 'r'), 2)
          WHEN 'X' THEN 23 WHEN 'Y' THEN 24

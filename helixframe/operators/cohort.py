@@ -84,12 +84,24 @@ def holdout(alt_allele: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return master, new
 
 
+def _same_variant(other: dict[str, str]):
+    """Null-safe equality of the variant keys: calls may have no allele."""
+    conditions = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return conditions[0] & conditions[1] & conditions[2]
+
+
+def _theirs(df: DataFrame, *columns) -> tuple[DataFrame, dict[str, str]]:
+    """A side with its keys renamed, and how."""
+    names = {k: f"_{k}" for k in VARIANT_KEYS}
+    return df.select(*(F.col(k).alias(n) for k, n in names.items()), *columns), names
+
+
 def merge_condensed(master: DataFrame, new: DataFrame) -> DataFrame:
     """Merge condensed new samples: lists of a known variant are united, others are added."""
     ours = master.select(*VARIANT_KEYS, F.col("sample_ids").alias("_old"))
-    theirs = new.select(*VARIANT_KEYS, F.col("sample_ids").alias("_new"))
-    joined = ours.join(theirs, list(VARIANT_KEYS), "full_outer")
-    return joined.select(*VARIANT_KEYS, _united().alias("sample_ids"))
+    theirs, names = _theirs(new, F.col("sample_ids").alias("_new"))
+    joined = ours.join(theirs, _same_variant(names), "full_outer")
+    return joined.select(*(F.coalesce(k, n).alias(k) for k, n in names.items()), _united().alias("sample_ids"))
 
 
 def small_batch_parts(
@@ -105,12 +117,14 @@ def small_batch_parts(
         return None
     keys = list(VARIANT_KEYS)
     ours = master.select(*VARIANT_KEYS, F.col("sample_ids").alias("_old"))
-    updated = ours.join(F.broadcast(batch), keys, "left").select(
+    theirs, names = _theirs(batch, "_new")
+    updated = ours.join(F.broadcast(theirs), _same_variant(names), "left").select(
         *VARIANT_KEYS, _united().alias("sample_ids")
     )
-    # Master keys are distinct, so the matched keys are no more than the measured batch.
-    matched = master.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
-    added = batch.join(F.broadcast(matched), keys, "left_anti").select(
+    # Master keys are distinct, NULL alleles included, so no more keys match than were measured.
+    wanted, names = _theirs(batch)
+    matched, names = _theirs(master.select(*keys).join(F.broadcast(wanted), _same_variant(names), "left_semi"))
+    added = batch.join(F.broadcast(matched), _same_variant(names), "left_anti").select(
         *VARIANT_KEYS, F.col("_new").alias("sample_ids")
     )
     return updated, added
@@ -128,28 +142,16 @@ def merge_small_batch(
 
 
 def merge_blocks(master: DataFrame, new: DataFrame) -> DataFrame:
-    """``merge_condensed`` for tables of ``condense_blocks`` with one block width.
+    """Merge tables of ``condense_blocks`` with one block width; calls of a sample add up.
 
-    Blocks of both sides are united as sets of samples, one call each; no row outgrows a block.
+    Entries are summed per sample, so the result is what condensing both inputs together gives,
+    whatever the width, and no row outgrows a block.
     """
     keys = [*VARIANT_KEYS, "sample_block"]
-    ours = master.select(*keys, F.col("carriers").alias("_old"))
-    theirs = new.select(*keys, F.col("carriers").alias("_new"))
-
-    def ids(carriers: str):
-        return F.transform(carriers, lambda c: c["sample_id"])
-
-    one = F.lit(1).cast("bigint")
-    united = F.transform(
-        F.array_union(ids("_old"), ids("_new")),
-        lambda s: F.struct(s.alias("sample_id"), one.alias("calls")),
-    )
-    merged = (
-        F.when(F.col("_new").isNull(), F.col("_old"))
-        .when(F.col("_old").isNull(), F.col("_new"))
-        .otherwise(united)
-    )
-    return ours.join(theirs, keys, "full_outer").select(*keys, merged.alias("carriers"))
+    entries = master.select(*keys, "carriers").unionByName(new.select(*keys, "carriers"))
+    single = entries.select(*keys, F.explode("carriers").alias("_c")).select(*keys, "_c.sample_id", "_c.calls")
+    counts = single.groupBy(*keys, "sample_id").agg(F.sum("calls").alias("calls"))
+    return counts.groupBy(*keys).agg(F.collect_list(F.struct("sample_id", "calls")).alias("carriers"))
 
 
 def _united():

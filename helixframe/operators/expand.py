@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..constants import (
     ALT_ALLELE_COLUMNS,
@@ -60,20 +64,22 @@ def expand_alt_alleles(raw: DataFrame) -> DataFrame:
     return _project(with_allele_positions(raw), F.col("allele_pos"))
 
 
-def expand_by_union(raw: DataFrame) -> DataFrame:
-    """The same rows as a bag union of three branches, one per genotype list and position.
-
-    It scans the input three times; kept for comparison, ``expand_alt_alleles`` is the fast form.
-    """
-    first = _project(single_alt_calls(raw), F.lit(1))
-    second = _project(two_alt_calls(raw), F.lit(1))
-    third = _project(two_alt_calls(raw), F.lit(2))
-    return first.unionByName(second).unionByName(third)
+def all_calls(batches: Sequence[DataFrame]) -> DataFrame:
+    """Batches of expanded calls as one table; repeated rows stay."""
+    return reduce(DataFrame.unionByName, batches)
 
 
 def cast_long(df: DataFrame, columns: tuple[str, ...] = LONG_COLUMNS) -> DataFrame:
-    """Cast the named columns to bigint; text that does not parse becomes NULL."""
-    return df.withColumns({c: parse_long(F.col(c).cast("string")) for c in columns})
+    """Cast the named columns to bigint: a fraction is dropped, other text becomes NULL."""
+    return to_whole(df, {c: "bigint" for c in columns})
+
+
+def to_whole(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Cast columns to whole number types; text is read leniently, numbers are cast as they are."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    return df.withColumns(
+        {c: (lenient_long(F.col(c)) if c in text else F.col(c)).cast(kind) for c, kind in kinds.items()}
+    )
 
 
 def columns_first(df: DataFrame, first: tuple[str, ...]) -> DataFrame:

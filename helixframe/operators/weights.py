@@ -9,8 +9,6 @@ from ..functions.numbers import floor_to, int_div
 
 # Width of the blocks that running sums are split into, in bases.
 BLOCK_BASES = 1_000_000
-# A draw meets the bins of one cell only; more cells than this would make hot bins long arrays.
-MAX_CELLS = 1 << 20
 
 
 def total_weight(weights: DataFrame) -> DataFrame:
@@ -65,6 +63,17 @@ def weight_slice(cdf: DataFrame, start: float, end: float, total: Column | int)
     return cdf.where(share.between(start, end))
 
 
+def overlapping_slice(cdf: DataFrame, start: float, end: float, total: Column | int) -> DataFrame:
+    """Bins that a draw from the ``[start, end)`` share of 1..total can land in.
+
+    A bin that straddles an end belongs to both neighbouring slices; each draw lands in one.
+    """
+    total = (total if isinstance(total, Column) else F.lit(total)).cast("double")
+    above = F.col("cw").cast("double") > F.lit(start) * total
+    below = (F.col("cw") - F.col("weight")).cast("double") <= F.lit(end) * total
+    return cdf.where(above & below)
+
+
 def slice_semi(table: DataFrame, key: str, sliced: DataFrame) -> DataFrame:
     """Rows whose 10,000-base block holds a bin of the slice."""
     kept = sliced.select(floor_to(F.col("location"), STATS_BIN).alias("_stats_bin")).distinct()
@@ -75,8 +84,7 @@ def slice_semi(table: DataFrame, key: str, sliced: DataFrame) -> DataFrame:
 def cell_width(weights: DataFrame) -> Column:
     """Width of a lookup cell, as a scalar subquery: about one bin per cell."""
     bins = weights.where(F.col("weight") != 0)
-    cells = F.greatest(F.least(F.count("*"), F.lit(MAX_CELLS)), F.lit(1))
-    width = F.greatest(int_div(F.sum("weight"), cells), F.lit(1))
+    width = F.greatest(int_div(F.sum("weight"), F.greatest(F.count("*"), F.lit(1))), F.lit(1))
     return bins.agg(width.alias("width")).scalar()
 
 

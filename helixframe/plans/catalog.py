@@ -25,10 +25,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 
-LOW, HIGH, WIDE_HIGH = 1_000_000_000_000, 1_000_000_050_000, 1_000_000_500_000
-TERMS = ("stop_gained", "blah", "mickey mouse")
+LOW, HIGH, WIDE_HIGH = 1_000_000_010_007, 1_000_000_010_200, 1_000_000_010_400
+TERMS = ("stop_gained", "frameshift_variant")
 NEW_SAMPLES = 2
-SLICE = (0.2, 0.4)
+SLICE = (0.25, 0.55)
 
 
 def query(build: Query) -> Query:
@@ -77,10 +77,10 @@ def _name(label: str) -> str:
 
 @query
 def scan_parquet_dir(spark, sf_dir):
+    path = scratch_path(spark, "files")
     lines = tables.scan_dir(spark, f"{sf_dir}/lineitem.parquet")
-    return lines.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
-    )
+    tables.write_dir(lines.repartition(5, "l_orderkey"), path)
+    return tables.scan_dir(spark, path, lines.schema)
 
 
 @query
@@ -173,7 +173,7 @@ def path_roundtrip(spark, sf_dir):
 
 @query
 def file_manifest(spark, sf_dir):
-    return tables.file_manifest(spark, sf_dir)
+    return tables.rows_per_table(spark, sf_dir)
 
 
 @query
@@ -245,7 +245,7 @@ def range_select_condensed(spark, sf_dir):
 
 @query
 def filter_sample(spark, sf_dir):
-    return fx.alt_allele(spark, sf_dir).where(F.col("sample_id") == 58)
+    return fx.alt_allele(spark, sf_dir).where(F.col("sample_id") == 41)
 
 
 @query
@@ -548,7 +548,8 @@ def merge_blocks(spark, sf_dir):
 
 @query
 def union_all(spark, sf_dir):
-    return expand.expand_by_union(fx.raw_variants(spark, sf_dir))
+    raw = fx.raw_variants(spark, sf_dir)
+    return expand.all_calls([expand.expand_alt_alleles(raw.where(F.col("call_GQ") % 2 == i)) for i in (0, 1)])
 
 
 @query
@@ -700,7 +701,7 @@ def sql_gene_counts(spark, sf_dir):
 
 @query
 def sql_cohort(spark, sf_dir):
-    return questions.ask(spark, "pathogenic_carriers", **_views(spark, sf_dir))
+    return questions.pathogenic_carriers(spark, **_views(spark, sf_dir))
 
 
 # -- generator model and steps ----------------------------------------------------------------
@@ -733,8 +734,8 @@ def model_bins(spark, sf_dir):
 
 @query
 def gen_draws(spark, sf_dir):
-    per_sample = fx.table(spark, sf_dir, "lineitem").count() // 97
-    return synth.draw_rows(spark, 97, per_sample).groupBy("sample_id").agg(
+    counts = fx.draws(spark, sf_dir).groupBy("sample_id").agg(F.count("*").alias("draws"))
+    return synth.draws_of(counts).groupBy("sample_id").agg(
         F.count("*").alias("draws"), F.max("draw_no").alias("last_draw")
     )
 
@@ -843,7 +844,29 @@ def gen_slice(spark, sf_dir):
 
 @query
 def gen_random(spark, sf_dir):
-    return _generated(spark, sf_dir, None)
+    """What must hold of hashed random samples, per sample that has draws."""
+    calls = fx.alt_allele(spark, sf_dir)
+    first, second = (pin(_generated(spark, sf_dir, None)) for _ in range(2))
+    bins = model.model_weights(calls).select(F.col("location").alias("_bin")).distinct()
+    bounded = (
+        F.col("call_GQ").between(1, MAX_GQ) & (F.col("qual") >= 0) & (F.col("ref_ad") >= 1) & (F.col("ad") >= 1)
+    )
+    row = F.xxhash64("location", "ref", "allele", "call_GQ", "qual", "call_AD").cast("decimal(20,0)")
+    placed = first.withColumn("_bin", numbers.floor_to(F.col("location"), 100)).join(
+        bins.withColumn("_in", F.lit(True)), "_bin", "left"
+    )
+    kept = placed.groupBy("sample_id").agg(
+        F.every(F.coalesce("_in", F.lit(False))).alias("in_bins"), F.every(bounded).alias("bounded"), F.sum(row).alias("_one")
+    )
+    again = second.groupBy("sample_id").agg(F.sum(row).alias("_two"))
+    samples = fx.draws(spark, sf_dir).select("sample_id").distinct()
+    checked = samples.join(kept, "sample_id", "left").join(again, "sample_id", "left")
+    return checked.select(
+        "sample_id",
+        F.coalesce("in_bins", F.lit(True)).alias("in_bins"),
+        F.coalesce("bounded", F.lit(True)).alias("bounded"),
+        F.col("_one").eqNullSafe(F.col("_two")).alias("same_again"),
+    )
 
 
 # -- learning and streaming -------------------------------------------------------------------
@@ -860,10 +883,14 @@ def assemble_features(spark, sf_dir):
 
 @query
 def fit_gbt(spark, sf_dir):
-    raw = fx.raw_variants(spark, sf_dir)
-    fitted = ml.fit_allele_gbt(raw, maxIter=3, maxDepth=3, seed=1)
+    featured = pin(ml.assemble_features(fx.raw_variants(spark, sf_dir)).select("features", "alt_index"))
+    fitted = ml.fit_allele_gbt(featured, maxIter=3, maxDepth=3, seed=1)
     error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("alt_index"), 2)))
-    return fitted.transform(raw).agg(F.count("*").alias("n"), error.alias("rmse"))
+    return fitted.transform(featured).agg(
+        F.count("*").alias("n"),
+        F.countDistinct("alt_index").alias("labels"),
+        (error < F.stddev_pop("alt_index")).alias("better_than_the_mean"),
+    )
 
 
 @query

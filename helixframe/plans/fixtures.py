@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..constants import STATS_BIN
 from ..functions.numbers import floor_to
 from ..operators.expand import expand_alt_alleles
-from ..sources.tables import spread
 
+# A seventh of the lines call one variant; neighbouring parts of a contig lie 7 bases apart; some
+# second alternates are missing; some qualities and depths are decimals or no numbers; some samples
+# have many calls of a variant, and their number grows with the orders.
 RAW_VARIANTS_SQL = """
 SELECT
- (l_partkey % 25 + 1) * 1000000000000 + 10000 + l_partkey * 7 AS location,
- l_orderkey % 97 + 1 AS sample_id,
- CASE l_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'CTT' WHEN 2 THEN 'GATA' WHEN 3 THEN 'T' WHEN 4 THEN 'AC' ELSE 'G' END AS ref,
- CASE l_partkey % 6 WHEN 0 THEN 'G' WHEN 1 THEN 'CT,C' WHEN 2 THEN 'GTA,GATATA' WHEN 3 THEN 'C,A' WHEN 4 THEN 'GC,AT' ELSE 'T' END AS alt,
- CASE WHEN l_partkey % 6 IN (0,5) THEN
+ (k % 25 + 1) * 1000000000000 + 10000 + CAST(floor(k / 25) AS BIGINT) * 7 AS location,
+ CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey % 97 + 1 ELSE CAST(floor(l_orderkey / 200) AS BIGINT) + 1 END AS sample_id,
+ CASE k % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'CTT' WHEN 2 THEN 'GATA' WHEN 3 THEN 'T' WHEN 4 THEN 'AC' ELSE 'G' END AS ref,
+ CASE WHEN k % 30 = 3 THEN 'C' ELSE CASE k % 6 WHEN 0 THEN 'G' WHEN 1 THEN 'CT,C' WHEN 2 THEN 'GTA,GATATA' WHEN 3 THEN 'C,A' WHEN 4 THEN 'GC,AT' ELSE 'T' END END AS alt,
+ CASE WHEN k % 6 IN (0,5) THEN
    CASE l_linenumber % 5 WHEN 0 THEN '0/1' WHEN 1 THEN '1/1' WHEN 2 THEN '0|1' WHEN 3 THEN '0/0' ELSE './.' END
  ELSE CASE l_linenumber % 7 WHEN 0 THEN '0/1' WHEN 1 THEN '1/2' WHEN 2 THEN '2|1' WHEN 3 THEN '1|1' WHEN 4 THEN '0/2'
    WHEN 5 THEN '0/0' ELSE '1|2' END END AS call_GT,
@@ -26,12 +28,12 @@ SELECT
  CASE WHEN l_linenumber = 3 THEN '0|n/a|n/a' ELSE '0|' || CAST(3600 + l_orderkey % 50 AS STRING) || '|'
    || CAST(2400 + l_orderkey % 30 AS STRING) END AS as_raw_mq,
  CASE WHEN l_linenumber = 2 THEN NULL ELSE '|0.' || CAST(l_orderkey % 10 AS STRING) || '|0.1' END AS as_raw_mqranksum,
- CAST(30 + l_orderkey % 70 AS STRING) || '|' || CAST(20 + l_orderkey % 40 AS STRING) AS as_qualapprox,
+ CASE l_linenumber WHEN 6 THEN '57.9' WHEN 5 THEN 'n/a' ELSE CAST(30 + l_orderkey % 70 AS STRING) END || '|' || CAST(20 + l_orderkey % 40 AS STRING) AS as_qualapprox,
  CAST(NULL AS STRING) AS as_raw_readposranksum,
  '1,2|3,4|5,6' AS as_sb_table,
- CAST(l_suppkey % 30 AS STRING) || ',' || CAST(CAST(l_quantity AS BIGINT) % 25 AS STRING) || ','
+ CASE WHEN l_orderkey % 40 = 1 THEN '.' ELSE CAST(l_suppkey % 30 AS STRING) END || ',' || CAST(CAST(l_quantity AS BIGINT) % 25 AS STRING) || ','
    || CAST(l_orderkey % 20 AS STRING) AS call_AD
-FROM {lineitem}
+FROM (SELECT *, CASE WHEN l_orderkey % 7 = 0 THEN 31 ELSE l_partkey END AS k FROM {lineitem}) lines
 """
 
 # Three annotation rows per part: two equal ones and one of another transcript.
@@ -39,7 +41,7 @@ VAT_SQL = """
 SELECT contig || '-' || CAST(position AS STRING) || '-' || ref_allele || '-' || alt_allele AS vid, p.* FROM (SELECT
  CASE p_partkey % 25 + 1 WHEN 23 THEN 'chrX' WHEN 24 THEN 'chrY' WHEN 25 THEN 'chrM'
    ELSE 'chr' || CAST(p_partkey % 25 + 1 AS STRING) END AS contig,
- 10000 + p_partkey * 7 AS position,
+ 10000 + CAST(floor(p_partkey / 25) AS BIGINT) * 7 AS position,
  CASE p_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'CT' WHEN 2 THEN 'GA' WHEN 3 THEN 'T' WHEN 4 THEN 'A' ELSE 'G' END AS ref_allele,
  CASE p_partkey % 6 WHEN 0 THEN 'G' WHEN 1 THEN 'C' WHEN 2 THEN 'G' WHEN 3 THEN 'C' WHEN 4 THEN 'G' ELSE 'T' END AS alt_allele,
  is_canonical_transcript,
@@ -57,12 +59,12 @@ SAMPLE_INFO_SQL = """
 SELECT c_custkey + 1 AS sample_id, c_name AS sample_name,
  CASE WHEN c_custkey % 11 = 0 THEN '2024-01-01' END AS withdrawn,
  CASE WHEN c_custkey % 13 = 0 THEN true WHEN c_custkey % 17 = 0 THEN NULL ELSE false END AS is_control
-FROM {customer} WHERE c_custkey < 97
+FROM {customer}
 """
 
 # One draw per order line.
 DRAWS_SQL = """
-SELECT l_orderkey % 97 + 1 AS sample_id, l_orderkey * 8 + l_linenumber AS draw_no FROM {lineitem}
+SELECT CAST(floor(l_orderkey / 200) AS BIGINT) + 1 AS sample_id, l_orderkey * 8 + l_linenumber AS draw_no FROM {lineitem}
 """
 
 # Every 100 bases of the stand-in genome, with masked (lower-case) and unknown (N) bases.
@@ -84,7 +86,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    """Order lines. A file of this test data is one row group, so one task: a single one is dealt out."""
+    lines = table(spark, sf_dir, "lineitem")
+    if len(lines.inputFiles()) > 1:
+        return lines
+    return lines.repartition(spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber", "l_partkey")
 
 
 def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

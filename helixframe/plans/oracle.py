@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 
-from ..constants import (
-    ALT_ALLELE_COLUMNS,
-    MODY_GENES,
-    SINGLE_ALT_GENOTYPES,
-    TWO_ALT_GENOTYPES,
-)
+from ..constants import ALT_ALLELE_COLUMNS
 from ..functions.noise import modular_noise_sql
 from . import fixtures as fx
 from .synth import NOISE_TAGS
 
 
+# Spelled out here once more, so that a wrong value in the package does not pass on both sides.
+SINGLE_ALT_GENOTYPES = ("0/1", "1/0", "1/1", "0|1", "1|0", "1|1", "0/2", "0|2", "2/0", "2|0", "1", "2")
+TWO_ALT_GENOTYPES = ("1/2", "1|2", "2/1", "2|1")
+MODY_GENES = (
+    "ABCC8", "APPL1", "BLK", "CEL", "GCK", "HNF1A", "HNF1B", "HNF4A", "INS", "KCNJ11",
+    "KLF11", "NEUROD1", "PAX4", "PDX1",
+)
+
+
 def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -33,15 +37,21 @@ SELECT r.*, t.pos AS pos, split(r.alt, ',')[t.pos] AS a FROM raw r, unnest(
   CASE WHEN call_GT IN {_in(TWO_ALT_GENOTYPES)} THEN [1, 2]
        WHEN call_GT IN {_in(SINGLE_ALT_GENOTYPES)} THEN [1] ELSE [] END) t(pos)"""
 
-_CUT = "len(list_filter(range(1, least(length(ref), length(a))), lambda i: right(ref, i) = right(a, i)))"
+_CUT = """CASE WHEN a IS NOT NULL THEN
+  len(list_filter(range(1, least(length(ref), length(a))), lambda i: right(ref, i) = right(a, i))) END"""
+
+
+def _whole(text: str) -> str:
+    return f"CAST(trunc(TRY_CAST({text} AS DOUBLE)) AS BIGINT)"
+
 
 _AA = f"""
 SELECT location, sample_id, left(ref, length(ref) - k) AS ref, left(a, length(a) - k) AS allele,
   CAST(pos AS INTEGER) AS allele_pos, call_GT, call_GQ, as_raw_mq,
   TRY_CAST(split(as_raw_mq, '|')[pos + 1] AS BIGINT) AS raw_mq, as_raw_mqranksum,
-  TRY_CAST(split(as_qualapprox, '|')[pos] AS BIGINT) AS qual, as_raw_readposranksum, as_sb_table,
-  call_AD, TRY_CAST(split(call_AD, ',')[1] AS BIGINT) AS ref_ad,
-  TRY_CAST(split(call_AD, ',')[pos + 1] AS BIGINT) AS ad
+  {_whole("split(as_qualapprox, '|')[pos]")} AS qual, as_raw_readposranksum, as_sb_table,
+  call_AD, {_whole("split(call_AD, ',')[1]")} AS ref_ad,
+  {_whole("split(call_AD, ',')[pos + 1]")} AS ad
 FROM (SELECT *, {_CUT} AS k FROM (SELECT * FROM positions))"""
 
 _LOCATED = """(CASE split(v.contig, 'r')[2] WHEN 'X' THEN 23 WHEN 'Y' THEN 24
@@ -101,9 +111,9 @@ _PARTS = {
     "cond_old": (_COND.format("old"), ("old",)),
     "cond_new": (_COND.format("fresh"), ("fresh",)),
     "merged": (
-        """SELECT location, ref, allele, CASE WHEN c.ids IS NULL THEN m.ids WHEN m.ids IS NULL THEN c.ids
-           ELSE list_distinct(list_concat(m.ids, c.ids)) END AS ids
-           FROM cond_old m FULL JOIN cond_new c USING (location, ref, allele)""",
+        """SELECT location, ref, allele, CASE WHEN max(ids) FILTER (WHERE fresh) IS NULL OR max(ids) FILTER (WHERE NOT fresh) IS NULL
+             THEN max(ids) ELSE list_distinct(flatten(list(ids))) END AS ids
+           FROM (SELECT *, false AS fresh FROM cond_old UNION ALL SELECT *, true AS fresh FROM cond_new) GROUP BY ALL""",
         ("cond_old", "cond_new"),
     ),
     "v": (_CANON + f" WHERE {_PATHO}", ("vat",)),
@@ -111,7 +121,7 @@ _PARTS = {
         """SELECT DISTINCT vid, contig, position, ref_allele, alt_allele,
            array_to_string(consequence, ', ') AS consequence_str, gvs_all_sc FROM vat
            WHERE is_canonical_transcript AND gene_symbol = 'BRCA1'
-             AND list_has_any(consequence, ['stop_gained', 'blah', 'mickey mouse'])""",
+             AND list_has_any(consequence, ['stop_gained', 'frameshift_variant'])""",
         ("vat",),
     ),
     "weights": (
@@ -125,7 +135,12 @@ _PARTS = {
     "tot": ("SELECT CAST(sum(weight) AS BIGINT) AS total FROM weights", ("weights",)),
     "part_cdf": (
         """SELECT cdf.* FROM cdf, tot
-           WHERE CAST(cw AS DOUBLE) / CAST(total AS DOUBLE) BETWEEN 0.2::DOUBLE AND 0.4::DOUBLE""",
+           WHERE CAST(cw AS DOUBLE) / CAST(total AS DOUBLE) BETWEEN 0.25::DOUBLE AND 0.55::DOUBLE""",
+        ("cdf", "tot"),
+    ),
+    "over_cdf": (
+        """SELECT cdf.* FROM cdf, tot WHERE CAST(cw AS DOUBLE) > 0.25::DOUBLE * CAST(total AS DOUBLE)
+           AND CAST(cw - weight AS DOUBLE) <= 0.55::DOUBLE * CAST(total AS DOUBLE)""",
         ("cdf", "tot"),
     ),
     "stats_raw": (_STATS_RAW, ("aa",)),
@@ -154,9 +169,9 @@ _PARTS = {
     ),
     "sliced": (
         f"""SELECT d.sample_id, d.draw_no, c.location AS bucket
-           FROM (SELECT draws.*, least(CAST(floor((0.2::DOUBLE + {_noise('bin')} * {0.4 - 0.2!r}::DOUBLE) * total) AS BIGINT) + 1, total) AS u
-                 FROM draws, tot) d ASOF JOIN part_cdf c ON d.u <= c.cw""",
-        ("draws", "part_cdf", "tot"),
+           FROM (SELECT draws.*, least(CAST(floor((0.25::DOUBLE + {_noise('bin')} * {0.55 - 0.25!r}::DOUBLE) * total) AS BIGINT) + 1, total) AS u
+                 FROM draws, tot) d ASOF JOIN over_cdf c ON d.u <= c.cw""",
+        ("draws", "over_cdf", "tot"),
     ),
 }
 
@@ -242,8 +257,8 @@ def _sql(body: str, *parts: str) -> str:
 
 
 _ALL = ", ".join(ALT_ALLELE_COLUMNS)
-_RANGE = "location > 1000000000000 AND location < 1000000050000"
-_WIDE = "location > 1000000000000 AND location < 1000000500000"
+_RANGE = "location > 1000000010007 AND location < 1000000010200"
+_WIDE = "location > 1000000010007 AND location < 1000000010400"
 _COND_TEXT = f"location, ref, allele, {_IDS.format('ids')}"
 _EXPANDED = _sql(f"SELECT {_ALL} FROM aa", "aa")
 _CONDENSED = _sql(f"SELECT {_COND_TEXT} FROM cond", "cond")
@@ -268,11 +283,17 @@ _CHUNK_100 = """SELECT contig, CAST(c * 100 AS BIGINT) AS chunk_start,
   FROM fasta, unnest(range(0, (length(bases) // 100) + 1)) t(c)"""
 
 
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         # sources and sinks
-        "scan_parquet_dir": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
-            l_returnflag, l_linestatus FROM lineitem""",
+        "scan_parquet_dir": "SELECT * FROM lineitem",
+        "file_manifest": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES),
         "scan_table": _EXPANDED,
         "scan_tsv": _sql("SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ALT_ALLELE_COLUMNS) + " FROM aa", "aa"),
         "scan_gzip_csv": _sql("SELECT location, weight FROM weights", "weights"),
@@ -299,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "range_select": _sql(f"SELECT {_ALL} FROM aa WHERE {_RANGE}", "aa"),
         "range_select_wide": _sql(f"SELECT {_ALL} FROM aa WHERE {_WIDE}", "aa"),
         "range_select_condensed": _sql(f"SELECT {_COND_TEXT} FROM cond WHERE {_RANGE}", "cond"),
-        "filter_sample": _sql(f"SELECT {_ALL} FROM aa WHERE sample_id = 58", "aa"),
+        "filter_sample": _sql(f"SELECT {_ALL} FROM aa WHERE sample_id = 41", "aa"),
         "member_of_set": _sql("SELECT location, ref, allele FROM merged WHERE list_contains(ids, 1)", "merged"),
         "canonical_filter": _sql(f"SELECT {_VAT_TEXT} FROM vat WHERE is_canonical_transcript", "vat"),
         "clinvar_filter": _sql(
@@ -308,7 +329,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "gene_filter": _sql(f"SELECT {_VAT_TEXT} FROM vat WHERE gene_symbol IN {_in(MODY_GENES)}", "vat"),
         "consequence_overlap": _sql(
-            f"SELECT {_VAT_TEXT} FROM vat WHERE list_has_any(consequence, ['stop_gained', 'blah', 'mickey mouse'])", "vat"
+            f"SELECT {_VAT_TEXT} FROM vat WHERE list_has_any(consequence, ['stop_gained', 'frameshift_variant'])", "vat"
         ),
         "call_quality_filter": _sql(f"SELECT {_ALL} FROM aa WHERE call_GQ >= 20 AND ref_ad + ad > 20", "aa"),
         "sample_status_filter": _sql("SELECT * FROM info WHERE withdrawn IS NULL AND is_control IS FALSE", "info"),
@@ -329,12 +350,12 @@ def oracle_sql() -> dict[str, str]:
                TRY_CAST(split(as_raw_mq, '|')[pos + 1] AS BIGINT) AS raw_mq FROM positions""", "positions"
         ),
         "pick_qual": _sql(
-            """SELECT location, sample_id, as_qualapprox, CAST(pos AS INTEGER) AS allele_pos,
-               TRY_CAST(split(as_qualapprox, '|')[pos] AS BIGINT) AS qual FROM positions""", "positions"
+            f"""SELECT location, sample_id, as_qualapprox, CAST(pos AS INTEGER) AS allele_pos,
+               {_whole("split(as_qualapprox, '|')[pos]")} AS qual FROM positions""", "positions"
         ),
         "pick_depths": _sql(
-            """SELECT location, sample_id, call_AD, TRY_CAST(split(call_AD, ',')[1] AS BIGINT) AS ref_ad,
-               TRY_CAST(split(call_AD, ',')[pos + 1] AS BIGINT) AS ad FROM positions""", "positions"
+            f"""SELECT location, sample_id, call_AD, {_whole("split(call_AD, ',')[1]")} AS ref_ad,
+               {_whole("split(call_AD, ',')[pos + 1]")} AS ad FROM positions""", "positions"
         ),
         "pass_through": _sql(
             """SELECT location, sample_id, call_GT, call_GQ, as_raw_mq, as_raw_mqranksum, as_raw_readposranksum,
@@ -402,12 +423,11 @@ def oracle_sql() -> dict[str, str]:
         # merge, set operations, sort, limit
         "merge_upsert": _MERGED,
         "merge_small_batch": _MERGED,
+        # Calls per variant and sample, which know nothing of the merge or of its blocks.
         "merge_blocks": _sql(
             """SELECT location, ref, allele, sample_id // 10 AS sample_block,
-               array_to_string(list_sort(list(sample_id * 1000000 + CASE WHEN united THEN 1 ELSE calls END)), ',') AS carriers
-               FROM (SELECT *, count(DISTINCT fresh) OVER (PARTITION BY location, ref, allele, sample_id // 10) = 2 AS united FROM (
-                 SELECT location, ref, allele, sample_id, sample_id IN (SELECT sample_id FROM hold) AS fresh, count(*) AS calls
-                 FROM aa GROUP BY ALL)) GROUP BY ALL""", "aa", "hold"
+               array_to_string(list_sort(list(sample_id * 1000000 + calls)), ',') AS carriers FROM (
+               SELECT location, ref, allele, sample_id, count(*) AS calls FROM aa GROUP BY ALL) GROUP BY ALL""", "aa"
         ),
         "union_all": _EXPANDED,
         "union_positional": _EXPANDED,
@@ -442,7 +462,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "lenient_cast": """SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) AS whole,
             CAST(NULL AS BIGINT) AS unreadable FROM lineitem""",
-        "depth_pair": _sql("SELECT location, sample_id, ref_ad || ',' || ad AS pair FROM aa", "aa"),
+        "depth_pair": _sql("SELECT location, sample_id, concat_ws(',', ref_ad, ad) AS pair FROM aa", "aa"),
         "letter_case": _sql("SELECT vid, lower(ref_allele) AS low, upper(contig) AS up FROM vat", "vat"),
         "sql_functions": _sql(
             f"""SELECT location, sample_id, left(ref, length(ref) - {_CUT}) || ',' || left(a, length(a) - {_CUT}) AS pair,
@@ -461,9 +481,7 @@ def oracle_sql() -> dict[str, str]:
             """SELECT b.bin, b.entries, low_bits, high_bits, location, allele, percentage
                FROM bitmaps b JOIN spikes s ON s.bin = b.bin""", "bitmaps", "spikes"
         ),
-        "gen_draws": """SELECT s AS sample_id, count(*) AS draws, CAST(max(d) AS BIGINT) AS last_draw FROM (
-            SELECT i // per + 1 AS s, i % per + 1 AS d FROM (SELECT count(*) // 97 AS per FROM lineitem) p,
-            unnest(range(0, 97 * per)) t(i)) GROUP BY ALL""",
+        "gen_draws": _sql("SELECT sample_id, count(*) AS draws, count(*) AS last_draw FROM draws GROUP BY ALL", "draws"),
         "gen_pick_bin": _sql("SELECT sample_id, draw_no, bucket FROM picked", "picked"),
         "gen_spike": _sql("SELECT sample_id, draw_no, bucket, spiked, spike_location, spike_allele FROM candidates", "candidates"),
         "gen_offset": _sql("SELECT sample_id, draw_no, bucket, offset_any, offset_known FROM candidates", "candidates"),
@@ -490,6 +508,10 @@ def oracle_sql() -> dict[str, str]:
         "gen_row": _sql(f"SELECT {_ALL} FROM calls", "calls"),
         "gen_load": _sql(f"SELECT {_ALL} FROM calls", "calls"),
         "gen_slice": _sql(f"SELECT {_ALL} FROM calls_cut", "calls_cut"),
+        "gen_random": _sql(
+            "SELECT DISTINCT sample_id, true AS in_bins, true AS bounded, true AS same_again FROM draws", "draws"
+        ),
+        "fit_gbt": _sql("SELECT count(*) AS n, count(DISTINCT alt) AS labels, true AS better_than_the_mean FROM raw", "raw"),
         # learning and streaming
         "assemble_features": _sql(
             """SELECT location, sample_id, CAST(dense_rank() OVER (ORDER BY ref) - 1 AS DOUBLE) AS ref_index,

@@ -1,39 +1,30 @@
-"""The questions as parameterised SQL text, for users who name tables instead of DataFrames."""
+"""Questions for users who name tables instead of DataFrames: parameterised SQL, and the operators by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
 
-from ..constants import CONTIG_FACTOR, MODY_GENES
+from pyspark.sql import DataFrame, SparkSession
 
-_LOCATED = f"""(CASE try_element_at(split(v.contig, 'r'), 2) WHEN 'X' THEN 23 WHEN 'Y' THEN 24
-  ELSE try_cast(try_element_at(split(v.contig, 'r'), 2) AS BIGINT) END) * {CONTIG_FACTOR} + v.position"""
+from ..constants import MODY_GENES
+from ..operators import annotate
 
 QUESTIONS = {
-    "count_in_range": """
-        SELECT count(*) AS n FROM IDENTIFIER(:calls) WHERE location > :low AND location < :high""",
-    "rows_in_range": """
-        SELECT * FROM IDENTIFIER(:calls) WHERE location > :low AND location < :high""",
+    "count_in_range": "SELECT count(*) AS n FROM IDENTIFIER(:calls) WHERE location > :low AND location < :high",
+    "rows_in_range": "SELECT * FROM IDENTIFIER(:calls) WHERE location > :low AND location < :high",
     "count_rows": "SELECT count(*) AS n FROM IDENTIFIER(:calls)",
-    "gene_counts": """
-        SELECT gene_symbol, count(*) AS n FROM IDENTIFIER(:vat) GROUP BY gene_symbol""",
-    "pathogenic_carriers": f"""
-        WITH v AS (
-          SELECT DISTINCT vid, contig, position, ref_allele, alt_allele, gvs_all_sc
-          FROM IDENTIFIER(:vat)
-          WHERE is_canonical_transcript
-            AND concat_ws('.', clinvar_classification) LIKE '%athogenic%'
-            AND concat_ws('.', clinvar_classification) NOT LIKE '%benign%'
-            AND array_contains(:genes, gene_symbol))
-        SELECT DISTINCT a.sample_id
-        FROM v JOIN IDENTIFIER(:calls) a
-          ON a.ref = v.ref_allele AND a.allele = v.alt_allele AND a.location = {_LOCATED}
-        WHERE a.call_GQ >= :min_gq AND a.ref_ad + a.ad > :min_depth""",
+    "gene_counts": "SELECT gene_symbol, count(*) AS n FROM IDENTIFIER(:vat) GROUP BY gene_symbol",
 }
 
-DEFAULTS = {"pathogenic_carriers": {"genes": list(MODY_GENES), "min_gq": 20, "min_depth": 20}}
-
 
 def ask(spark: SparkSession, question: str, **args) -> DataFrame:
     """Run a question; table names are arguments too."""
-    return spark.sql(QUESTIONS[question], args={**DEFAULTS.get(question, {}), **args})
+    return spark.sql(QUESTIONS[question], args=args)
+
+
+def pathogenic_carriers(
+    spark: SparkSession, calls: str, vat: str, samples: str | None = None, genes: Iterable[str] = MODY_GENES
+) -> DataFrame:
+    """``annotate.pathogenic_carriers`` over named tables; the gene filter reaches their scan."""
+    info = spark.table(samples) if samples else None
+    return annotate.pathogenic_carriers(spark.table(vat), spark.table(calls), info, genes)

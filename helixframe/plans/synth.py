@@ -26,6 +26,7 @@ from ..functions.numbers import clamp, floor_to, half_even, int_div
 from ..functions.text import depth_pair
 from ..operators.joins import MAX_BROADCAST_BYTES, join_measured, measured_bytes
 from ..operators.model import (
+    METRICS,
     bin_bitmaps,
     bin_spikes,
     bin_weights,
@@ -37,9 +38,9 @@ from ..operators.weights import (
     cell_width,
     cumulative_weight,
     nearest_bucket,
+    overlapping_slice,
     slice_semi,
     total_weight,
-    weight_slice,
 )
 from ..schemas import ALT_ALLELE, STAT_METRICS, conform
 from ..session import pin
@@ -52,6 +53,10 @@ NOISE_TAGS = (
 )
 
 
+# Draw numbers in a block of the warm-up's counts.
+WARMUP_BLOCK = 4096
+
+
 class Model(NamedTuple):
     """The four tables a generator run draws from."""
 
@@ -62,16 +67,17 @@ class Model(NamedTuple):
 
 
 def build_model(alt_allele: DataFrame) -> Model:
-    """Derive the tables from called alleles: two passes, each computed once and pinned."""
-    bins = pin(model_bins(alt_allele))
-    stats = pin(fill_stats(model_stats(alt_allele)))
+    """Derive the tables from called alleles: the columns they need are pinned once for both."""
+    calls = pin(alt_allele.select("location", "allele", *METRICS.values()))
+    bins = pin(model_bins(calls))
+    stats = pin(fill_stats(model_stats(calls)))
     return Model(bin_weights(bins), stats, bin_bitmaps(bins), bin_spikes(bins))
 
 
 def slice_model(model: Model, start: float, end: float) -> Model:
     """The part of a model that one share of the weight needs; ``weights`` stays whole."""
     total = total_weight(model.weights).scalar()
-    kept = weight_slice(cumulative_weight(model.weights), start, end, total)
+    kept = overlapping_slice(cumulative_weight(model.weights), start, end, total)
     return Model(
         model.weights,
         slice_semi(model.stats, "location_bin", kept),
@@ -91,6 +97,13 @@ def draw_rows(
     )
 
 
+def draws_of(counts: DataFrame) -> DataFrame:
+    """One row per sample and attempt, for a table of sample_id and its number of draws."""
+    return counts.where("draws > 0").select(
+        "sample_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("draws").cast("bigint"))).alias("draw_no")
+    )
+
+
 def draw_weight(noise: Noise, total: Column, start: float = 0.0, end: float = 1.0) -> Column:
     """A whole number in the start-to-end share of 1..total."""
     share = F.lit(start) + noise("bin") * F.lit(end - start)
@@ -118,7 +131,7 @@ def bin_table(model: Model, genome: DataFrame, start: float = 0.0, end: float =
     """
     cdf = cumulative_weight(model.weights)
     if (start, end) != (0.0, 1.0):
-        cdf = weight_slice(cdf, start, end, total_weight(model.weights).scalar())
+        cdf = overlapping_slice(cdf, start, end, total_weight(model.weights).scalar())
     metrics = model.stats.select("location_bin", F.struct(*STAT_METRICS).alias("metrics"))
     # Bytes, not text: cutting bytes out of a chunk does not count its characters first.
     chunks = genome.select(
@@ -180,8 +193,9 @@ def place_draws(
         draws.withColumn("u", draw_weight(noise, total, start, end)),
         bins,
         cell_width(model.weights),
-        # A bin is listed once for every cell it touches: no more than bins + cells rows.
-        broadcast_bins=2 * measured_bytes(bins) <= max_bytes,
+        # A bin is listed once for every cell it touches. Widths are whole numbers, so there may be
+        # up to 1.5 cells per bin: at most 2.5 rows for each.
+        broadcast_bins=3 * measured_bytes(bins) <= max_bytes,
     )
     offsets = placed.withColumns(
         {
@@ -203,17 +217,21 @@ def place_draws(
 def warmup_ends(rows: DataFrame, warmup: int = WARMUP_ROWS) -> DataFrame:
     """Per sample, the draw that completes its first ``warmup`` accepted rows, if it has as many.
 
-    Ranks up to ``warmup`` are cut off before the shuffle, so a sample with a third of all
-    draws sends no more rows than any other.
+    Accepted draws are counted per sample and block of draw numbers, which combines before the
+    shuffle; only the block in which the count reaches ``warmup`` is ranked. So a sample with a
+    third of all draws sends no more rows than any other, for any ``warmup``.
     """
     by_spike = F.col("spiked") & F.col("spike_base").isNotNull()
     by_base = ~F.col("spiked") & F.col("base_any").isin(*ALLOWED_BASES)
-    accepted = rows.where(by_spike | by_base)
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("draw_no"))
-    ranked = accepted.select("sample_id", "draw_no", rank.alias("_rank"))
-    return ranked.where(F.col("_rank") == warmup).select(
-        "sample_id", F.col("draw_no").alias("warmup_end")
-    )
+    block = int_div(F.col("draw_no"), WARMUP_BLOCK)
+    accepted = pin(rows.where(by_spike | by_base).select("sample_id", "draw_no", block.alias("_block")))
+    counts = accepted.groupBy("sample_id", "_block").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("sample_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
+    reached = counts.withColumn("_upto", upto).where((F.col("_upto") >= warmup) & (F.col("_upto") - F.col("_n") < warmup))
+    wanted = reached.select("sample_id", "_block", (F.lit(warmup) - F.col("_upto") + F.col("_n")).alias("_wanted"))
+    rank = F.row_number().over(Window.partitionBy("sample_id", "_block").orderBy("draw_no"))
+    ranked = join_measured(accepted, wanted, ["sample_id", "_block"]).withColumn("_rank", rank)
+    return ranked.where("_rank = _wanted").select("sample_id", F.col("draw_no").alias("warmup_end"))
 
 
 def generate(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import scratch_path
+
 CLUSTER_BY = ("location",)
 
 
@@ -18,15 +22,6 @@ def scan_dir(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table of fewer splits than cores over all cores; a larger one is left alone.
-
-    Keys should be distinct together, so that the parts come out even.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table."""
     return spark.read.table(name)
@@ -43,8 +38,28 @@ def write_table(df: DataFrame, name: str, path: str | None = None, fmt: str = "p
 
 
 def replace_table(df: DataFrame, name: str, path: str | None = None, fmt: str = "parquet") -> None:
-    """Create a catalog table in place of one that may exist."""
-    _table_writer(df, path, fmt).mode("overwrite").saveAsTable(name)
+    """Create a catalog table in place of one that may exist.
+
+    The rows are written to a new folder first, below ``path`` or the shared folder, and the name
+    is pointed there when they are complete: a write that fails leaves the old table as it was.
+    With the same columns the name never goes away; other columns take a drop and a create, both
+    after the write. The old folder is left to its owner.
+    """
+    spark = df.sparkSession
+    target = f"{path}/{uuid.uuid4().hex}" if path else scratch_path(spark, name)
+    write_dir(df, target, fmt)
+    _repoint(spark, name, target, fmt)
+
+
+def _repoint(spark: SparkSession, name: str, target: str, fmt: str) -> None:
+    written = spark.read.format(fmt).load(target)
+    if spark.catalog.tableExists(name):
+        if spark.table(name).schema == written.schema:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{target}'")
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql(f"DROP TABLE {name}")
+    spark.catalog.createTable(name, path=target, source=fmt, schema=written.schema)
 
 
 def _table_writer(df: DataFrame, path: str | None, fmt: str):
@@ -97,13 +112,22 @@ def compact(
     by: Sequence[str] = CLUSTER_BY,
     then_by: Sequence[str] = (),
     files: int | None = None,
+    name: str | None = None,
 ) -> DataFrame:
     """Rewrite a folder into a new one with fewer, clustered files, and read that.
 
-    The source stays as it is; point readers to the new folder when it is complete.
+    The new folder must hold as many rows as the old one; then the catalog table ``name``, if
+    given, is pointed there, so that its readers go on with the new files. The source stays as
+    it is, for readers that are still at it.
     """
     write_clustered(spark.read.parquet(source), target, by, then_by, files)
-    return spark.read.parquet(target)
+    before, after = spark.read.parquet(source).count(), spark.read.parquet(target).count()
+    if before != after:
+        raise RuntimeError(f"{target} holds {after} rows, {source} {before}")
+    if name is None:
+        return spark.read.parquet(target)
+    _repoint(spark, name, target, "parquet")
+    return spark.table(name)
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -115,3 +139,14 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modification_time"),
     )
+
+
+def rows_per_table(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
+    """Name and row count of every parquet table, a file or a folder, in a folder."""
+    below = F.regexp_extract("path", r"/([^/]+)" + suffix.replace(".", r"\.") + r"(/[^/]+)?$", 1)
+    names = file_manifest(spark, path).select(below.alias("name")).where("name <> ''").distinct()
+    counts = [
+        spark.read.parquet(f"{path}/{r.name}{suffix}").agg(F.count("*").alias("n")).select(F.lit(r.name).alias("name"), "n")
+        for r in names.collect()
+    ]
+    return reduce(DataFrame.unionByName, counts)

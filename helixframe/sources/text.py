@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..constants import ALT_ALLELE_COLUMNS
 from ..functions.numbers import parse_double
+from ..operators.expand import to_whole
 from ..schemas import ALT_ALLELE, BITMAPS, BUCKET_STATS_TEXT, SPIKES, STAT_METRICS, WEIGHTS, conform
 
 TSV_OPTIONS = {
@@ -22,9 +23,24 @@ TSV_OPTIONS = {
 def read_tsv(
     spark: SparkSession, path: str, columns: tuple[str, ...] = ALT_ALLELE_COLUMNS
 ) -> DataFrame:
-    """Tab-separated files with a header, in one folder or one per sample; every column is text."""
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.options(**TSV_OPTIONS).schema(schema).csv(path).select(*columns)
+    """Tab-separated files with a header, in one folder or one per sample; every column is text.
+
+    Columns are found by their names in the header, whatever their order. A column that is
+    missing, or a file whose header differs from the first one's, is an error.
+    """
+    return _by_header(spark, path, TSV_OPTIONS, StructType([StructField(c, StringType()) for c in columns]))
+
+
+def _by_header(spark: SparkSession, path: str, options: dict[str, str], wanted: StructType) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").options(**options)
+    header = reader.csv(path).columns
+    missing = [f.name for f in wanted.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    kinds = {f.name: f.dataType for f in wanted.fields}
+    found = StructType([StructField(c, kinds.get(c, StringType())) for c in header])
+    # Without enforceSchema every file's header is held against the schema.
+    return reader.option("enforceSchema", "false").schema(found).csv(path).select(*wanted.names)
 
 
 def write_sample_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -39,8 +55,8 @@ def write_sample_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def read_model_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Comma-separated files with a header. Gzip files must be named ``.csv.gz``."""
-    return spark.read.option("header", "true").schema(schema).csv(path)
+    """Comma-separated files with a header, read by name. Gzip files must be named ``.csv.gz``."""
+    return _by_header(spark, path, {"header": "true"}, schema)
 
 
 def write_model_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -76,9 +92,11 @@ def read_bitmaps(spark: SparkSession, path: str) -> DataFrame:
 def load_samples(spark: SparkSession, path: str, target: DataFrame) -> DataFrame:
     """Read generated samples for an empty table of calls (an action on the target).
 
-    The result has the columns and types of the expanded table.
+    The result has the columns and types of the expanded table. Numbers are read leniently: a
+    fraction is dropped, and text that is no number becomes NULL.
     """
     if not target.isEmpty():
         raise ValueError("the target table holds rows already; truncate it first")
-    samples = conform(read_tsv(spark, path), ALT_ALLELE)
+    whole = {f.name: f.dataType.simpleString() for f in ALT_ALLELE.fields if isinstance(f.dataType, (LongType, IntegerType))}
+    samples = conform(to_whole(read_tsv(spark, path), whole), ALT_ALLELE)
     return conform(target, ALT_ALLELE).unionByName(samples)

@@ -43,7 +43,7 @@ def oracle_bag(con, sql: str) -> tuple[list[str], list[tuple]]:
     return sorted(columns), bag(columns, result.fetchall())
 
 
-TYPES = {"long": "BIGINT", "integer": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
+TYPES = {"long": "BIGINT", "integer": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
 def type_gaps(df, con, sql: str) -> list[str]:

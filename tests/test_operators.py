@@ -52,13 +52,21 @@ def test_short_lists_and_bad_numbers_give_null(spark):
     ]
 
 
-def test_expand_schema_and_union_form(spark):
+def test_expand_schema_and_union_of_batches(spark):
     from helixframe.plans import fixtures as fx
 
     calls = fx.raw_variants(spark, SF)
-    exploded, united = expand.expand_alt_alleles(calls), expand.expand_by_union(calls)
-    assert [(f.name, f.dataType) for f in exploded.schema] == [(f.name, f.dataType) for f in ALT_ALLELE]
-    assert exploded.exceptAll(united).isEmpty() and united.exceptAll(exploded).isEmpty()
+    whole = expand.expand_alt_alleles(calls)
+    united = expand.all_calls([expand.expand_alt_alleles(calls.where(F.col("call_GQ") % 3 == i)) for i in range(3)])
+    assert [(f.name, f.dataType) for f in whole.schema] == [(f.name, f.dataType) for f in ALT_ALLELE]
+    assert whole.exceptAll(united).isEmpty() and united.exceptAll(whole).isEmpty()
+
+
+def test_cast_long_reads_text_and_leaves_numbers(spark):
+    rows = spark.createDataFrame([("57.9", 8), (" 12 ", None), ("n/a", 9), (None, 1)], "qual string, ad int")
+    made = expand.cast_long(rows, ("qual", "ad"))
+    assert made.dtypes == [("qual", "bigint"), ("ad", "bigint")]
+    assert [tuple(r) for r in made.collect()] == [(57, 8), (12, None), (None, 9), (None, 1)]
 
 
 def aa(spark, rows):
@@ -111,12 +119,30 @@ def test_merging_halves_gives_the_whole_as_sets(spark, bound):
     assert cohort.with_sample(merged, 3).count() == sum(3 in v for v in whole.values())
 
 
-def test_merging_blocks_gives_the_whole_as_sets(spark):
-    rows = [r for r in skewed_calls() if r[3] is not None]
+@pytest.mark.parametrize("width", [1, 2, 10, 10**6])
+def test_merging_blocks_keeps_every_call(spark, width):
+    rows = [r for r in skewed_calls() if r[3] is not None] + [(9, "A", None, 4), (9, "A", None, 4), (9, "A", None, 250)]
     master, new = cohort.holdout(aa(spark, rows), 20)
-    merged = cohort.merge_blocks(*(cohort.condense_blocks(half, width=50) for half in (master, new)))
-    found = [(b.location, b.ref, b.allele, c.sample_id) for b in merged.collect() for c in b.carriers]
-    assert len(found) == len(set(found)) and set(found) == set(rows)
+    # Some samples have calls on both sides.
+    both = new.unionByName(master.where("sample_id % 5 = 0"))
+    merged = cohort.merge_blocks(*(cohort.condense_blocks(half, width=width) for half in (master, both)))
+    found = Counter()
+    for b in merged.collect():
+        for sample, calls in b.carriers:
+            assert sample // width == b.sample_block and (b.location, b.ref, b.allele, sample) not in found
+            found[(b.location, b.ref, b.allele, sample)] = calls
+    lowest = sorted({r[3] for r in rows})[:20]
+    expected = Counter(rows)
+    expected.update(r for r in rows if r[3] % 5 == 0 and r[3] not in lowest)
+    assert found == expected
+
+
+def test_merges_match_missing_alleles(spark):
+    master = spark.createDataFrame([(1, "A", None, [1]), (2, None, None, [5])], CONDENSED)
+    new = spark.createDataFrame([(1, "A", None, [2]), (2, None, None, [5]), (3, "A", None, [9])], CONDENSED)
+    expected = {(1, "A", None): [1, 2], (2, None, None): [5], (3, "A", None): [9]}
+    assert lists(cohort.merge_condensed(master, new)) == expected
+    assert lists(cohort.merge_small_batch(master, new)) == expected
 
 
 def test_merge_unites_lists_of_known_variants_only(spark):
@@ -213,3 +239,16 @@ def test_model_of_one_pass_equals_separate_tables(spark):
         (model.bin_spikes(bins), model.model_spikes(calls)),
     ):
         assert sorted(map(tuple, joint.collect())) == sorted(map(tuple, single.collect()))
+
+
+def test_neighbouring_slices_hold_every_bin_a_draw_can_meet(spark):
+    random.seed(6)
+    bins = [(10**12 + 100 * i, random.choice([1, 5, 300])) for i in range(60)]
+    cdf = weights.cumulative_weight(spark.createDataFrame(bins, "location bigint, weight bigint"))
+    total = sum(w for _, w in bins)
+    rows = {r.location: (r.cw - r.weight, r.cw) for r in cdf.collect()}
+    for start, end in ((0.0, 0.2), (0.2, 0.55), (0.55, 1.0)):
+        kept = {r.location for r in weights.overlapping_slice(cdf, start, end, total).collect()}
+        draws = range(int(start * total) + 1, int(end * total - 1e-9) + 2)
+        needed = {k for k, (low, high) in rows.items() if any(low < u <= high for u in draws)}
+        assert needed <= kept and len(kept) <= len(needed) + 1

@@ -141,6 +141,42 @@ def test_unreadable_stats_become_five(spark, scratch):
 
 
 def test_replace_table(spark, scratch):
+    name = "helixframe_replace_test"
     for n in (3, 5):
-        tables.replace_table(spark.range(n), "helixframe_replace_test", scratch)
-        assert tables.scan_table(spark, "helixframe_replace_test").count() == n
+        tables.replace_table(spark.range(n), name, scratch)
+        assert tables.scan_table(spark, name).count() == n
+    broken = spark.range(9).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
+    with pytest.raises(Exception):
+        tables.replace_table(broken, name, scratch)
+    assert tables.scan_table(spark, name).count() == 5
+    tables.replace_table(spark.range(2).select("id", F.lit("x").alias("more")), name, scratch)
+    assert tables.scan_table(spark, name).columns == ["id", "more"]
+
+
+def test_compact_points_the_table_to_the_new_files(spark, scratch):
+    rows = spark.range(1000).select(F.col("id").alias("location"))
+    name = "helixframe_compact_test"
+    tables.write_table(rows.repartition(20), name, f"{scratch}/a")
+    again = tables.compact(spark, f"{scratch}/a", f"{scratch}/b", files=2, name=name)
+    assert again.count() == 1000 and len(spark.table(name).inputFiles()) == 2
+
+
+def test_columns_are_found_by_name(spark, scratch):
+    write_lines(spark, f"{scratch}/a", ["b\ta\tc", "2\t1\t3"])
+    assert [tuple(r) for r in text.read_tsv(spark, f"{scratch}/a", ("a", "b")).collect()] == [("1", "2")]
+    with pytest.raises(ValueError):
+        text.read_tsv(spark, f"{scratch}/a", ("a", "d"))
+    write_lines(spark, f"{scratch}/two/x", ["a\tb", "1\t2"])
+    write_lines(spark, f"{scratch}/two/y", ["b\ta", "2\t1"])
+    with pytest.raises(Exception):
+        text.read_tsv(spark, f"{scratch}/two", ("a", "b")).collect()
+    write_lines(spark, f"{scratch}/w", ["weight,location", "7,100"])
+    assert [tuple(r) for r in text.read_weights(spark, f"{scratch}/w").collect()] == [(100, 7)]
+
+
+def test_load_takes_malformed_numbers(spark, scratch):
+    columns = list(ALT_ALLELE.names)
+    values = {"location": "1000000000001", "sample_id": "7", "qual": "57.9", "ad": "n/a", "call_GQ": "", "ref": "A"}
+    write_lines(spark, scratch, ["\t".join(reversed(columns)), "\t".join(values.get(c, "") for c in reversed(columns))])
+    row = text.load_samples(spark, scratch, spark.createDataFrame([], ALT_ALLELE)).first()
+    assert (row.location, row.sample_id, row.qual, row.ad, row.call_GQ, row.ref) == (1000000000001, 7, 57, None, None, "A")
