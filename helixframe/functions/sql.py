@@ -18,9 +18,9 @@ _DEFINITIONS = (
        RETURN transform(array({_CUT}), cut -> concat(left(ref, length(ref) - cut), ',',
          left(allele, length(allele) - cut)))[0]""",
     f"""CREATE OR REPLACE TEMPORARY FUNCTION encode_location(contig STRING, pos BIGINT)
-       RETURNS BIGINT RETURN (CASE try_element_at(split(contig, 'r'), 2)
+       RETURNS BIGINT RETURN try_add(try_multiply(CASE try_element_at(split(contig, 'r'), 2)
          WHEN 'X' THEN 23 WHEN 'Y' THEN 24
-         ELSE try_cast(try_element_at(split(contig, 'r'), 2) AS BIGINT) END) * {CONTIG_FACTOR} + pos""",
+         ELSE try_cast(try_element_at(split(contig, 'r'), 2) AS BIGINT) END, {CONTIG_FACTOR}), pos)""",
     f"""CREATE OR REPLACE TEMPORARY FUNCTION decode_location(loc BIGINT)
        RETURNS STRUCT<contig: STRING, pos: BIGINT> RETURN named_struct('contig',
          concat('chr', CASE loc div {CONTIG_FACTOR} WHEN 23 THEN 'X' WHEN 24 THEN 'Y'

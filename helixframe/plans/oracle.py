@@ -317,6 +317,9 @@ def oracle_sql() -> dict[str, str]:
         "filter_two_alt_gt": _sql(f"SELECT {_RAW_ALL} FROM raw WHERE call_GT IN {_in(TWO_ALT_GENOTYPES)}", "raw"),
         "range_count": _RANGE_COUNT,
         "range_count_condensed": _sql(f"SELECT count(*) AS n FROM cond WHERE {_RANGE}", "cond"),
+        "range_count_stored": _RANGE_COUNT,
+        "range_count_stored_condensed": _sql(f"SELECT count(*) AS n FROM cond WHERE {_RANGE}", "cond"),
+        "gene_filter_stored": _sql(f"SELECT {_VAT_TEXT} FROM vat WHERE gene_symbol IN {_in(MODY_GENES)}", "vat"),
         "range_select": _sql(f"SELECT {_ALL} FROM aa WHERE {_RANGE}", "aa"),
         "range_select_wide": _sql(f"SELECT {_ALL} FROM aa WHERE {_WIDE}", "aa"),
         "range_select_condensed": _sql(f"SELECT {_COND_TEXT} FROM cond WHERE {_RANGE}", "cond"),
@@ -518,5 +521,7 @@ def oracle_sql() -> dict[str, str]:
                CAST(dense_rank() OVER (ORDER BY alt) - 1 AS DOUBLE) AS alt_index,
                CAST(location AS DOUBLE) AS location_feature FROM raw""", "raw"
         ),
-        "ingest_stream": _MERGED,
+        "ingest_stream": _sql(
+            f"SELECT location, ref, allele, {_IDS.format('list_distinct(ids)')} FROM cond", "cond"
+        ),
     }

@@ -1,64 +1,110 @@
-"""New samples merged into the condensed table as they arrive."""
+"""New samples merged into the condensed table as they arrive.
+
+A store keeps the condensed table by blocks of a million bases. A commit lists for every block the
+batch that wrote it last; a batch reads and rewrites only the blocks that it has calls in, in a new
+folder, and then commits a new list. Every older commit stays readable until its folders are removed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.numbers import int_div
 from ..operators.cohort import condense, merge_condensed, small_batch_parts
 from ..schemas import ALT_ALLELE, CONDENSED
 from ..session import pin
-from ..sources.tables import write_clustered
 
+# A genome has about 3,000 blocks, so a list of them fits anywhere.
+BLOCK_BASES = 1_000_000
+NO_LOCATION = -1
+_COMMIT = "commit bigint, block bigint, number bigint"
 
-def _path(store: str, number: int) -> str:
-    return f"{store}/snapshots/{number:08d}"
 
+def _path(store: str, number: int, block: int) -> str:
+    return f"{store}/data/v={number:08d}/block={block}"
 
-def _commit(spark: SparkSession, store: str, number: int) -> None:
-    """Note a snapshot as complete, after its files are written."""
-    noted = spark.range(1).select(F.lit(number).cast("bigint").alias("number"))
-    noted.write.mode("overwrite").parquet(f"{store}/commits/{number:08d}")
 
+def _with_block(condensed: DataFrame) -> DataFrame:
+    block = F.coalesce(int_div(F.col("location"), BLOCK_BASES), F.lit(NO_LOCATION))
+    return condensed.withColumn("block", block.cast("bigint"))
 
-def create_store(condensed: DataFrame, store: str) -> None:
-    """Write the first snapshot of a condensed table, clustered by location."""
-    write_clustered(condensed, _path(store, 0), then_by=("ref", "allele"))
-    _commit(condensed.sparkSession, store, 0)
 
+def _write_blocks(condensed: DataFrame, store: str, number: int) -> list[int]:
+    """Write the blocks of a batch, sorted inside their files (an action); their numbers.
 
-def read_store(spark: SparkSession, store: str, upto: int | None = None) -> DataFrame:
-    """The latest complete snapshot, or the latest up to a number (an action on the commits)."""
-    commits = spark.read.schema("number bigint").option("recursiveFileLookup", "true")
-    numbers = commits.parquet(f"{store}/commits")
+    Rebalancing brings a block's rows together and lets adaptive execution split a large block.
+    """
+    target = f"{store}/data/v={number:08d}"
+    rows = _with_block(condensed).hint("rebalance", "block").sortWithinPartitions("block", "location", "ref", "allele")
+    rows.write.mode("overwrite").partitionBy("block").parquet(target)
+    written = condensed.sparkSession.read.schema("location bigint, block bigint").parquet(target)
+    return [r.block for r in written.select("block").distinct().collect()]
+
+
+def _commit(spark: SparkSession, store: str, number: int, blocks: dict[int, int]) -> None:
+    """Note which batch wrote which block last, after the files are written."""
+    rows = [(number, block, wrote) for block, wrote in sorted(blocks.items())] or [(number, None, None)]
+    spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{store}/commits/{number:08d}")
+
+
+def _commits(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(_COMMIT).option("recursiveFileLookup", "true").parquet(f"{store}/commits")
+
+
+def _blocks(spark: SparkSession, store: str, upto: int | None) -> dict[int, int]:
+    """The list of the latest commit, or of the latest up to a number (an action on the commits)."""
+    commits = _commits(spark, store)
     if upto is not None:
-        numbers = numbers.where(F.col("number") <= upto)
-    latest = numbers.agg(F.max("number")).first()[0]
+        commits = commits.where(F.col("commit") <= upto)
+    latest = commits.agg(F.max("commit")).first()[0]
     if latest is None:
-        raise ValueError(f"no complete snapshot in {store}")
-    return spark.read.schema(CONDENSED).parquet(_path(store, latest))
+        raise ValueError(f"no complete commit in {store}")
+    listed = commits.where((F.col("commit") == latest) & F.col("block").isNotNull()).collect()
+    return {r.block: r.number for r in listed}
+
+
+def _read_blocks(spark: SparkSession, store: str, blocks: dict[int, int]) -> DataFrame:
+    if not blocks:
+        return spark.createDataFrame([], CONDENSED)
+    return spark.read.schema(CONDENSED).parquet(*(_path(store, n, b) for b, n in sorted(blocks.items())))
+
+
+def create_store(condensed: DataFrame, store: str) -> None:
+    """Write a condensed table as the first commit of a store."""
+    blocks = _write_blocks(condensed, store, 0)
+    _commit(condensed.sparkSession, store, 0, dict.fromkeys(blocks, 0))
+
+
+def read_store(spark: SparkSession, store: str, upto: int | None = None) -> DataFrame:
+    """The latest complete state, or the latest up to a number (an action on the commits)."""
+    return _read_blocks(spark, store, _blocks(spark, store, upto))
 
 
 def merge_batch(batch: DataFrame, store: str, number: int) -> None:
-    """Write the snapshot that follows from merging a batch of calls into the one before.
+    """Merge a batch of calls into the state before and commit the result.
 
-    A small batch leaves the master's rows where they are: they are read, united and written
-    without a shuffle, which keeps the location ranges of the files, and only the new variants
-    are clustered. A batch that is run again reads the same earlier snapshot and overwrites its
-    own, so a replay changes nothing.
+    A batch that is run again reads the same earlier state and overwrites its own folder and
+    commit, so a replay changes nothing.
     """
-    spark, target = batch.sparkSession, _path(store, number)
-    master = read_store(spark, store, upto=number - 1)
+    spark = batch.sparkSession
+    listed = _blocks(spark, store, number - 1)
     condensed = pin(condense(batch))
+    touched = {r.block for r in _with_block(condensed).select("block").distinct().collect()}
+    master = _read_blocks(spark, store, {b: n for b, n in listed.items() if b in touched})
     parts = small_batch_parts(master, condensed)
-    if parts is None:
-        merged = merge_condensed(master, condensed)
-        write_clustered(merged, target, then_by=("ref", "allele"), mode="overwrite")
-    else:
-        updated, added = parts
-        updated.write.mode("overwrite").parquet(target)
-        write_clustered(added, target, then_by=("ref", "allele"), mode="append")
-    _commit(spark, store, number)
+    merged = merge_condensed(master, condensed) if parts is None else parts[0].unionByName(parts[1])
+    if touched:
+        _write_blocks(merged, store, number)
+    _commit(spark, store, number, listed | dict.fromkeys(touched, number))
+
+
+def removable_paths(spark: SparkSession, store: str, oldest_kept: int) -> list[str]:
+    """Block folders that no commit from ``oldest_kept`` on needs, for the store's owner to remove."""
+    named = _commits(spark, store).where("block IS NOT NULL")
+    needed = named.where(F.col("commit") >= oldest_kept).select("block", "number").distinct()
+    old = named.select("block", "number").distinct().join(needed, ["block", "number"], "left_anti")
+    return sorted(_path(store, r.number, r.block) for r in old.collect())
 
 
 def ingest_stream(
@@ -70,7 +116,7 @@ def ingest_stream(
     """Merge every new parquet file of expanded calls into the store, then stop.
 
     Start it again to take up what has arrived since. Progress is kept in the store itself, so
-    that batch numbers and snapshot numbers always belong together. A store follows one source.
+    that batch numbers and commits always belong together. A store follows one source.
     """
     reader = spark.readStream.schema(ALT_ALLELE)
     if files_per_batch:

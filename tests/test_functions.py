@@ -129,3 +129,13 @@ def test_noise_does_not_depend_on_partitions(spark):
     assert 0 <= min(uniform) and max(uniform) < 1 and abs(sum(uniform) / 20_000 - 0.5) < 0.02
     spread = math.sqrt(sum(z * z for z in normal) / 20_000)
     assert abs(sum(normal) / 20_000) < 0.05 and abs(spread - 1) < 0.05
+
+
+def test_sql_functions_on_long_and_odd_input(spark):
+    sql.register(spark)
+    tail = "ACGT" * 4000
+    rows = spark.createDataFrame([("G" + tail, "T" + tail), (tail, tail), ("A", "CA"), ("CTT", "CT"), (None, "A")], "r string, a string")
+    pairs = [r.p for r in rows.selectExpr("minimize(r, a) AS p").collect()]
+    assert pairs == ["G,T", "A,A", "A,CA", "CT,C", None]
+    odd = spark.sql("SELECT encode_location('chr99999999999', 1) AS big, encode_location('chr2_alt', 1) AS alt").first()
+    assert (odd.big, odd.alt) == (None, None)

@@ -131,6 +131,38 @@ def test_ingest_is_idempotent_and_resumes(spark, scratch):
     assert state() == expected and earlier.count() > 0
 
 
+def test_a_batch_rewrites_only_the_blocks_it_touches(spark, scratch):
+    def calls(*rows):
+        frame = spark.createDataFrame(rows, "location bigint, ref string, allele string, sample_id bigint")
+        return frame
+
+    a, b, c = 5, 2 * ingest.BLOCK_BASES + 7, 9 * ingest.BLOCK_BASES
+    ingest.create_store(cohort.condense(calls((a, "A", "C", 1), (b, "A", "C", 1), (c, "G", None, 1), (None, "A", "C", 1))), scratch)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+
+    def listing():
+        return {(r.path, r.modificationTime) for r in files.load(f"{scratch}/data").select("path", "modificationTime").collect()}
+
+    before = listing()
+    ingest.merge_batch(calls((b, "A", "C", 2), (c, "G", None, 1), (c, "G", "T", 3)), scratch, 1)
+    assert before < listing() and len(listing() - before) == 2
+    state = {tuple(r)[:3]: sorted(r.sample_ids) for r in ingest.read_store(spark, scratch).collect()}
+    assert state == {(a, "A", "C"): [1], (b, "A", "C"): [1, 2], (c, "G", None): [1], (c, "G", "T"): [3], (None, "A", "C"): [1]}
+    assert ingest.read_store(spark, scratch, upto=0).count() == 4
+    ingest.merge_batch(calls().limit(0), scratch, 2)
+    assert ingest.read_store(spark, scratch).count() == 5
+    assert ingest.removable_paths(spark, scratch, 0) == []
+    assert [p.rpartition("/")[2] for p in ingest.removable_paths(spark, scratch, 2)] == ["block=2", "block=9"]
+
+
+def test_stored_tables_are_filtered_in_the_scan(spark, capsys):
+    for name, pushed in (("range_count_stored", "GreaterThan(location"), ("gene_filter_stored", "In(gene_symbol")):
+        capsys.readouterr()
+        catalog.queries()[name](spark, SF).explain("formatted")
+        plan = capsys.readouterr().out
+        assert pushed in plan and "REPARTITION" not in plan
+
+
 def test_questions_take_table_names(spark):
     fx.alt_allele(spark, SF).createOrReplaceTempView("some_calls")
     n = questions.ask(spark, "count_rows", calls="some_calls").first().n
