@@ -48,9 +48,9 @@ ANCHOR = 28
 #: Suffixes whose anchor stands at one of as many neighbouring offsets share a piece.
 GROUP = 8
 #: Text that a task parses before it sends, and that a bucket stands for.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
-PIECES = 300_000
+PIECES = 150_000
 #: A longer text is parsed in parts; each start belongs to one.
 PART_BYTES = 4 << 20
 _BASE = 0x5851F42D4C957F2D
