@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_batches, text_of
 
-MAX_STATES = 300_000
-MAX_PIECES = 250_000
+MAX_STATES = 220_000
+MAX_PIECES = 150_000
 CHUNK = 1 << 16
 
 
@@ -67,10 +67,15 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1, ()),)
+        # A state is packed: node, last token + 1, number of unsent tokens and those, for each position;
+        # the present position comes first. Small objects, since there are many states.
+        start = struct.pack("<3I", 0, 0, 0)
         self.states = [start]
         self.numbers = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: By state and byte: the next state and the number of what is sent.
+        self.moves: dict[int, int] = {}
+        self.sends: list[tuple[int, ...]] = [()]
+        self.send_numbers: dict[tuple[int, ...], int] = {(): 0}
 
     def merged(self, data: bytes, until: int = 1) -> list[int]:
         """Lowest rank first, leftmost first: what the merges themselves say about a short text."""
@@ -127,47 +132,59 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, key: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, key: int) -> int:
         """The transition of a state and byte met for the first time, and what it sends."""
-        byte, alive, added, child, fits = key & 255, [], None, self.child.get, self.fits.get
-        for node, last, unsent in self.states[key >> 8]:
-            grown = child(node << 8 | byte)
-            if grown is None:
-                continue
-            if added is None and (rank := self.rank_at[grown]) >= 0:
-                known = fits(last << 32 | rank)
-                if known or known is None and self._may_follow(last, rank):
-                    added = (0, rank, (*unsent, rank))
-            if self.goes_on[grown]:
-                alive.append((grown, last, unsent))
-        if added is None:
+        byte, alive, sent, child, fits = key & 255, [], None, self.child.get, self.fits.get
+        packed = self.states[key >> 8]
+        values = struct.unpack(f"<{len(packed) // 4}I", packed)
+        at = 0
+        while at < len(values):
+            last, until = values[at + 1] - 1, at + 3 + values[at + 2]
+            grown = child(values[at] << 8 | byte)
+            if grown is not None:
+                if sent is None and (rank := self.rank_at[grown]) >= 0:
+                    known = fits(last << 32 | rank)
+                    if known or known is None and self._may_follow(last, rank):
+                        sent = (*values[at + 3 : until], rank)
+                if self.goes_on[grown]:
+                    alive.append((grown, last, values[at + 3 : until]))
+            at = until
+        if sent is None:
             raise ValueError(f"no token can end at byte {byte} here: the ranks are not those of byte-level merges")
-        sent = added[2]
         agreed = len(sent)
         for _, _, unsent in alive:
             agreed = min(agreed, len(unsent))
             while unsent[:agreed] != sent[:agreed]:
                 agreed -= 1
-        alive.append(added)
-        state = tuple([(node, last, unsent[agreed:]) for node, last, unsent in alive]) if agreed else tuple(alive)
+        flat = [0, sent[-1] + 1, len(sent) - agreed, *sent[agreed:]]
+        for node, last, unsent in alive:
+            flat += (node, last + 1, len(unsent) - agreed, *unsent[agreed:])
+        state = struct.pack(f"<{len(flat)}I", *flat)
         target = self.numbers.get(state)
         if target is None:
             target = self.numbers[state] = len(self.states)
             self.states.append(state)
-        move = self.moves[key] = (target << 8, sent[:agreed])
+        number = self.send_numbers.setdefault(sent[:agreed], len(self.sends))
+        if number == len(self.sends):
+            self.sends.append(sent[:agreed])
+        move = self.moves[key] = target << 24 | number
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) > self.max_states:
+        if len(self.states) > self.max_states or len(self.sends) > 1 << 23:
             self.reset()
-        state, out, moves = 0, [], self.moves
+        state, out, moves, sends = 0, [], self.moves.get, self.sends
         for byte in piece:
-            state, sent = moves.get(state | byte) or self._move(state | byte)
-            if sent:
-                out += sent
-        out += self.states[state >> 8][-1][2]
+            move = moves(state | byte)
+            if move is None:
+                move = self._move(state | byte)
+            state = move >> 24 << 8
+            if number := move & 0xFFFFFF:
+                out += sends[number]
+        packed = self.states[state >> 8]
+        out += struct.unpack_from(f"<{int.from_bytes(packed[8:12], 'little')}I", packed, 12)
         return out
 
 
@@ -333,6 +350,10 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _LOADED[key]
 
 
+def forget() -> None:
+    _LOADED.clear()
+
+
 def _vocabulary(spark: SparkSession, path: str):
     """The rank file, read on the driver; its size does not depend on the corpus."""
     with open(path, "rb") as file:

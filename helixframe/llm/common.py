@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -68,7 +69,20 @@ def _ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def _forget_others(own: str) -> None:
+    """Python workers live on from task to task: drop what other modules have cached in this one."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith(__package__) and name != own and hasattr(module, "forget"):
+            module.forget()
+
+
 def by_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     _ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    own = function.__module__
+
+    def run(batches):
+        _forget_others(own)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)

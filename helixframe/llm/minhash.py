@@ -10,11 +10,12 @@ filled by doubling that rank. Ranks are cut into strips by powers of four, each
 number of darts, so that texts of all lengths see the same ones.
 
 Signatures are joined by bands. Copies (equal words) are collapsed first. In each bucket the members
-are paired with the bucket's first member, in later rounds with its last one and with the first of
-another order, as far as they are not yet in one class; pairs are checked exactly on their shingles
-and classes are connected components. So a bucket of n texts makes n pairs in a round, every step
-is an aggregate that combines before the shuffle or a join that adaptive execution can split, and
-nothing gathers a bucket, a class or an edge list in one task.
+are paired with the bucket's central member, in later rounds, as far as they are in another class
+than most, with the first and last in other orders, until a round finds no link. A sketch of the signature drops
+pairs that cannot reach the threshold, the others are checked exactly on their shingles, and classes
+are connected components. So a bucket of n texts makes at most 4n pairs in a round, every step is an
+aggregate that combines before the shuffle or a join that adaptive execution can split, and nothing
+gathers a bucket, a class or an edge list in one task.
 
 Defined results: a null or empty text, or one without words, is in a class of its own; a text with
 one to four words is one shingle. Rows that share a doc_id are one document, and join the classes
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import join_measured
@@ -44,6 +46,15 @@ T = K * (math.log(K) + 2)
 #: Bounds of the rank strips; the next ones are four times as far.
 FIRST_STRIP = 1 / 256
 _BATCH_BYTES = 1 << 20
+EDGES_PER_PART = 500_000
+CELLS_PER_PART = 10_000
+PAIRS_PER_PART = 20_000
+MEMBERS_PER_PART = 250_000
+#: The last round is the first that finds no link, or this one.
+ROUNDS = 6
+#: Bytes of a sketch. Of two texts that are alike to 0.8, fewer than half agree once in a million.
+SKETCH = 64
+MAY_BE_ALIKE = 0.5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -216,16 +227,18 @@ def signatures(cells: np.ndarray, owners: np.ndarray, n: int, k: int = K, t: flo
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about as many bytes each."""
-    texts = batch.column(1).cast(pa.binary()).to_pylist()
+    sizes = pc.binary_length(batch.column(1)).to_pylist()
     begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= _BATCH_BYTES or i == len(texts) - 1:
-            yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= _BATCH_BYTES or i == len(sizes) - 1:
+            part = batch.slice(begin, i + 1 - begin)
+            yield part, part.column(1).cast(pa.binary()).to_pylist()
             begin, size = i + 1, 0
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The band keys of every text; the first one comes with a sketch, a byte of some coordinates."""
     for batch in batches:
         for part, texts in _groups(batch):
             cells, owners = shingle_cells(texts)
@@ -235,11 +248,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mix(keys * _ODD + values[:, row::ROWS])
             keys = mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             ids = part.column(0).to_numpy(zero_copy_only=False)[present]
+            sketches = [None] * (len(present) * BANDS)
+            sketches[::BANDS] = [row.tobytes() for row in mix(values[:, :SKETCH]).astype(np.uint8)]
+            columns = [keys.reshape(-1).view(np.int64), np.repeat(ids, BANDS)]
             yield pa.record_batch(
-                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS), pa.int64())], names=["band", "doc_id"]
+                [*(pa.array(c, pa.int64()) for c in columns), pa.array(sketches, pa.binary())], names=["band", "doc_id", "sketch"]
             )
 
 
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches agree in enough bytes that their texts may be alike."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+        kept = pa.array((x == y).mean(axis=1) >= MAY_BE_ALIKE)
+        yield pa.record_batch([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in _groups(batch):
@@ -273,6 +297,11 @@ def copies(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce("_first", "doc_id").alias("first"))
 
 
+def _in_parts(pinned: DataFrame, rows: int) -> DataFrame:
+    """A pinned table in as many parts as its rows need (an action): later rounds are many and small."""
+    return pinned.coalesce(pinned.count() // rows + 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of an edge list (a, b).
 
@@ -280,66 +309,104 @@ def components(edges: DataFrame) -> DataFrame:
     knows, until all hang on their root. Minima are combined before the shuffle.
     """
     state = pin(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     while True:
+        parts = state.count() // EDGES_PER_PART + 1
+        state = state.coalesce(parts)
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        told = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = told.coalesce(parts).distinct().coalesce(parts)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            joined.select("a", F.col("m").alias("b"))
+        joined = large.join(least, "a").coalesce(parts)
+        told = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        state = pin(told.select("e.*").where("a <> b").distinct().coalesce(parts))
+        # Done when every node hangs on one root that hangs on none.
+        ends = state.select(F.col("a").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+            state.select(F.col("b").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
         )
-        state = pin(small.where("a <> b").distinct())
-        seen = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if seen == mark:
+        open_ = ends.groupBy("x").agg(F.sum("hangs").alias("n"), F.max("holds").alias("h")).where("n > 1 OR n = 1 AND h = 1").coalesce(parts)
+        if not open_.agg(F.count("*")).first()[0]:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = seen
-
-
-def _paired(buckets: DataFrame, classes: DataFrame | None, order: int) -> DataFrame:
-    """Members of every bucket with the bucket's first member in an order, unless in one class."""
-    place = [F.xxhash64("doc_id"), -(F.xxhash64("doc_id").cast("decimal(20,0)")), F.xxhash64(F.lit(order), "doc_id")][order % 3]
-    rows = buckets
-    if classes is not None:
-        rows = join_measured(buckets, classes, ["doc_id"], "left").withColumn("class", F.coalesce("class", "doc_id"))
-    else:
-        rows = rows.withColumn("class", F.col("doc_id"))
-    first = rows.groupBy("band").agg(
-        F.min(F.struct(place.alias("o"), F.col("doc_id").alias("d"), F.col("class").alias("c"))).alias("f"),
-        F.min("class").alias("lo"), F.max("class").alias("hi"),
-    ).where("lo < hi").select("band", F.col("f.d").alias("_first"), F.col("f.c").alias("_class"))
-    met = rows.join(first, "band").where("class <> _class")
-    return met.select(F.least("doc_id", "_first").alias("a"), F.greatest("doc_id", "_first").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+
+
+def _paired(buckets: DataFrame, classes: DataFrame | None, order: int, parts: int) -> DataFrame:
+    """Members of every bucket with some of its members of another class.
+
+    At first all with the bucket's central member, the one that shares most buckets with others:
+    the text that edited copies were made from, if it is there. That ends most of the work on
+    large groups of copies. Then those outside the bucket's smallest class, which is most often its
+    large one, with the first and the last of that class, and with the first and the last among
+    themselves, in an order of the bucket's own: two texts that share buckets meet in one of them
+    even where others lie between them.
+    """
+    if classes is None:
+        central = buckets.groupBy("band").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("d"))).alias("c"))
+        star = buckets.join(central.select("band", (-F.col("c.d")).alias("_end")), "band").where("doc_id <> _end")
+        return star.select(F.least("doc_id", "_end").alias("a"), F.greatest("doc_id", "_end").alias("b")).coalesce(parts).distinct()
+    rows = join_measured(buckets, classes, ["doc_id"], "left").withColumn("class", F.coalesce("class", "doc_id"))
+    rows = rows.withColumn("o", F.xxhash64(F.lit(order), "band", "doc_id"))
+    ends = [F.min(F.struct("class", o, "doc_id")) for o in (F.col("o"), F.bitwise_not("o").alias("o"))]
+    least = rows.groupBy("band").agg(F.array(*ends).alias("_ends"), F.max("class").alias("hi")).where("hi > _ends[0].class")
+    others = rows.join(least.drop("hi"), "band").where("class > _ends[0].class")
+    pairs = others.select("doc_id", F.explode("_ends.doc_id").alias("_end"))
+    members = F.struct("o", "doc_id", "class")
+    ends = others.groupBy("band").agg(
+        F.array(F.min(members), F.max(members)).alias("_ends"), F.min("class").alias("lo"), F.max("class").alias("hi")
+    ).where("lo < hi").select("band", F.explode("_ends").alias("f"))
+    among = others.drop("_ends").join(ends, "band").where("class <> f.class")
+    pairs = pairs.unionByName(among.select("doc_id", F.col("f.doc_id").alias("_end")))
+    return pairs.select(F.least("doc_id", "_end").alias("a"), F.greatest("doc_id", "_end").alias("b")).coalesce(parts).distinct()
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose sketches don't rule them out; what an exact check is worth."""
+    first = sketches.select(F.col("doc_id").alias("sketched_a"), F.col("sketch").alias("_x"))
+    second = sketches.select(F.col("doc_id").alias("sketched_b"), F.col("sketch").alias("_y"))
+    full = pairs.join(first, F.col("a") == F.col("sketched_a")).join(second, F.col("b") == F.col("sketched_b"))
+    return by_batches(full.select("a", "b", "_x", "_y"), _promising, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose weighted Jaccard index reaches the threshold."""
-    left = pairs.join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("cells_b")), "b")
-    full = left.join(cells.select(F.col("doc_id").alias("a"), F.col("cells").alias("cells_a")), "a")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = join_measured(texts, named, ["doc_id"], "left_semi")
+    cells = staged(by_batches(wanted, _cells, "doc_id bigint, cells binary"), "cells")
+    cells = _in_parts(cells, CELLS_PER_PART)
+    second = cells.select(F.col("doc_id").alias("shingled_b"), F.col("cells").alias("cells_b"))
+    first = cells.select(F.col("doc_id").alias("shingled_a"), F.col("cells").alias("cells_a"))
+    full = pairs.join(second, F.col("b") == F.col("shingled_b")).join(first, F.col("a") == F.col("shingled_a"))
     return by_batches(full.select("a", "b", "cells_a", "cells_b"), _compare, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame, rounds: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and class_size of every row."""
     copied = pin(copies(docs))
     again = copied.where("doc_id <> first")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     distinct = without_ids(texts, again)
-    bands = pin(by_batches(distinct, _sign, "band bigint, doc_id bigint"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1").select("band")
-    buckets = pin(bands.join(shared, "band", "left_semi").distinct())
+    bands = pin(by_batches(distinct, _sign, "band bigint, doc_id bigint, sketch binary"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
+    buckets = pin(bands.select("band", "doc_id").join(shared, "band").distinct())
+    parts = buckets.count() // MEMBERS_PER_PART + 1
+    met = buckets.coalesce(parts).groupBy("doc_id").agg(F.sum("_n").alias("met"))
+    buckets = pin(buckets.coalesce(parts).drop("_n").join(met, "doc_id").coalesce(parts))
+    buckets = buckets.coalesce(parts)
     members = buckets.select("doc_id").distinct()
-    candidates = join_measured(distinct, members, ["doc_id"], "left_semi")
-    cells = staged(by_batches(candidates, _cells, "doc_id bigint, cells binary"), "cells")
+    sketches = bands.where("sketch IS NOT NULL").select("doc_id", "sketch")
+    sketches = _in_parts(pin(join_measured(sketches, members, ["doc_id"], "left_semi")), MEMBERS_PER_PART)
     edges = copied.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    links, classes = None, None
+    links, classes, tested = None, None, None
     for order in range(rounds):
-        found = pin(_verified(_paired(buckets, classes, order), cells))
+        if links is not None:
+            classes = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("class"))
+        pairs = _paired(buckets, classes, order, parts)
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = _in_parts(pin(_likely(pairs, sketches).coalesce(parts)), PAIRS_PER_PART)
+        found = _in_parts(pin(_verified(pairs, distinct)), EDGES_PER_PART)
         if order and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        classes = pin(components(links)).select(F.col("node").alias("doc_id"), F.col("root").alias("class"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
     whole = components(edges.unionByName(links))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     found = join_measured(ids, whole.withColumnRenamed("node", "doc_id"), ["doc_id"], "left")
