@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import sys
@@ -40,6 +42,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have, made from these by underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := "_" * i + name).lower() not in taken) for name in names]
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id is not in the list; the list is broadcast only when measured small."""
     return join_measured(docs, ids.select("doc_id").distinct(), ["doc_id"], "left_anti")
@@ -74,6 +82,8 @@ def _forget_others(own: str) -> None:
     for name, module in list(sys.modules.items()):
         if name.startswith(__package__) and name != own and hasattr(module, "forget"):
             module.forget()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def by_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.joins import join_measured
 from ..session import pin
-from .common import SPACE, by_batches, text_of, without_ids
+from .common import SPACE, by_batches, fresh, text_of, without_ids
 
 #: Bytes of distinct content that one table may hold.
 TABLE_BYTES = 48 << 20
@@ -192,18 +192,19 @@ def stage(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return without_ids(docs, groups.where(~F.col("kept")))
     # Ids are not unique: the id alone does not name a row, so these rows are told apart by text.
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    listed = repeated.withColumnRenamed("doc_id", "_id")
+    id_, key_, sha_, n_ = fresh(docs, "_id", "_key", "_sha", "_n")
+    same = F.col("doc_id").eqNullSafe(F.col(id_))
+    listed = repeated.withColumnRenamed("doc_id", id_)
     alone = without_ids(docs.join(listed, same, "left_anti"), groups.where(~F.col("kept")))
     shared = docs.join(listed, same, "left_semi")
     key = F.sha2(F.regexp_replace(text_of(), F.lit(SPACE + "+"), F.lit(" ")), 256)
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("text"))
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_)).distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id", key_).orderBy("text"))
     chosen = (
-        shared.withColumn("_key", key)
-        .join(kept, same & (F.col("_key") == F.col("_sha")), "left_semi")
-        .withColumn("_n", first)
-        .where("_n = 1")
+        shared.withColumn(key_, key)
+        .join(kept, same & (F.col(key_) == F.col(sha_)), "left_semi")
+        .withColumn(n_, first)
+        .where(F.col(n_) == 1)
     )
     return alone.unionByName(chosen.select(*docs.columns))
 

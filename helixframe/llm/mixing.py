@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.joins import join_measured
 from ..session import pin
-from .common import text_of, word_count
+from .common import fresh, text_of, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
@@ -170,23 +170,24 @@ def stage(docs: DataFrame) -> DataFrame:
 
     Where rows share a doc_id, the passes of that id are dealt out among them in turn.
     """
-    due = curriculum(docs).select(
-        F.col("doc_id").alias("_id"), F.explode("positions").alias("_position")
-    ).groupBy("_id").agg(F.sort_array(F.collect_list("_position")).alias("_positions"))
-    rows = docs.withColumn("_turn", F.lit(0)).withColumn("_rows", F.lit(1))
-    repeated = pin(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    id_, turn, copies, position, positions = fresh(docs, "_id", "_turn", "_copies", "_position", "_positions")
+    due = curriculum(docs).select(F.col("doc_id").alias(id_), F.explode("positions").alias(position))
+    due = due.groupBy(id_).agg(F.sort_array(F.collect_list(position)).alias(positions))
+    same = F.col("doc_id").eqNullSafe(F.col(id_))
+    once = {turn: F.lit(0), copies: F.lit(1)}
+    rows = docs.withColumns(once)
+    repeated = pin(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_)))
     if not repeated.isEmpty():
-        same = Window.partitionBy("doc_id")
-        text = F.col("text")
-        shared = docs.join(repeated.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        alone = docs.join(repeated.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-        rows = alone.withColumn("_turn", F.lit(0)).withColumn("_rows", F.lit(1)).unionByName(
-            shared.withColumn("_turn", F.row_number().over(same.orderBy(F.xxhash64(text), text)) - 1)
-            .withColumn("_rows", F.count("*").over(same).cast("int"))
-        )
-    own = F.filter("_positions", lambda p, i: i % F.col("_rows") == F.col("_turn"))
-    taken = rows.join(due, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_position", F.explode(own))
-    ordered = taken.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id")
+        alike = Window.partitionBy("doc_id")
+        dealt = {
+            turn: F.row_number().over(alike.orderBy(F.xxhash64("text"), "text")) - 1,
+            copies: F.count("*").over(alike).cast("int"),
+        }
+        shared = docs.join(repeated, same, "left_semi").withColumns(dealt)
+        rows = docs.join(repeated, same, "left_anti").withColumns(once).unionByName(shared)
+    own = F.filter(positions, lambda p, i: i % F.col(copies) == F.col(turn))
+    taken = rows.join(due, same).withColumn(position, F.explode(own))
+    ordered = taken.repartitionByRange(position, "doc_id").sortWithinPartitions(position, "doc_id")
     return ordered.select(*docs.columns)
 
 

@@ -42,7 +42,7 @@ def odd(documents, spark, words):
     texts = [None, "", " \t\n", "one", "one", "two  three", "two three", long, long + " tail", "a\x00b", "é" * 60, "x" * 5000]
     rows = documents(texts).unionByName(documents(["one"], 3))
     rows = rows.unionByName(spark.createDataFrame([(None, "no id here", None, None, None)], DOCS))
-    clash = {c: "x" for c in ("size", "class", "band", "digest", "tag", "_key", "_n", "kept", "label", "h", "spans", "_first")}
+    clash = {c: "x" for c in ("size", "class", "band", "digest", "tag", "_key", "_n", "kept", "label", "h", "spans", "_first", "_id", "_turn", "_position")}
     for name, value in clash.items():
         rows = rows.withColumn(name, F.lit(value))
     return rows.repartition(3)
