@@ -27,7 +27,8 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    # Smaller tables: executors have kept memory from the stages before.
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True, max_states=220_000, max_pieces=150_000)
 
 
 STAGES = [

@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_batches, text_of
 
-MAX_STATES = 220_000
-MAX_PIECES = 150_000
+#: What a worker keeps, about 0.5 kB for each state and 0.3 kB for each piece; results do not depend on it.
+MAX_STATES = 400_000
+MAX_PIECES = 400_000
 CHUNK = 1 << 16
 
 
@@ -100,7 +101,7 @@ class Transducer:
         key = last << 32 | rank
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > MAX_STATES:
+            if len(self.fits) > self.max_states:
                 self.fits.clear()
             known = self.fits[key] = self.stay_apart(last, rank)
         return known
@@ -272,9 +273,9 @@ class Decoder:
 class Codec:
     """A vocabulary with its split pattern."""
 
-    def __init__(self, data: bytes, pattern: str) -> None:
+    def __init__(self, data: bytes, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> None:
         self.ranks = read_ranks(data)
-        self.transducer = Transducer(self.ranks)
+        self.transducer = Transducer(self.ranks, max_states)
         self.split = regex.compile(pattern)
         self.table = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
@@ -291,7 +292,7 @@ class Codec:
                         if now < 0:
                             break
                     self.nexts[state, rank] = now
-        self.pieces = _Pieces(self.transducer)
+        self.pieces = _Pieces(self.transducer, max_pieces)
 
     def encode(self, text: str) -> np.ndarray:
         get = self.pieces.__getitem__
@@ -321,9 +322,9 @@ class _Pieces(dict):
     When it is full, a new generation begins, and what is met again is taken over from the last.
     """
 
-    def __init__(self, transducer: Transducer) -> None:
+    def __init__(self, transducer: Transducer, max_pieces: int) -> None:
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.max_pieces = transducer, max_pieces
         self.last: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -332,21 +333,22 @@ class _Pieces(dict):
             found = self.transducer.encode(piece.encode("utf-8"))
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(ids) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.max_pieces:
                 self.last = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
-_LOADED: dict[tuple[str, str], Codec] = {}
+_LOADED: dict[tuple, Codec] = {}
 
 
-def codec(data: bytes, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
+def codec(data: bytes, *settings) -> Codec:
+    """One codec per worker process, vocabulary and settings; another one takes its place."""
+    key = (hashlib.sha256(data).hexdigest(), *settings)
     if key not in _LOADED:
-        _LOADED[key] = Codec(data, pattern)
+        _LOADED.clear()
+        _LOADED[key] = Codec(data, *settings)
     return _LOADED[key]
 
 
@@ -388,12 +390,19 @@ def _listed(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def round_trip(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    with_ids: bool = False,
+    max_states: int = MAX_STATES,
+    max_pieces: int = MAX_PIECES,
+) -> DataFrame:
     """Encode every text and decode its ids again: token count and digests of ids and bytes, ids on request."""
     data = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(data.value, pattern)
+        own = codec(data.value, pattern, max_states, max_pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
