@@ -11,11 +11,14 @@ number of darts, so that texts of all lengths see the same ones.
 
 Signatures are joined by bands. Copies (equal words) are collapsed first. In each bucket the members
 are paired with the bucket's central member, in later rounds, as far as they are in another class
-than most, with the first and last in other orders, until a round finds no link. A sketch of the signature drops
+than most, with the first and last in other orders. That joins large groups of copies with few pairs, at most
+4n in a round for a bucket of n texts. Every pair of a bucket that is in two classes after these rounds is
+then tested: members are dealt into chunks, and pairs of chunks are blocks of bounded size that
+tasks take one by one. Members of the bucket's largest class don't meet each other. A sketch of the signature drops
 pairs that cannot reach the threshold, the others are checked exactly on their shingles, and classes
-are connected components. So a bucket of n texts makes at most 4n pairs in a round, every step is an
-aggregate that combines before the shuffle or a join that adaptive execution can split, and nothing
-gathers a bucket, a class or an edge list in one task.
+are connected components. Every step is an aggregate that combines before the shuffle, a join that
+adaptive execution can split or a task over blocks, and nothing gathers a bucket, a class or an edge
+list in one task. The number of pairs is quadratic only in members of a bucket outside its largest class.
 
 Defined results: a null or empty text, or one without words, is in a class of its own; a text with
 one to four words is one shingle. Rows that share a doc_id are one document, and join the classes
@@ -50,8 +53,10 @@ EDGES_PER_PART = 500_000
 CELLS_PER_PART = 10_000
 PAIRS_PER_PART = 20_000
 MEMBERS_PER_PART = 250_000
-#: The last round is the first that finds no link, or this one.
-ROUNDS = 6
+#: Rounds of few pairs before the blocks, at most; they save pairs and decide nothing.
+ROUNDS = 3
+#: Members, and cells of their texts, of a chunk; a block has two chunks.
+CHUNK, CHUNK_CELLS = 1024, 1 << 20
 #: Bytes of a sketch. Of two texts that are alike to 0.8, fewer than half agree once in a million.
 SKETCH = 64
 MAY_BE_ALIKE = 0.5
@@ -238,7 +243,8 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The band keys of every text; the first one comes with a sketch, a byte of some coordinates."""
+    """The band keys of every text and its number of cells; the first one comes with a sketch, a byte
+    of some coordinates, and with all keys."""
     for batch in batches:
         for part, texts in _groups(batch):
             cells, owners = shingle_cells(texts)
@@ -248,11 +254,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mix(keys * _ODD + values[:, row::ROWS])
             keys = mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             ids = part.column(0).to_numpy(zero_copy_only=False)[present]
-            sketches = [None] * (len(present) * BANDS)
+            sketches, all_keys = ([None] * (len(present) * BANDS) for _ in range(2))
             sketches[::BANDS] = [row.tobytes() for row in mix(values[:, :SKETCH]).astype(np.uint8)]
-            columns = [keys.reshape(-1).view(np.int64), np.repeat(ids, BANDS)]
+            all_keys[::BANDS] = [row.tobytes() for row in keys]
+            sizes = np.bincount(owners, minlength=len(texts))[present]
+            columns = [keys.reshape(-1).view(np.int64), np.repeat(ids, BANDS), np.repeat(sizes, BANDS)]
             yield pa.record_batch(
-                [*(pa.array(c, pa.int64()) for c in columns), pa.array(sketches, pa.binary())], names=["band", "doc_id", "sketch"]
+                [*(pa.array(c, pa.int64()) for c in columns), *(pa.array(c, pa.binary()) for c in (sketches, all_keys))],
+                names=["band", "doc_id", "size", "sketch", "keys"],
             )
 
 
@@ -287,6 +296,88 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([first.filter(kept), second.filter(kept)], names=["a", "b"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal first three columns: the blocks of a sorted partition."""
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if held and tuple(names[:, begin]) != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = tuple(names[:, begin])
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(block: pa.Table, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of a block with those that may be alike and are in another class now.
+
+    Every pair comes in one bucket only, that of the first band that both texts share.
+    """
+    n = block.num_rows
+    band, low, high = (block.column(i)[0].as_py() for i in range(3))
+    band = np.array([band]).view(np.uint64)[0]
+    second = block.column("second").to_numpy()
+    sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
+    keys = np.frombuffer(b"".join(block.column("keys").to_pylist()), np.uint64).reshape(n, BANDS)
+    right = np.flatnonzero(second) if low < high else np.arange(n)
+    columns = np.ascontiguousarray(sketches[right].T)
+    for i in np.flatnonzero(~second).tolist():
+        at = 0 if low < high else i + 1
+        same = (columns[:, at:] == sketches[i][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+        others = right[at:][same >= MAY_BE_ALIKE * SKETCH]
+        others = others[classes[others] != classes[i]]
+        if len(others):
+            shared = keys[others] == keys[i]
+            others = others[shared.any(axis=1) & (keys[i][shared.argmax(axis=1)] == band)]
+        if len(others):
+            yield i, others
+
+
+def _promising_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of blocks that may be alike to another one there."""
+    for block in _blocks(batches):
+        wanted = np.zeros(block.num_rows, bool)
+        for i, others in _candidates(block, block.column("class").to_numpy()):
+            wanted[i] = True
+            wanted[others] = True
+        if wanted.any():
+            yield from block.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of blocks that join classes, checked exactly; a pair whose classes are joined by then is not needed."""
+    for block in _blocks(batches):
+        classes, ids = block.column("class").to_numpy().copy(), block.column("doc_id").to_numpy()
+        packed = block.column("cells").to_pylist()
+        sizes = np.array([len(c) // 8 for c in packed])
+        ends, codes, found = np.cumsum(sizes), None, []
+        for i, others in _candidates(block, classes):
+            if codes is None:
+                values, codes = np.unique(np.frombuffer(b"".join(packed), np.uint64), return_inverse=True)
+                mine = np.zeros(len(values), bool)
+                codes = np.split(codes, ends[:-1])
+            least, most = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+            others = others[least >= SIMILARITY * most]
+            if not len(others):
+                continue
+            mine[codes[i]] = True
+            starts = np.cumsum(sizes[others]) - sizes[others]
+            shared = np.add.reduceat(mine[np.concatenate([codes[j] for j in others])], starts, dtype=np.int64)
+            mine[codes[i]] = False
+            for j in others[shared >= SIMILARITY * (sizes[others] + sizes[i] - shared)].tolist():
+                if classes[j] != classes[i]:
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    classes[classes == classes[j]] = classes[i]
+        if found:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id and the smallest doc_id with the same words, for documents with words and an id."""
     words = F.trim(F.regexp_replace(text_of(), F.lit(SPACE + "+"), F.lit(" ")))
@@ -366,33 +457,84 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return by_batches(full.select("a", "b", "_x", "_y"), _promising, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose weighted Jaccard index reaches the threshold."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _cells_of(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id and packed cells of the texts with these ids."""
     wanted = join_measured(texts, named, ["doc_id"], "left_semi")
     cells = staged(by_batches(wanted, _cells, "doc_id bigint, cells binary"), "cells")
-    cells = _in_parts(cells, CELLS_PER_PART)
+    return _in_parts(cells, CELLS_PER_PART)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs whose weighted Jaccard index reaches the threshold."""
+    cells = _cells_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), texts)
     second = cells.select(F.col("doc_id").alias("shingled_b"), F.col("cells").alias("cells_b"))
     first = cells.select(F.col("doc_id").alias("shingled_a"), F.col("cells").alias("cells_a"))
     full = pairs.join(second, F.col("b") == F.col("shingled_b")).join(first, F.col("a") == F.col("shingled_a"))
     return by_batches(full.select("a", "b", "cells_a", "cells_b"), _compare, "a bigint, b bigint")
 
 
+def _dealt(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of every bucket with several classes, once for each block that they are in.
+
+    Chunks below ``_others`` are of members outside the largest class. Each of these meets itself and
+    all other chunks; a block is named by the bucket and its two chunks.
+    """
+    rows = join_measured(buckets.drop("met"), classes, ["doc_id"], "left").withColumn("class", F.coalesce("class", "doc_id"))
+    of_class = rows.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sums = [F.max(F.struct("n", "class", "s")).alias("big"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c")]
+    # Of two members the first round has tested the only pair.
+    several = of_class.groupBy("band").agg(*sums).where("c > 1 AND n > 2")
+    whole = (F.col("n") <= CHUNK) & (F.col("s") <= CHUNK_CELLS)
+    chunks = lambda n, s: F.ceil(F.greatest(n / CHUNK, s / CHUNK_CELLS, F.lit(1.0))).cast("int")
+    several = several.select(
+        "band",
+        F.when(~whole, F.col("big.class")).alias("_big"),
+        F.when(whole, 1).otherwise(chunks(F.col("n") - F.col("big.n"), F.col("s") - F.col("big.s"))).alias("_others"),
+        F.when(whole, 0).otherwise(chunks(F.col("big.n"), F.col("big.s"))).alias("_bigs"),
+    )
+    held = join_measured(rows, several, ["band"])
+    inside = F.coalesce(F.col("class") == F.col("_big"), F.lit(False))
+    spread = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    held = held.withColumn("_own", F.when(inside, F.col("_others") + spread(F.greatest("_bigs", F.lit(1)))).otherwise(spread(F.col("_others"))))
+    meets = F.sequence(F.lit(0), F.col("_others") + F.when(inside, 0).otherwise(F.col("_bigs")) - 1)
+    met = held.withColumn("_with", F.explode(meets))
+    return met.select(
+        "band", F.least("_own", "_with").alias("low"), F.greatest("_own", "_with").alias("high"),
+        (F.col("_own") > F.col("_with")).alias("second"), "doc_id", "class",
+    )
+
+
+def _rest(buckets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among all pairs of a bucket that are in two classes: as many as join the classes of a block."""
+    fields = "band bigint, low int, high int, second boolean, doc_id bigint, class bigint, sketch binary, keys binary"
+    name = ["band", "low", "high"]
+    of_member = sketches.select(F.col("doc_id").alias("sketched"), "sketch", "keys")
+    dealt = _dealt(buckets, classes)
+    full = dealt.join(of_member, F.col("doc_id") == F.col("sketched")).drop("sketched")
+    sorted_ = full.repartition(*name).sortWithinPartitions(*name)
+    members = pin(by_batches(sorted_, _promising_members, fields))
+    if members.isEmpty():
+        return members.selectExpr("doc_id a", "doc_id b")
+    cells = _cells_of(members.select("doc_id").distinct(), texts).withColumnRenamed("doc_id", "shingled")
+    full = members.join(cells, F.col("doc_id") == F.col("shingled")).drop("shingled")
+    return pin(by_batches(full.repartition(*name).sortWithinPartitions(*name), _linked, "a bigint, b bigint"))
+
+
 def near_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and class_size of every row."""
     copied = pin(copies(docs))
     again = copied.where("doc_id <> first")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     distinct = without_ids(texts, again)
-    bands = pin(by_batches(distinct, _sign, "band bigint, doc_id bigint, sketch binary"))
+    bands = pin(by_batches(distinct, _sign, "band bigint, doc_id bigint, size bigint, sketch binary, keys binary"))
     shared = bands.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
-    buckets = pin(bands.select("band", "doc_id").join(shared, "band").distinct())
+    buckets = pin(bands.select("band", "doc_id", "size").join(shared, "band").distinct())
     parts = buckets.count() // MEMBERS_PER_PART + 1
     met = buckets.coalesce(parts).groupBy("doc_id").agg(F.sum("_n").alias("met"))
     buckets = pin(buckets.coalesce(parts).drop("_n").join(met, "doc_id").coalesce(parts))
     buckets = buckets.coalesce(parts)
     members = buckets.select("doc_id").distinct()
-    sketches = bands.where("sketch IS NOT NULL").select("doc_id", "sketch")
+    sketches = bands.where("sketch IS NOT NULL").select("doc_id", "sketch", "keys")
     sketches = _in_parts(pin(join_measured(sketches, members, ["doc_id"], "left_semi")), MEMBERS_PER_PART)
     edges = copied.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     links, classes, tested = None, None, None
@@ -407,6 +549,9 @@ def near_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             break
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
+    # Whatever the rounds have left: pairs of a bucket that are in two classes still.
+    classes = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("class"))
+    links = links.unionByName(_rest(buckets, classes, sketches, distinct))
     whole = components(edges.unionByName(links))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     found = join_measured(ids, whole.withColumnRenamed("node", "doc_id"), ["doc_id"], "left")

@@ -401,6 +401,24 @@ def test_near_classes(documents, words):
     assert all(r.class_size == sizes[r.class_id] for r in found.values())
 
 
+@pytest.mark.parametrize("chunk", [1024, 40])
+def test_near_template(documents, monkeypatch, chunk):
+    """Families of one template: 0.75 to 0.79 between them, 0.8 to 0.85 inside."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk, raising=False)
+    template = " ".join(f"t{k}" for k in range(870))
+    own = lambda name, n: " ".join(f"{name}_{k}" for k in range(n))
+    families = 150
+    texts = [f"{template} {own(f'f{i // 2}', 38)} {own(f'd{i}', 90)}" for i in range(2 * families)]
+    cells, owners = minhash.shingle_cells([t.encode() for t in texts])
+    sets = [set(cells[owners == i].tolist()) for i in range(len(texts))]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            alike = len(a & sets[j]) / len(a | sets[j])
+            assert 0.8 <= alike < 0.85 if i // 2 == j // 2 else 0.75 <= alike < 0.79
+    found, _ = by_id(minhash.near_classes(documents(texts).repartition(3)))
+    assert {i: r.class_id for i, r in found.items()} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_odd(odd):
     found, rows = by_id(minhash.near_classes(odd))
     assert len(rows) == odd.count()
