@@ -4,9 +4,10 @@ Features are hashed 5-grams of lower-cased code points, present or not, over the
 space stands before and after it. Counts per feature and label come from all labelled training
 rows: each task counts into arrays and sends the features it met, and Spark sums them. The
 log-count ratio of a feature is smoothed towards 0 in proportion to the class sizes. The classifier
-is a logistic regression over presence times ratio, fitted on a bounded sample of training rows
-(``FIT_ROWS``, the first by hash, each a list of the at most ``MODEL_FEATURES`` features whose ratios
-lie the most standard errors from 0), each row with ratios that leave it out. The model, a few hundred kB, goes to the tasks that score all texts.
+is a logistic regression over presence times ratio of all features whose ratios lie ``MIN_STRENGTH``
+standard errors from 0. It is fitted on a bounded sample of training texts (``FIT_ROWS``, the first by
+hash, each as often as it occurs), each with ratios that leave it out; a feature that no sampled text
+has gets the mean weight of the others. The model, at most 16 bytes for each of ``BUCKETS``, goes to the tasks that score all texts.
 
 Defined results: a null or empty text has only the bias and gets the score of a text without
 features. Labels that are null or refer to no document teach nothing; rows whose id is null are
@@ -30,7 +31,6 @@ from .common import by_batches, text_of, without_ids
 GRAM = 5
 BUCKETS = 1 << 20
 FIT_ROWS = 6_000
-MODEL_FEATURES = 1 << 14
 #: Ratios nearer to 0 than so many standard errors say nothing.
 MIN_STRENGTH = 3.0
 SMOOTHING = 1.0
@@ -89,7 +89,7 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return join_measured(rows.where(~held_out()), known.where(~held_out()), ["doc_id"])
 
 
-def _logistic(x_rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def _logistic(x_rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, times_met: np.ndarray) -> tuple[np.ndarray, float]:
     """Newton steps with conjugate gradients; x is sparse presence, scaled per label of the row and feature."""
     lengths = np.array([len(r) for r in x_rows])
     cols, rows = np.concatenate([*x_rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(y)), lengths)
@@ -100,8 +100,8 @@ def _logistic(x_rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray) -> tup
     w, ridge = np.zeros(m + 1), np.append(np.full(m, RIDGE), 1e-6)
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
-        gradient = back(p - y) + ridge * w
-        curve = np.maximum(p * (1 - p), 1e-6)
+        gradient = back(times_met * (p - y)) + ridge * w
+        curve = times_met * np.maximum(p * (1 - p), 1e-6)
         step, residual = np.zeros(m + 1), -gradient
         direction, norm = residual.copy(), residual @ residual
         for _ in range(40):
@@ -134,12 +134,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     ratio = F.log((F.col("c1") + alpha1) / n1) - F.log((F.col("c0") + alpha0) / n0)
     strength = F.abs(F.col("ratio")) / F.sqrt(1 / (F.col("c0") + 1) + 1 / (F.col("c1") + 1))
     rated = counts.withColumn("ratio", ratio).where(strength >= MIN_STRENGTH)
-    chosen = rated.orderBy(strength.desc(), "feature").limit(MODEL_FEATURES).select("feature", "ratio", "c0", "c1").collect()
-    chosen.sort()
-    buckets, ratios = np.array([r[0] for r in chosen], np.int64), np.array([r[1] for r in chosen])
+    chosen = rated.select("feature", "ratio", "c0", "c1").toArrow().sort_by("feature")
+    buckets, ratios = chosen["feature"].to_numpy(), chosen["ratio"].to_numpy()
     # A row's own count is left out of the ratios that it is fitted with, or n-grams that only it
     # has would explain its label.
-    c0, c1 = np.array([r[2] for r in chosen], float), np.array([r[3] for r in chosen], float)
+    c0, c1 = chosen["c0"].to_numpy().astype(float), chosen["c1"].to_numpy().astype(float)
     part = lambda c, alpha, n: np.log((np.maximum(c, 0) + alpha) / n)
     without_own = np.stack([
         part(c1, alpha1, n1) - part(c0 - 1, alpha0, max(n0 - 1, 1)),
@@ -156,15 +155,20 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
             packed = [np.sort(f[f >= 0]).astype(np.int32).tobytes() for f in found]
             yield pa.record_batch([pa.array(packed, pa.binary()), batch.column(1)], names=["present", "label"])
 
-    # The first rows by hash of the text: chosen by narrow rows, so that no task gathers texts.
-    keyed = rows.withColumn("_key", F.struct(F.xxhash64("text").alias("h"), "doc_id"))
-    first = keyed.select("_key").orderBy("_key").limit(FIT_ROWS).agg(F.max("_key").alias("last"))
-    h, last = first.select("last.h", "last.doc_id").first()
-    within = F.col("_key") <= F.struct(F.lit(h).alias("h"), F.lit(last).cast("long").alias("doc_id"))
-    sample = by_batches(keyed.where(within).select("text", "label"), present, "present binary, label int")
-    fitted = sample.limit(FIT_ROWS).collect()
-    y = np.array([r["label"] for r in fitted], float)
-    weights, bias = _logistic([np.frombuffer(r["present"], np.int32) for r in fitted], without_own, y)
+    # The first texts by hash: chosen by narrow rows, so that no task gathers texts. Copies of a
+    # text are one text that counts as often, or a common one would fill the sample.
+    keyed = rows.withColumn("_h", F.xxhash64("text"))
+    last = keyed.select("_h").distinct().orderBy("_h").limit(FIT_ROWS).agg(F.max("_h")).first()[0]
+    sample = by_batches(keyed.where(F.col("_h") <= last).select("text", "label"), present, "present binary, label int")
+    fitted = sample.groupBy("present", "label").count().orderBy("present", "label").toArrow()
+    y, times_met = (fitted[c].to_numpy().astype(float) for c in ("label", "count"))
+    x_rows = [np.frombuffer(r.as_buffer(), np.int32) for r in fitted["present"]]
+    weights, bias = _logistic(x_rows, without_own, y, times_met)
+    seen = np.zeros(len(buckets), bool)
+    for row in x_rows:
+        seen[row] = True
+    if seen.any():
+        weights[~seen] = weights[seen].mean()
     return buckets, weights * ratios, bias
 
 

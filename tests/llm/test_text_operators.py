@@ -454,6 +454,31 @@ def test_toxicity_blind_to_ids(spark):
     assert {i: r.score for i, r in a.items()} == {i: r.score for i, r in b.items()}
 
 
+def test_toxicity_rare_words(documents, words, spark):
+    """A rare word of toxic texts has weight beside 20,000 n-grams that tell little but occur often."""
+    rng = random.Random(4)
+    common = [f"{w}{i}" for i, w in enumerate(words(4, 5000))]
+    texts = [" ".join([w for w in common if rng.random() < (0.8 if i % 2 else 0.3)] + ["scumbag"] * (i % 2 and i < 60)) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(documents(texts), labels)
+    assert len(model[0]) > 1 << 14
+    found, _ = by_id(toxicity.scored(documents(["", "scumbag"]), model))
+    assert found[1].score > found[0].score
+
+
+def test_toxicity_copies_in_sample(documents, words, spark, monkeypatch):
+    """Copies of one labelled text, the first by hash, leave the sample to other texts too."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 40)
+    texts = [" ".join([*words(i, 30), *["scumbag"] * (i % 2)]) for i in range(120)]
+    hashes = documents(texts).withColumn("h", F.xxhash64("text")).orderBy("h").collect()
+    first = next(r.text for r in hashes if "scumbag" not in r.text)
+    texts += [first] * 300
+    rows = [(i, 1, int("scumbag" in t)) for i, t in enumerate(texts)]
+    model = toxicity.train(documents(texts), spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int"))
+    found, _ = by_id(toxicity.scored(documents(["plain words", "plain scumbag words"]), model))
+    assert found[0].score < 0.1 and found[1].score > 3 * found[0].score
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(3, 0, 1), (5, 0, 0), (7, 1, 0), (8, 1, 1), (None, 1, 1), (9, 1, None), (77, 1, 1)], "doc_id bigint, quality int, toxic int")
     found, rows = by_id(toxicity.report(odd, labels))
