@@ -49,7 +49,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in the list; the list is broadcast only when measured small."""
+    """Rows whose doc_id is not in the list, null ones included; the list is broadcast only when measured small."""
     return join_measured(docs, ids.select("doc_id").distinct(), ["doc_id"], "left_anti")
 
 

@@ -188,10 +188,10 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """The documents that stay, one row of each equal text."""
     groups = pin(exact_groups(docs).select("doc_id", "kept"))
-    repeated = pin(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = pin(groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
     if repeated.isEmpty():
         return without_ids(docs, groups.where(~F.col("kept")))
-    # Ids are not unique: the id alone does not name a row, so these rows are told apart by text.
+    # Ids are not unique or null: the id alone does not name a row, so these rows are told apart by text.
     id_, key_, sha_, n_ = fresh(docs, "_id", "_key", "_sha", "_n")
     same = F.col("doc_id").eqNullSafe(F.col(id_))
     listed = repeated.withColumnRenamed("doc_id", id_)

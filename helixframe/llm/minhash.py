@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import join_measured
 from ..session import pin
-from .common import SPACE, by_batches, staged, text_of, without_ids
+from .common import SPACE, by_batches, fresh, staged, text_of, without_ids
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -563,5 +563,15 @@ def near_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each class: that with the smallest doc_id."""
-    return without_ids(docs, near_classes(docs).where("doc_id <> class_id"))
+    """One document of each class: that with the smallest doc_id. Rows without an id are documents of their own, after all others."""
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return without_ids(docs, near_classes(docs).where("doc_id <> class_id"))
+    (key,) = fresh(docs, "_key")
+    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    after = F.lit(0 if last is None else last + 1).cast("long") + F.monotonically_increasing_id()
+    named = staged(nameless.withColumn(key, after), "nameless")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.col("doc_id").cast("long")).unionByName(named)
+    classes = near_classes(keyed.select(F.col(key).alias("doc_id"), "text"))
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
+    return join_measured(keyed, gone, [key], "left_anti").select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import join_measured
 from ..session import pin
-from .common import by_batches, text_of, without_ids
+from .common import by_batches, fresh, text_of
 
 GRAM = 5
 BUCKETS = 1 << 20
@@ -172,21 +172,26 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return buckets, weights * ratios, bias
 
 
+def _scores(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, np.ndarray, float]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with the scores of their rows; the last column is the text."""
+    buckets, weights, bias = model
+    table = np.zeros(BUCKETS)
+    table[buckets] = weights
+    once = _Once()
+    for batch in batches:
+        sums = []
+        for text in batch.column(batch.num_columns - 1).to_pylist():
+            found = features(text)
+            # Only features with a weight matter, and few of a text's n-grams have one.
+            sums.append(table[once(found[table[found] != 0])].sum() + bias)
+        yield batch, 1 / (1 + np.exp(-np.clip(np.array(sums), -700, 700)))
+
+
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id and score of every row."""
-    buckets, weights, bias = model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS)
-        table[buckets] = weights
-        once = _Once()
-        for batch in batches:
-            sums = []
-            for text in batch.column(1).to_pylist():
-                found = features(text)
-                # Only features with a weight matter, and few of a text's n-grams have one.
-                sums.append(table[once(found[table[found] != 0])].sum() + bias)
-            p = 1 / (1 + np.exp(-np.clip(np.array(sums), -700, 700)))
+        for batch, p in _scores(batches, model):
             yield pa.record_batch([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -203,6 +208,12 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents below the threshold; the model is trained on the labelled ones among them all."""
-    rejected = scored(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD)
-    return without_ids(docs, rejected)
+    """Rows below the threshold, each by its own score; the model is trained on the labelled ones among them all."""
+    model = train(docs, labels)
+    (text,) = fresh(docs, "_text")
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p in _scores(batches, model):
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(p < THRESHOLD))
+
+    return by_batches(docs.withColumn(text, text_of()), below, docs.schema)

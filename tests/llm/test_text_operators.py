@@ -490,6 +490,27 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.stage(odd, labels).columns == odd.columns
 
 
+def test_stages_without_ids(spark, words):
+    """Rows with null or repeated ids pass a stage by what their own text is."""
+    clean = [" ".join(words(i, 120)) for i in range(60)]
+    toxic = [" ".join([*words(900 + i, 60), "scumbag", *words(700 + i, 30), "scumbag"]) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    near = clean[5].split(" ")
+    near[60] = "changed"
+    near = " ".join(near)
+    rows = [(i, t) for i, t in enumerate(clean + toxic)]
+    make = lambda more: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + more], DOCS)
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    more = [(None, toxic[0] + " end"), (None, clean[0] + " end"), (2, toxic[1] + " end")]
+    assert texts(toxicity.stage(make(more), labels)) == Counter([*rows[:60], (None, clean[0] + " end")])
+    assert texts(grace_dedup.stage(make([(None, clean[3])]))) == Counter(rows)
+    other = " ".join(words(500, 120))
+    more = [(None, near), (None, other), (None, other + " end"), (None, other)]
+    left = texts(minhash.stage(make(more)))
+    assert left - Counter(rows) in (Counter([(None, other)]), Counter([(None, other + " end")]))
+    assert not Counter(rows[:60]) - left
+
+
 # Exact copies
 
 
