@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, chat, grace_dedup, minhash, mixing, quality, suffix_dedup, toxicity, url_filters, warc
+from . import (
+    ball_tree, bpe, chat, grace_dedup, language, minhash, mixing, quality, suffix_dedup, toxicity, trie, url_filters, warc,
+)
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +32,9 @@ def queries() -> dict[str, Query]:
         "op8_minhash": lambda spark, sf: minhash.near_classes(docs(spark, sf)),
         "op9_toxicity": lambda spark, sf: toxicity.report(docs(spark, sf), table(spark, sf, "labels")),
         "op10_exact_dedup": lambda spark, sf: grace_dedup.exact_groups(docs(spark, sf)),
+        "op11_lexical_search": lambda spark, sf: ball_tree.search(docs(spark, sf), table(spark, sf, "benchmark")),
+        "op12_language_id": lambda spark, sf: language.report(docs(spark, sf)),
+        "op13_prefix_trie": lambda spark, sf: trie.report(table(spark, sf, "conversations")),
     }
 
 
@@ -41,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.oracle(),
         "op7_quality_rules": quality.oracle(),
         "op10_exact_dedup": grace_dedup.oracle(),
+        "op11_lexical_search": ball_tree.oracle(),
+        "op13_prefix_trie": trie.oracle(),
     }
