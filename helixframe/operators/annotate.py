@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..constants import MIN_CALL_GQ, MIN_DEPTH, MODY_GENES
+from ..constants import MIN_CALL_GQ, MIN_DEPTH, MODY_GENES, VARIANT_KEYS
 from ..functions.coords import encode_location
 from ..functions.text import is_pathogenic, joined, shares_term
+from ..sources.buckets import BucketedTable, bucketed_join
 from .joins import MAX_BROADCAST_BYTES, join_measured
 
 VARIANT_COLUMNS = ("vid", "contig", "position", "ref_allele", "alt_allele", "gvs_all_sc")
@@ -56,6 +57,17 @@ def active_samples(sample_info: DataFrame) -> DataFrame:
     return sample_info.where(F.col("withdrawn").isNull() & known)
 
 
+def located(variants: DataFrame) -> DataFrame:
+    """Annotated variants with the keys of the calls; those without a location meet none."""
+    return variants.withColumns(
+        {
+            "location": encode_location(F.col("contig"), F.col("position")),
+            "ref": F.col("ref_allele"),
+            "allele": F.col("alt_allele"),
+        }
+    ).where(F.col("location").isNotNull())
+
+
 def carriers(
     variants: DataFrame,
     alt_allele: DataFrame,
@@ -67,14 +79,7 @@ def carriers(
     The variants that a question selects are few as a rule; they and the sample table are
     measured before they are broadcast, so that the calls are not shuffled for this join.
     """
-    located = variants.withColumns(
-        {
-            "location": encode_location(F.col("contig"), F.col("position")),
-            "ref": F.col("ref_allele"),
-            "allele": F.col("alt_allele"),
-        }
-    ).where(F.col("location").isNotNull())
-    calls = join_measured(alt_allele, located, ["location", "ref", "allele"], max_bytes=max_bytes)
+    calls = join_measured(alt_allele, located(variants), list(VARIANT_KEYS), max_bytes=max_bytes)
     if samples is None:
         return calls
     names = samples.select("sample_id", "sample_name")
@@ -94,6 +99,19 @@ def pathogenic_carriers(
     return found.select("sample_id" if samples is None else "sample_name").distinct()
 
 
+def bucketed_pathogenic_carriers(
+    spark: SparkSession, vat: BucketedTable, calls: BucketedTable, genes: Iterable[str] = MODY_GENES
+) -> DataFrame:
+    """The same samples from tables stored in buckets of the variant keys: nothing is shuffled below the join.
+
+    ``vat`` holds ``located`` rows. Distinct variants are found bucket by bucket, since their columns
+    include the keys.
+    """
+    chosen = in_genes(pathogenic(canonical(vat.rows(spark) if vat.has_hot(spark) else spark.table(vat.name))), genes)
+    variants = chosen.select(*VARIANT_KEYS).distinct()
+    return good_calls(bucketed_join(spark, variants, calls, vat)).select("sample_id").distinct()
+
+
 def consequence_carriers(
     vat: DataFrame, alt_allele: DataFrame, gene: str, terms: Iterable[str]
 ) -> DataFrame:

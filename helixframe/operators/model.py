@@ -76,7 +76,11 @@ def model_bins(alt_allele: DataFrame) -> DataFrame:
     Rows are counted per location and allele first; everything a bin needs follows from those
     counts. ``bin_weights``, ``bin_bitmaps`` and ``bin_spikes`` show it as the separate tables.
     """
-    counts = alt_allele.groupBy("location", "allele").agg(F.count("*").alias("_n"))
+    return bins_of_counts(alt_allele.groupBy("location", "allele").agg(F.count("*").alias("_n")))
+
+
+def bins_of_counts(counts: DataFrame) -> DataFrame:
+    """``model_bins`` from the number ``_n`` of calls per location and allele."""
     low, high = _offset_words()
     best = F.max(F.struct("_n", (-F.col("location")).alias("_neg"), "allele"))
     bins = counts.groupBy(floor_to(F.col("location"), WEIGHT_BIN).alias("bin")).agg(

@@ -8,14 +8,14 @@ from collections.abc import Callable
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..constants import ALLOWED_BASES, ALT_ALLELE_COLUMNS, MAX_GQ
+from ..constants import ALLOWED_BASES, ALT_ALLELE_COLUMNS, MAX_GQ, VARIANT_KEYS
 from ..functions import alleles, bits, coords, noise, numbers, text
 from ..functions import sql as named
-from ..operators import annotate, cohort, expand, model, weights
+from ..operators import alias, annotate, bitmaps, cohort, expand, model, model_state, packed, postings, terms, weights
 from ..operators.model import METRICS
-from ..schemas import ALT_ALLELE, STAT_METRICS, VAT, conform
+from ..schemas import ALT_ALLELE, STAT_METRICS, VAT, WEIGHTS, conform
 from ..session import pin, scratch_path
-from ..sources import fasta, tables
+from ..sources import blockgzip, buckets, fasta, quarantine, tables, zorder
 from ..sources import text as text_files
 from ..streaming import ingest
 from . import fixtures as fx
@@ -29,6 +29,9 @@ LOW, HIGH, WIDE_HIGH = 1_000_000_010_007, 1_000_000_010_200, 1_000_000_010_400
 TERMS = ("stop_gained", "frameshift_variant")
 NEW_SAMPLES = 2
 SLICE = (0.25, 0.55)
+# Small blocks, so that the tables here have several per variant.
+BITMAP_BLOCK = 64
+ALIAS_BLOCK = 1_000
 
 
 def query(build: Query) -> Query:
@@ -104,6 +107,15 @@ def scan_gzip_csv(spark, sf_dir):
     return text_files.read_weights(spark, path)
 
 
+@query
+def scan_block_gzip_csv(spark, sf_dir):
+    """The weights from compressed files that several tasks read at once."""
+    bins = model.model_weights(fx.alt_allele(spark, sf_dir))
+    lines = bins.select(F.concat_ws(",", "location", "weight").alias("value"))
+    files = blockgzip.write_block_gzip(lines.repartition(2), scratch_path(spark, "blocks"), header=",".join(WEIGHTS.names))
+    return blockgzip.read_block_gzip_csv(files, WEIGHTS, range_bytes=2_000)
+
+
 @query
 def scan_bucket_stats(spark, sf_dir):
     path = scratch_path(spark, "stats")
@@ -157,6 +169,37 @@ def write_clustered(spark, sf_dir):
     return tables.scan_dir(spark, path, ALT_ALLELE)
 
 
+def _z_ordered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "zordered")
+    zorder.write_z_ordered(fx.alt_allele(spark, sf_dir), path, ("location", "sample_id"), files=16)
+    return tables.scan_dir(spark, path, ALT_ALLELE)
+
+
+@query
+def write_z_ordered(spark, sf_dir):
+    return _z_ordered_calls(spark, sf_dir)
+
+
+@query
+def z_ordered_sample(spark, sf_dir):
+    """One sample's calls from a layout that serves ranges too."""
+    return _z_ordered_calls(spark, sf_dir).where(F.col("sample_id") == 41)
+
+
+@query
+def z_ordered_range(spark, sf_dir):
+    return cohort.in_range(_z_ordered_calls(spark, sf_dir), LOW, HIGH)
+
+
+@query
+def z_ordered_annotation(spark, sf_dir):
+    """The gene filter on an annotation table laid out by gene and position."""
+    source, target = scratch_path(spark, "loose"), scratch_path(spark, "zordered")
+    tables.write_dir(fx.vat(spark, sf_dir), source)
+    laid = zorder.compact_z_ordered(spark, source, target, ("gene_symbol", "position"), files=8)
+    return vat_as_text(annotate.in_genes(laid))
+
+
 @query
 def compact_recluster(spark, sf_dir):
     source, target = scratch_path(spark, "loose"), scratch_path(spark, "compact")
@@ -276,6 +319,37 @@ def member_of_set(spark, sf_dir):
     return cohort.with_sample(merge_of_halves(spark, sf_dir), 1).drop("sample_ids")
 
 
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, of which a part came as a second batch."""
+    path, calls = scratch_path(spark, "postings"), fx.alt_allele(spark, sf_dir)
+    late = F.col("location") % 5 == 0
+    postings.write_postings(calls.where(~late), path)
+    postings.write_postings(calls.where(late), path, mode="append")
+    return postings.read_postings(spark, path)
+
+
+@query
+def member_of_set_indexed(spark, sf_dir):
+    """Variants of one sample from the posting index alone."""
+    return postings.variants_of(_postings(spark, sf_dir), 1)
+
+
+@query
+def postings_in_range(spark, sf_dir):
+    return postings.variants_in_range(_postings(spark, sf_dir), 41, LOW, HIGH)
+
+
+@query
+def shared_variants(spark, sf_dir):
+    return postings.shared_variants(_postings(spark, sf_dir), 1, 2)
+
+
+@query
+def posting_counts(spark, sf_dir):
+    index = postings.postings(fx.alt_allele(spark, sf_dir))
+    return index.groupBy("sample_id").agg(F.sum("n").alias("variants"), F.count("*").alias("windows"))
+
+
 @query
 def canonical_filter(spark, sf_dir):
     return vat_as_text(annotate.canonical(fx.vat(spark, sf_dir)))
@@ -296,6 +370,28 @@ def consequence_overlap(spark, sf_dir):
     return vat_as_text(annotate.with_consequence(fx.vat(spark, sf_dir), TERMS))
 
 
+def _masked(spark: SparkSession, sf_dir: str, column: str) -> tuple[DataFrame, list[str]]:
+    """The annotation table stored with masks of a list column, and the column's dictionary."""
+    path, rows = scratch_path(spark, "masked"), fx.vat(spark, sf_dir)
+    dictionary = terms.term_dictionary(rows, column)
+    masked = terms.with_masks(rows, column, dictionary, "mask")
+    tables.write_dir(masked, path)
+    return tables.scan_dir(spark, path, masked.schema), dictionary
+
+
+@query
+def consequence_overlap_masked(spark, sf_dir):
+    """The overlap as a test of one whole number per row."""
+    rows, dictionary = _masked(spark, sf_dir, "consequence")
+    return vat_as_text(rows.where(terms.has_any("mask", dictionary, TERMS)))
+
+
+@query
+def clinvar_filter_masked(spark, sf_dir):
+    rows, dictionary = _masked(spark, sf_dir, "clinvar_classification")
+    return vat_as_text(rows.where(terms.labelled_pathogenic("mask", dictionary)))
+
+
 @query
 def call_quality_filter(spark, sf_dir):
     return annotate.good_calls(fx.alt_allele(spark, sf_dir))
@@ -396,6 +492,22 @@ def variant_allele_join(spark, sf_dir):
     return annotate.pathogenic_carriers(fx.vat(spark, sf_dir), fx.alt_allele(spark, sf_dir))
 
 
+@query
+def variant_allele_join_bucketed(spark, sf_dir):
+    """The cohort question on stored tables that share buckets of the variant keys."""
+    stored = (
+        buckets.write_bucketed(df, _name(label), VARIANT_KEYS, 8)
+        for label, df in (("vat", annotate.located(fx.vat(spark, sf_dir))), ("calls", fx.alt_allele(spark, sf_dir)))
+    )
+    return annotate.bucketed_pathogenic_carriers(spark, *stored)
+
+
+@query
+def bucketed_rows(spark, sf_dir):
+    """Every call from a bucketed table, those of hot variants too."""
+    return buckets.write_bucketed(fx.alt_allele(spark, sf_dir), _name("calls"), VARIANT_KEYS, 64).rows(spark)
+
+
 @query
 def variant_sample_join(spark, sf_dir):
     return annotate.pathogenic_carriers(
@@ -462,6 +574,15 @@ def reference_base_lookup(spark, sf_dir):
     return model.reference_base_lookup(rows, fx.genome(calls))
 
 
+@query
+def reference_base_lookup_packed(spark, sf_dir):
+    """The same bases from a genome stored with two bits a base."""
+    path, calls = scratch_path(spark, "packed"), fx.alt_allele(spark, sf_dir)
+    tables.write_dir(packed.packed_genome(fx.genome(calls)), path)
+    rows = calls.select("location", "sample_id", "allele")
+    return packed.packed_base_lookup(rows, tables.scan_dir(spark, path))
+
+
 @query
 def stats_lookup(spark, sf_dir):
     calls = fx.alt_allele(spark, sf_dir)
@@ -500,6 +621,18 @@ def condense_blocks(spark, sf_dir):
     return blocks_as_text(cohort.condense_blocks(fx.alt_allele(spark, sf_dir), width=10))
 
 
+@query
+def condense_bitmap(spark, sf_dir):
+    """Carriers as bitmaps, decoded to lists."""
+    blocks = bitmaps.condense_bitmap(fx.alt_allele(spark, sf_dir), BITMAP_BLOCK)
+    return ids_as_text(bitmaps.carrier_lists(blocks, BITMAP_BLOCK))
+
+
+@query
+def carrier_total(spark, sf_dir):
+    return bitmaps.carrier_total(bitmaps.condense_bitmap(fx.alt_allele(spark, sf_dir)))
+
+
 @query
 def carrier_counts(spark, sf_dir):
     return cohort.carrier_counts(fx.alt_allele(spark, sf_dir))
@@ -569,6 +702,29 @@ def merge_blocks(spark, sf_dir):
     return blocks_as_text(cohort.merge_blocks(*blocks))
 
 
+def _bitmap_halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    halves = cohort.holdout(fx.alt_allele(spark, sf_dir), NEW_SAMPLES)
+    return [bitmaps.condense_bitmap(half, BITMAP_BLOCK) for half in halves]
+
+
+@query
+def merge_bitmap(spark, sf_dir):
+    merged = bitmaps.merge_bitmap(*_bitmap_halves(spark, sf_dir))
+    return ids_as_text(bitmaps.carrier_lists(merged, BITMAP_BLOCK))
+
+
+@query
+def merge_bitmap_batch(spark, sf_dir):
+    merged = bitmaps.merge_bitmap_batch(*_bitmap_halves(spark, sf_dir))
+    return ids_as_text(bitmaps.carrier_lists(merged, BITMAP_BLOCK))
+
+
+@query
+def bitmap_with_sample(spark, sf_dir):
+    merged = bitmaps.merge_bitmap(*_bitmap_halves(spark, sf_dir))
+    return bitmaps.bitmap_with_sample(merged, 1, BITMAP_BLOCK)
+
+
 @query
 def union_all(spark, sf_dir):
     raw = fx.raw_variants(spark, sf_dir)
@@ -727,6 +883,27 @@ def sql_cohort(spark, sf_dir):
     return questions.pathogenic_carriers(spark, **_views(spark, sf_dir))
 
 
+def _question(spark: SparkSession, sf_dir: str, call: str) -> DataFrame:
+    prefix = _name("q") + "_"
+    named.register_questions(spark, **_views(spark, sf_dir), prefix=prefix)
+    return spark.sql(f"SELECT * FROM {prefix}{call}")
+
+
+@query
+def table_function_range(spark, sf_dir):
+    return _question(spark, sf_dir, f"calls_in_range({LOW}, {HIGH})")
+
+
+@query
+def table_function_gene(spark, sf_dir):
+    return _question(spark, sf_dir, "variants_of_gene('BRCA1')")
+
+
+@query
+def table_function_cohort(spark, sf_dir):
+    return _question(spark, sf_dir, "pathogenic_carriers(20, 20)")
+
+
 # -- generator model and steps ----------------------------------------------------------------
 
 
@@ -755,6 +932,24 @@ def model_bins(spark, sf_dir):
     return model.model_bins(fx.alt_allele(spark, sf_dir))
 
 
+def _model_of_batches(spark: SparkSession, sf_dir: str) -> model_state.ModelState:
+    """The state after three batches of samples, each merged into the stored one before."""
+    path, calls = scratch_path(spark, "model"), fx.alt_allele(spark, sf_dir)
+    for version in range(3):
+        model_state.update_state(calls.where(F.col("sample_id") % 3 == version), path, version)
+    return model_state.read_state(spark, path, 2)
+
+
+@query
+def model_bins_updated(spark, sf_dir):
+    return model_state.state_bins(_model_of_batches(spark, sf_dir))
+
+
+@query
+def model_stats_updated(spark, sf_dir):
+    return rounded_stats(model_state.state_stats(_model_of_batches(spark, sf_dir)))
+
+
 @query
 def gen_draws(spark, sf_dir):
     counts = fx.draws(spark, sf_dir).groupBy("sample_id").agg(F.count("*").alias("draws"))
@@ -768,6 +963,36 @@ def gen_pick_bin(spark, sf_dir):
     return _picked(spark, sf_dir).select("sample_id", "draw_no", "bucket")
 
 
+def _alias_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bins = pin(model.model_weights(fx.alt_allele(spark, sf_dir)))
+    return tuple(pin(t) for t in alias.block_tables(bins, ALIAS_BLOCK))
+
+
+@query
+def alias_tables(spark, sf_dir):
+    """Slots of all bins, by block."""
+    return _alias_tables(spark, sf_dir)[1]
+
+
+@query
+def alias_shares(spark, sf_dir):
+    """What a bin's slots hold together: its weight times the bins of its block."""
+    slots = _alias_tables(spark, sf_dir)[1]
+    own = slots.select("bin", F.col("threshold").alias("held"))
+    others = slots.select(F.col("other").alias("bin"), (F.col("total") - F.col("threshold")).alias("held"))
+    return own.unionByName(others).groupBy("bin").agg(F.sum("held").alias("held"))
+
+
+@query
+def gen_pick_bin_alias(spark, sf_dir):
+    rule = fixed_noise()
+    drawn = alias.alias_draw(
+        fx.draws(spark, sf_dir), _alias_tables(spark, sf_dir),
+        (rule("block_slot"), rule("block_item")), (rule("bin_slot"), rule("bin_item")),
+    )
+    return drawn.select("sample_id", "draw_no", "bucket")
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = synth.build_model(fx.alt_allele(spark, sf_dir))
     chunks = fx.genome(built.stats, "location_bin")
@@ -860,6 +1085,31 @@ def gen_load(spark, sf_dir):
     return tables.scan_dir(spark, clustered_path, ALT_ALLELE)
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> quarantine.Load:
+    """A load of sample files some of whose lines are short, long or not numeric."""
+    path = scratch_path(spark, "delivered")
+    fx.delivered_files(spark, sf_dir).write.partitionBy("sample").text(path)
+    return quarantine.checked_load(spark, path)
+
+
+@query
+def load_checked(spark, sf_dir):
+    return _checked(spark, sf_dir).loaded
+
+
+@query
+def load_rejected(spark, sf_dir):
+    """Rows per reason, from the quarantine table."""
+    path = scratch_path(spark, "quarantine")
+    quarantine.quarantine(_checked(spark, sf_dir), path)
+    return quarantine.rejected_by_reason(spark.read.parquet(path))
+
+
+@query
+def load_account(spark, sf_dir):
+    return quarantine.account(_checked(spark, sf_dir))
+
+
 @query
 def gen_slice(spark, sf_dir):
     return _generated(spark, sf_dir, fixed_noise(), start=SLICE[0], end=SLICE[1])
@@ -916,6 +1166,18 @@ def fit_gbt(spark, sf_dir):
     )
 
 
+@query
+def ingest_stream_repeats(spark, sf_dir):
+    """Samples that are delivered a second time, in files of other names."""
+    master, new = cohort.holdout(fx.alt_allele(spark, sf_dir), NEW_SAMPLES)
+    arriving, store = scratch_path(spark, "arriving"), scratch_path(spark, "store")
+    ingest.create_store(cohort.condense(master), store)
+    for _ in range(2):
+        tables.write_dir(new.repartitionByRange(2, "location"), arriving, mode="append")
+        ingest.ingest_stream(spark, arriving, store, repeats_within="30 days").awaitTermination()
+    return ids_as_text(ingest.read_store(spark, store))
+
+
 @query
 def ingest_stream(spark, sf_dir):
     master, new = cohort.holdout(fx.alt_allele(spark, sf_dir), NEW_SAMPLES)

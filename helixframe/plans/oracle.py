@@ -176,6 +176,26 @@ _PARTS = {
 }
 
 
+def _alias(items: str) -> str:
+    """Alias tables by range joins over the running sums of lacks and excesses, for rows of g, bin and w."""
+    return f"""
+WITH i AS ({items}),
+s AS (SELECT g, bin, count(*) OVER (PARTITION BY g) AS n, sum(w) OVER (PARTITION BY g) AS total,
+        row_number() OVER (PARTITION BY g ORDER BY bin) - 1 AS slot, w FROM i),
+o AS (SELECT *, w * n - total AS o FROM s),
+r AS (SELECT *, sum(greatest(o, 0)) OVER x AS e, sum(greatest(-o, 0)) OVER x AS d FROM o WINDOW x AS (PARTITION BY g ORDER BY bin))
+SELECT g AS block, CAST(slot AS BIGINT) AS slot, bin, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total,
+  CAST(CASE WHEN o > 0 THEN total - coalesce((SELECT min(l.d) FROM r l WHERE l.g = r.g AND l.o <= 0 AND l.d > r.e) - e, 0) ELSE w * n END AS BIGINT) AS threshold,
+  coalesce((SELECT min(h.bin) FROM r h WHERE h.g = r.g AND h.o > 0 AND h.e > CASE WHEN r.o > 0 THEN r.e ELSE r.d + r.o END), bin) AS other
+FROM r"""
+
+
+_PARTS["alias_bins"] = (_alias("SELECT location // 1000 AS g, location AS bin, weight AS w FROM weights"), ("weights",))
+_PARTS["alias_blocks"] = (
+    _alias("SELECT 0 AS g, location // 1000 AS bin, CAST(sum(weight) AS BIGINT) AS w FROM weights GROUP BY ALL"), ("weights",)
+)
+
+
 def _candidates(picked: str) -> str:
     return f"""
 SELECT p.sample_id, p.draw_no, p.bucket, s.location AS spike_location, s.allele AS spike_allele,
@@ -263,6 +283,10 @@ _COND_TEXT = f"location, ref, allele, {_IDS.format('ids')}"
 _EXPANDED = _sql(f"SELECT {_ALL} FROM aa", "aa")
 _CONDENSED = _sql(f"SELECT {_COND_TEXT} FROM cond", "cond")
 _MERGED = _sql(f"SELECT {_COND_TEXT} FROM merged", "merged")
+# The distinct carriers of a variant, which know nothing of words or blocks.
+_CARRIERS = _sql(
+    """SELECT location, ref, allele, array_to_string(list_sort(list(DISTINCT sample_id)), ',') AS sample_ids FROM aa GROUP BY ALL""", "aa"
+)
 _GENE_COUNTS = _sql("SELECT gene_symbol, count(*) AS n FROM vat GROUP BY ALL", "vat")
 _RANGE_COUNT = _sql(f"SELECT count(*) AS n FROM aa WHERE {_RANGE}", "aa")
 _VAT_TEXT = """vid, contig, position, ref_allele, alt_allele, is_canonical_transcript, gene_symbol,
@@ -297,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_table": _EXPANDED,
         "scan_tsv": _sql("SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ALT_ALLELE_COLUMNS) + " FROM aa", "aa"),
         "scan_gzip_csv": _sql("SELECT location, weight FROM weights", "weights"),
+        "scan_block_gzip_csv": _sql("SELECT location, weight FROM weights", "weights"),
         "scan_bucket_stats": _sql(f"SELECT location_bin, entries, {_STATS_ROUNDED} FROM stats", "stats"),
         "scan_spikes": _sql("SELECT bin, location, allele, percentage FROM spikes", "spikes"),
         "scan_bitmaps": _sql("SELECT bin, entries, low_bits, high_bits FROM bitmaps", "bitmaps"),
@@ -305,6 +330,10 @@ def oracle_sql() -> dict[str, str]:
         "replace_table": _EXPANDED,
         "write_clustered": _EXPANDED,
         "compact_recluster": _EXPANDED,
+        "write_z_ordered": _EXPANDED,
+        "z_ordered_sample": _sql(f"SELECT {_ALL} FROM aa WHERE sample_id = 41", "aa"),
+        "z_ordered_range": _sql(f"SELECT {_ALL} FROM aa WHERE {_RANGE}", "aa"),
+        "z_ordered_annotation": _sql(f"SELECT {_VAT_TEXT} FROM vat WHERE gene_symbol IN {_in(MODY_GENES)}", "vat"),
         "path_roundtrip": _CONDENSED,
         "write_sample_tsv": _EXPANDED,
         # projections, filters, predicates
@@ -325,6 +354,16 @@ def oracle_sql() -> dict[str, str]:
         "range_select_condensed": _sql(f"SELECT {_COND_TEXT} FROM cond WHERE {_RANGE}", "cond"),
         "filter_sample": _sql(f"SELECT {_ALL} FROM aa WHERE sample_id = 41", "aa"),
         "member_of_set": _sql("SELECT location, ref, allele FROM merged WHERE list_contains(ids, 1)", "merged"),
+        "member_of_set_indexed": _sql("SELECT DISTINCT location, ref, allele FROM aa WHERE sample_id = 1", "aa"),
+        "postings_in_range": _sql(f"SELECT DISTINCT location, ref, allele FROM aa WHERE sample_id = 41 AND {_RANGE}", "aa"),
+        "shared_variants": _sql(
+            """SELECT location, ref, allele FROM aa WHERE sample_id IN (1, 2) GROUP BY ALL HAVING count(DISTINCT sample_id) = 2""", "aa"
+        ),
+        "posting_counts": _sql(
+            """SELECT sample_id, CAST(sum(n) AS BIGINT) AS variants, count(*) AS windows FROM (
+               SELECT sample_id, location // 16384 AS w, count(DISTINCT {'l': location, 'r': ref, 'a': allele}) AS n FROM aa GROUP BY ALL)
+               GROUP BY sample_id""", "aa"
+        ),
         "canonical_filter": _sql(f"SELECT {_VAT_TEXT} FROM vat WHERE is_canonical_transcript", "vat"),
         "clinvar_filter": _sql(
             f"""SELECT {_VAT_TEXT} FROM vat WHERE array_to_string(clinvar_classification, '.') LIKE '%athogenic%'
@@ -334,6 +373,13 @@ def oracle_sql() -> dict[str, str]:
         "consequence_overlap": _sql(
             f"SELECT {_VAT_TEXT} FROM vat WHERE list_has_any(consequence, ['stop_gained', 'frameshift_variant'])", "vat"
         ),
+        "consequence_overlap_masked": _sql(
+            f"SELECT {_VAT_TEXT} FROM vat WHERE list_has_any(consequence, ['stop_gained', 'frameshift_variant'])", "vat"
+        ),
+        "clinvar_filter_masked": _sql(
+            f"""SELECT {_VAT_TEXT} FROM vat WHERE array_to_string(clinvar_classification, '.') LIKE '%athogenic%'
+                AND array_to_string(clinvar_classification, '.') NOT LIKE '%benign%'""", "vat"
+        ),
         "call_quality_filter": _sql(f"SELECT {_ALL} FROM aa WHERE call_GQ >= 20 AND ref_ad + ad > 20", "aa"),
         "sample_status_filter": _sql("SELECT * FROM info WHERE withdrawn IS NULL AND is_control IS FALSE", "info"),
         "empty_check": _sql("SELECT 'alt_allele' AS table_name, (SELECT count(*) FROM aa) = 0 AS is_empty", "aa"),
@@ -367,6 +413,8 @@ def oracle_sql() -> dict[str, str]:
         "calls_per_genotype": _sql("SELECT allele_pos, call_GT, count(*) AS n FROM aa GROUP BY ALL", "aa"),
         # joins
         "variant_allele_join": _COHORT,
+        "variant_allele_join_bucketed": _COHORT,
+        "bucketed_rows": _EXPANDED,
         "variant_sample_join": _sql(
             f"""SELECT DISTINCT si.sample_name FROM v, aa, info si WHERE v.ref_allele = aa.ref
                 AND v.alt_allele = aa.allele AND {_LOCATED} = aa.location AND aa.sample_id = si.sample_id
@@ -393,6 +441,9 @@ def oracle_sql() -> dict[str, str]:
         "reference_base_lookup": _sql(
             f"SELECT location, sample_id, allele, {_BASE.format('location')} AS ref_base FROM aa", "aa"
         ),
+        "reference_base_lookup_packed": _sql(
+            f"SELECT location, sample_id, allele, {_BASE.format('location')} AS ref_base FROM aa", "aa"
+        ),
         "stats_lookup": _sql(
             f"SELECT location, sample_id, {_STATS_ROUNDED} FROM aa JOIN stats s ON s.location_bin = aa.location - aa.location % 10000",
             "aa", "stats",
@@ -412,6 +463,8 @@ def oracle_sql() -> dict[str, str]:
                array_to_string(list_sort(list(sample_id * 1000000 + calls)), ',') AS carriers FROM (
                SELECT location, ref, allele, sample_id, count(*) AS calls FROM aa GROUP BY ALL) GROUP BY ALL""", "aa"
         ),
+        "condense_bitmap": _CARRIERS,
+        "carrier_total": _sql("SELECT location, ref, allele, count(DISTINCT sample_id) AS carriers FROM aa GROUP BY ALL", "aa"),
         "carrier_counts": _sql("SELECT location, ref, allele, sample_id, count(*) AS calls FROM aa GROUP BY ALL", "aa"),
         "count_rows": _sql("SELECT count(*) AS n FROM aa", "aa"),
         "gene_counts": _GENE_COUNTS,
@@ -432,6 +485,9 @@ def oracle_sql() -> dict[str, str]:
                array_to_string(list_sort(list(sample_id * 1000000 + calls)), ',') AS carriers FROM (
                SELECT location, ref, allele, sample_id, count(*) AS calls FROM aa GROUP BY ALL) GROUP BY ALL""", "aa"
         ),
+        "merge_bitmap": _CARRIERS,
+        "merge_bitmap_batch": _CARRIERS,
+        "bitmap_with_sample": _sql("SELECT DISTINCT location, ref, allele FROM aa WHERE sample_id = 1", "aa"),
         "union_all": _EXPANDED,
         "union_positional": _EXPANDED,
         "sample_limit": _sql("SELECT sample_id FROM hold", "hold"),
@@ -475,6 +531,9 @@ def oracle_sql() -> dict[str, str]:
         "sql_range_rows": _sql(f"SELECT {_ALL} FROM aa WHERE {_RANGE}", "aa"),
         "sql_gene_counts": _GENE_COUNTS,
         "sql_cohort": _COHORT,
+        "table_function_range": _sql(f"SELECT {_ALL} FROM aa WHERE {_RANGE}", "aa"),
+        "table_function_gene": _sql(_CANON + " WHERE is_canonical_transcript AND gene_symbol = 'BRCA1'", "vat"),
+        "table_function_cohort": _COHORT,
         # generator model and steps
         "model_weights": _sql("SELECT location, weight FROM weights", "weights"),
         "model_stats": _sql(f"SELECT location_bin, entries, {_STATS_ROUNDED} FROM stats_raw", "stats_raw"),
@@ -484,8 +543,24 @@ def oracle_sql() -> dict[str, str]:
             """SELECT b.bin, b.entries, low_bits, high_bits, location, allele, percentage
                FROM bitmaps b JOIN spikes s ON s.bin = b.bin""", "bitmaps", "spikes"
         ),
+        "model_bins_updated": _sql(
+            """SELECT b.bin, b.entries, low_bits, high_bits, location, allele, percentage
+               FROM bitmaps b JOIN spikes s ON s.bin = b.bin""", "bitmaps", "spikes"
+        ),
+        "model_stats_updated": _sql(f"SELECT location_bin, entries, {_STATS_ROUNDED} FROM stats_raw", "stats_raw"),
         "gen_draws": _sql("SELECT sample_id, count(*) AS draws, count(*) AS last_draw FROM draws GROUP BY ALL", "draws"),
         "gen_pick_bin": _sql("SELECT sample_id, draw_no, bucket FROM picked", "picked"),
+        "alias_tables": _sql("SELECT block, slot, bin, threshold, other, n, total FROM alias_bins", "alias_bins"),
+        "alias_shares": _sql(
+            """SELECT location AS bin, CAST(weight * count(*) OVER (PARTITION BY location // 1000) AS BIGINT) AS held FROM weights""", "weights"
+        ),
+        "gen_pick_bin_alias": _sql(
+            f"""SELECT sample_id, draw_no, CASE WHEN floor({_noise('bin_item')} * b.total) < b.threshold THEN b.bin ELSE b.other END AS bucket
+                FROM (SELECT d.*, CASE WHEN floor({_noise('block_item')} * t.total) < t.threshold THEN t.bin ELSE t.other END AS block
+                      FROM draws d JOIN alias_blocks t ON t.slot = least(floor({_noise('block_slot')} * t.n), t.n - 1)) r
+                JOIN alias_bins b ON b.block = r.block AND b.slot = least(floor({_noise('bin_slot')} * b.n), b.n - 1)""",
+            "draws", "alias_blocks", "alias_bins",
+        ),
         "gen_spike": _sql("SELECT sample_id, draw_no, bucket, spiked, spike_location, spike_allele FROM candidates", "candidates"),
         "gen_offset": _sql("SELECT sample_id, draw_no, bucket, offset_any, offset_known FROM candidates", "candidates"),
         "gen_snp": _sql(
@@ -510,6 +585,17 @@ def oracle_sql() -> dict[str, str]:
         ),
         "gen_row": _sql(f"SELECT {_ALL} FROM calls", "calls"),
         "gen_load": _sql(f"SELECT {_ALL} FROM calls", "calls"),
+        "load_checked": _sql(f"SELECT {_ALL} FROM aa WHERE sample_id % 10 NOT IN (3, 5, 7, 8)", "aa"),
+        "load_rejected": _sql(
+            """SELECT reason, count(*) AS n FROM (SELECT unnest(CASE sample_id % 10 WHEN 3 THEN ['location: missing']
+                 WHEN 5 THEN ['qual: not a number', 'ad: not a number'] ELSE ['line: number of fields'] END) AS reason
+               FROM aa WHERE sample_id % 10 IN (3, 5, 7, 8)) GROUP BY ALL""", "aa"
+        ),
+        "load_account": _sql(
+            """SELECT 'read' AS rows, count(*) AS n FROM aa
+               UNION ALL SELECT 'loaded', count(*) FROM aa WHERE sample_id % 10 NOT IN (3, 5, 7, 8)
+               UNION ALL SELECT 'rejected', count(*) FROM aa WHERE sample_id % 10 IN (3, 5, 7, 8)""", "aa"
+        ),
         "gen_slice": _sql(f"SELECT {_ALL} FROM calls_cut", "calls_cut"),
         "gen_random": _sql(
             "SELECT DISTINCT sample_id, true AS in_bins, true AS bounded, true AS same_again FROM draws", "draws"
@@ -521,6 +607,9 @@ def oracle_sql() -> dict[str, str]:
                CAST(dense_rank() OVER (ORDER BY alt) - 1 AS DOUBLE) AS alt_index,
                CAST(location AS DOUBLE) AS location_feature FROM raw""", "raw"
         ),
+        "ingest_stream_repeats": _sql(
+            f"SELECT location, ref, allele, {_IDS.format('list_distinct(ids)')} FROM cond", "cond"
+        ),
         "ingest_stream": _sql(
             f"SELECT location, ref, allele, {_IDS.format('list_distinct(ids)')} FROM cond", "cond"
         ),

@@ -50,6 +50,7 @@ NOISE_TAGS = (
     "bin", "spike", "offset_any", "offset_known", "snp",
     "qual_radius", "qual_angle", "refad_radius", "refad_angle",
     "ad_radius", "ad_angle", "gq_radius", "gq_angle",
+    "block_slot", "block_item", "bin_slot", "bin_item",
 )
 
 
