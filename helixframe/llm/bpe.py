@@ -78,6 +78,15 @@ class Transducer:
         self.sends: list[tuple[int, ...]] = [()]
         self.send_numbers: dict[tuple[int, ...], int] = {(): 0}
 
+    def _restarted(self, state: int) -> int:
+        """Empty tables, but for the state given."""
+        packed = self.states[state >> 8]
+        self.reset()
+        number = self.numbers.setdefault(packed, len(self.states))
+        if number == len(self.states):
+            self.states.append(packed)
+        return number << 8
+
     def merged(self, data: bytes, until: int = 1) -> list[int]:
         """Lowest rank first, leftmost first: what the merges themselves say about a short text."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -180,6 +189,10 @@ class Transducer:
         for byte in piece:
             move = moves(state | byte)
             if move is None:
+                if len(self.states) > self.max_states or len(sends) > 1 << 23:
+                    # A long piece meets many states: all but the present one are built anew when met again.
+                    state = self._restarted(state)
+                    moves, sends = self.moves.get, self.sends
                 move = self._move(state | byte)
             state = move >> 24 << 8
             if number := move & 0xFFFFFF:

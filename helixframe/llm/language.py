@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.joins import join_measured
 from ..session import pin
 from .common import by_batches, text_of
 from .toxicity import held_out
@@ -176,7 +177,7 @@ def sample(docs: DataFrame) -> DataFrame:
     share = F.least(F.lit(FIT_ROWS / languages) / F.col("rows"), F.lit(FIT_BYTES / languages) / F.col("bytes"))
     # 2^20 steps of the hash; every language keeps its rows below the same number of bytes and rows.
     below = F.least(share, F.lit(1.0)) * F.lit(float(1 << 20))
-    drawn = fitting.join(sizes.select("lang", below.alias("_below")), "lang").where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.col("_below"))
+    drawn = join_measured(fitting, sizes.select("lang", below.alias("_below")), ["lang"]).where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.col("_below"))
     return drawn.select("text", "lang", "h").orderBy("h", "lang").limit(FIT_ROWS)
 
 

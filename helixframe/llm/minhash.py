@@ -378,14 +378,29 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
+def _words() -> Column:
+    """The text's words with one space between them."""
+    return F.trim(F.regexp_replace(text_of(), F.lit(SPACE + "+"), F.lit(" ")))
+
+
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id and the smallest doc_id with the same words, for documents with words and an id."""
-    words = F.trim(F.regexp_replace(text_of(), F.lit(SPACE + "+"), F.lit(" ")))
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("_w"))
+    """doc_id, the hash of the words and the smallest doc_id with the same ones, for documents with words and an id."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("_w"))
     hashed = pin(rows.where("_w <> ''").select("doc_id", F.sha2("_w", 256).alias("_sha")))
     several = hashed.groupBy("_sha").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     found = join_measured(hashed, several, ["_sha"], "left")
-    return found.select("doc_id", F.coalesce("_first", "doc_id").alias("first"))
+    return found.select("doc_id", "_sha", F.coalesce("_first", "doc_id").alias("first"))
+
+
+def _first_texts(texts: DataFrame, copied: DataFrame) -> DataFrame:
+    """Rows whose words no document with a smaller id has. An id's other rows stay when one of them is a copy."""
+    again = copied.where("doc_id <> first")
+    mixed = pin(copied.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("first")).alias("c")).where("n > 1 AND c").select("doc_id"))
+    if mixed.isEmpty():
+        return without_ids(texts, again)
+    hashed = join_measured(texts, mixed, ["doc_id"], "left_semi").withColumn("_sha", F.sha2(_words(), 256))
+    others = join_measured(hashed, again.select("doc_id", "_sha").distinct(), ["doc_id", "_sha"], "left_anti")
+    return without_ids(texts, again.select("doc_id").unionByName(mixed)).unionByName(others.drop("_sha"))
 
 
 def _in_parts(pinned: DataFrame, rows: int) -> DataFrame:
@@ -523,9 +538,8 @@ def _rest(buckets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: Da
 def near_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and class_size of every row."""
     copied = pin(copies(docs))
-    again = copied.where("doc_id <> first")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    distinct = without_ids(texts, again)
+    distinct = _first_texts(texts, copied)
     bands = pin(by_batches(distinct, _sign, "band bigint, doc_id bigint, size bigint, sketch binary, keys binary"))
     shared = bands.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
     buckets = pin(bands.select("band", "doc_id", "size").join(shared, "band").distinct())

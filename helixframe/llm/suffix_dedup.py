@@ -13,7 +13,8 @@ suffixes by their first 50 bytes therefore follows from the two parts:
 
 Only suffixes that can have an equal are sorted. Each is filed under the least hashed 28-byte gram
 of its 50 bytes (its anchor); an anchor met in one text only leaves its suffixes unsorted. Sorting
-is by a 64-bit fingerprint of the 50 bytes, since order beyond equality is not asked for.
+is by a 64-bit fingerprint of the 50 bytes, since order beyond equality is not asked for; the bytes of
+equal fingerprints are compared.
 
 Both sorts happen in buckets. A map task collapses what repeats within it: it sends one occurrence
 of each phrase, anchor and piece of text, that of its smallest document, and decides the others
@@ -21,9 +22,12 @@ itself, so what a third of all documents share arrives once per task. Pieces wit
 bucket of the bytes that all their suffixes have in common, at least 43 of the 50, so a hot anchor is
 split by what surrounds it. Buckets grow in number with the input.
 
-Defined results: null counts as empty; texts under 50 bytes keep everything. Rows with a null
-doc_id come after all others. Rows that share a doc_id don't repeat each other. Columns other than
-doc_id and text are not read.
+Strings count as equal when their bytes do: phrases by 128 bits, the rest by a comparison.
+
+Defined results: null counts as empty; texts under 50 bytes keep everything, and an empty table has
+no rows. Rows with a null doc_id come after all others. Rows that share a doc_id (or have none) don't
+repeat each other; each is known by its id and 128 bits of its text, so that what one loses is not taken
+from another. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -56,9 +60,12 @@ PART_BYTES = 4 << 20
 _BASE = 0x5851F42D4C957F2D
 _WORD = (1 << 64) - 1
 _WINDOWS = LENGTH - ANCHOR + 1
+#: A row is known by its document and 128 bits of its text, tag (Spark's hash) and twin (of MD5).
+_ROW = [("doc", "<i8"), ("tag", "<u8"), ("twin", "<u8")]
 #: a, b: start and number of starts that repeat; or the top of an anchor's hash, and 0.
-ENTRY = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("a", "<u4"), ("b", "<u4")])
-PHRASE = np.dtype([("p", "<u8"), ("q", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("a", "<u4"), ("b", "<u4")])
+ENTRY = np.dtype([*_ROW, ("a", "<u4"), ("b", "<u4")])
+PHRASE = np.dtype([("p", "<u8"), ("q", "<u8"), *_ROW, ("a", "<u4"), ("b", "<u4")])
+_ENTRY_FIELDS = list(ENTRY.names)
 _ROWS = "kind int, bucket int, data binary"
 ENTRIES, PHRASES, ANCHORS, TEXTS = range(4)
 
@@ -85,10 +92,14 @@ def _dealt(kind: int, buckets: np.ndarray, records: np.ndarray) -> Iterator[pa.R
 
 
 def _entries(parts: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-    """Entries for their documents' buckets."""
+    """Entries for their rows' buckets: an id that many rows share, or lack, is spread by their texts."""
     found = np.concatenate([*parts, np.zeros(0, ENTRY)])
-    found.sort(order=["doc", "tag", "a"])
-    yield from _dealt(ENTRIES, _bucket(found["doc"].view(np.uint64), n), found)
+    found = found[np.lexsort((found["a"], found["twin"], found["tag"], found["doc"]))]
+    yield from _dealt(ENTRIES, _bucket(found["doc"].astype(np.uint64) ^ found["tag"], n), found)
+
+
+def _twin(text: bytes) -> bytes:
+    return hashlib.md5(text, usedforsecurity=False).digest()[:8]
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -165,9 +176,10 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
         for i in range(batch.num_rows):
             doc, tag, text, *rest = (c[i].as_py() for c in batch.columns)
             text = text.encode()
+            twin = int.from_bytes(_twin(text), "little")
             for at in range(0, max(len(text) - OVERLAP, 1), PART_BYTES):
                 part = text[at : at + PART_BYTES + OVERLAP]
-                group.append((doc, tag, part, at, *rest))
+                group.append((doc, tag, part, at, twin, *rest))
                 size += len(part)
                 if size >= limit:
                     yield group
@@ -180,10 +192,11 @@ def _parse(n: int):
     """Phrase occurrences and anchors of a task's texts, for ``n`` buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, anchors, owners, docs, tags, read = [], [], [], [], [], 0
+        phrases, anchors, owners, docs, tags, twins, read = [], [], [], [], [], [], 0
         for group in _parts(batches):
             texts = Text([g[2] for g in group])
             ids, marks = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64).view(np.uint64)
+            pairs = np.array([g[4] for g in group], np.uint64)
             if len(texts.data) >= LENGTH:
                 begins, ends, owner = texts.phrases()
                 found = np.zeros(len(begins), PHRASE)
@@ -191,7 +204,7 @@ def _parse(n: int):
                     hashlib.blake2b(texts.data[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())
                 )
                 found["p"], found["q"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
-                found["doc"], found["tag"] = ids[owner], marks[owner].astype(np.uint32)
+                found["doc"], found["tag"], found["twin"] = ids[owner], marks[owner], pairs[owner]
                 found["a"] = begins - texts.begins[owner] + np.array([g[3] for g in group], np.int64)[owner]
                 found["b"] = ends - begins - OVERLAP
                 phrases.append(found)
@@ -204,12 +217,13 @@ def _parse(n: int):
                 owners.append(np.searchsorted(texts.ends, at, "right") + sum(map(len, docs)))
             docs.append(ids)
             tags.append(marks)
+            twins.append(pairs)
             read += len(texts.data)
             if read >= FLUSH_BYTES:
-                yield from _send_parse(phrases, anchors, owners, docs, tags, n)
-                phrases, anchors, owners, docs, tags, read = [], [], [], [], [], 0
+                yield from _send_parse(phrases, anchors, owners, docs, tags, twins, n)
+                phrases, anchors, owners, docs, tags, twins, read = [], [], [], [], [], [], 0
         if docs:
-            yield from _send_parse(phrases, anchors, owners, docs, tags, n)
+            yield from _send_parse(phrases, anchors, owners, docs, tags, twins, n)
 
     return run
 
@@ -221,16 +235,16 @@ def _repeated_phrases(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (found["p"][1:] != found["p"][:-1]) | (found["q"][1:] != found["q"][:-1])
     first = found["doc"][np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))]
     again = found["doc"] > first
-    return found[~again], found[again][["doc", "tag", "a", "b"]].astype(ENTRY)
+    return found[~again], found[again][_ENTRY_FIELDS].astype(ENTRY)
 
 
-def _send_parse(phrases, anchors, owners, docs, tags, n: int) -> Iterator[pa.RecordBatch]:
-    docs, tags = np.concatenate(docs), np.concatenate(tags)
+def _send_parse(phrases, anchors, owners, docs, tags, twins, n: int) -> Iterator[pa.RecordBatch]:
+    docs, tags, twins = np.concatenate(docs), np.concatenate(tags), np.concatenate(twins)
     own, entries = _repeated_phrases(np.concatenate([*phrases, np.zeros(0, PHRASE)]))
     yield from _dealt(PHRASES, _bucket(own["p"], n), own)
     # Of equal texts only the smallest document's anchors matter: the phrases of the others repeat.
-    order = np.lexsort((docs, tags))
-    new = np.r_[True, tags[order][1:] != tags[order][:-1]]
+    order = np.lexsort((docs, twins, tags))
+    new = np.r_[True, (tags[order][1:] != tags[order][:-1]) | (twins[order][1:] != twins[order][:-1])]
     chief = np.zeros(len(docs), bool)
     chief[order[new]] = True
     # Parts of one long text have one tag; all of them are kept.
@@ -249,7 +263,7 @@ def _send_parse(phrases, anchors, owners, docs, tags, n: int) -> Iterator[pa.Rec
     several = np.diff(np.r_[at, len(hashes)]) > 1
     shared = np.repeat(several, np.diff(np.r_[at, len(hashes)]))
     told = np.zeros(int(shared.sum()), ENTRY)
-    told["doc"], told["tag"] = docs[who[shared]], tags[who[shared]].astype(np.uint32)
+    told["doc"], told["tag"], told["twin"] = docs[who[shared]], tags[who[shared]], twins[who[shared]]
     told["a"] = hashes[shared] >> np.uint64(32)
     yield from _entries([entries, told], n)
     # One record per anchor: five bytes of its hash, and the text, or 0 where it is known to be shared.
@@ -264,7 +278,7 @@ def _send_parse(phrases, anchors, owners, docs, tags, n: int) -> Iterator[pa.Rec
         five = (hashes[part] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         # By column, and texts in order, which compresses better.
         pieces = [
-            np.array([len(texts), len(part)], "<u8"), docs[texts].astype("<i8"), tags[texts].astype("<u8"),
+            np.array([len(texts), len(part)], "<u8"), docs[texts].astype("<i8"), tags[texts].astype("<u8"), twins[texts].astype("<u8"),
             np.where(several[a:b][inner], 0, number + 1).astype("<u4"), number.astype("<u4"), five,
         ]
         yield _row(ANCHORS, int(buckets[a]), b"".join(x.tobytes() for x in pieces))
@@ -272,13 +286,14 @@ def _send_parse(phrases, anchors, owners, docs, tags, n: int) -> Iterator[pa.Rec
 
 def _shared_anchors(blobs: list[bytes]) -> np.ndarray:
     """Entries for the texts whose anchor another text has too."""
-    hashes, docs, tags, told = [], [], [], []
+    hashes, docs, tags, twins, told = [], [], [], [], []
     for blob in blobs:
         texts, n = np.frombuffer(blob, "<u8", 2).astype(int)
         at = 16
         ids = np.frombuffer(blob, "<i8", texts, at)
         marks = np.frombuffer(blob, "<u8", texts, at + 8 * texts)
-        at += 16 * texts
+        pairs = np.frombuffer(blob, "<u8", texts, at + 16 * texts)
+        at += 24 * texts
         known = np.frombuffer(blob, "<u4", n, at) == 0
         number = np.frombuffer(blob, "<u4", n, at + 4 * n)
         five = np.zeros((n, 8), np.uint8)
@@ -286,15 +301,16 @@ def _shared_anchors(blobs: list[bytes]) -> np.ndarray:
         hashes.append(five.view("<u8").ravel())
         docs.append(ids[number])
         tags.append(marks[number])
+        twins.append(pairs[number])
         told.append(known)
-    hashes, docs, tags, told = (np.concatenate(x) for x in (hashes, docs, tags, told))
+    hashes, docs, tags, twins, told = (np.concatenate(x) for x in (hashes, docs, tags, twins, told))
     order = np.argsort(hashes, kind="stable")
-    hashes, docs, tags, told = hashes[order], docs[order], tags[order], told[order]
+    hashes, docs, tags, twins, told = hashes[order], docs[order], tags[order], twins[order], told[order]
     at = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
     shared = (np.minimum.reduceat(tags, at) != np.maximum.reduceat(tags, at)) | np.logical_or.reduceat(told, at)
     wanted = np.repeat(shared, np.diff(np.r_[at, len(hashes)])) & ~told
     out = np.zeros(int(wanted.sum()), ENTRY)
-    out["doc"], out["tag"], out["a"] = docs[wanted], tags[wanted].astype(np.uint32), hashes[wanted] >> np.uint64(8)
+    out["doc"], out["tag"], out["twin"], out["a"] = docs[wanted], tags[wanted], twins[wanted], hashes[wanted] >> np.uint64(8)
     return out
 
 
@@ -311,7 +327,7 @@ def _suffixes(n: int):
                 continue
             ok, grams = texts.starts(), texts.grams(ANCHOR)
             places = texts.anchors(grams)
-            for (_, _, part, at, spans, _), begin in zip(group, texts.begins.tolist()):
+            for (_, _, part, at, _, spans, _), begin in zip(group, texts.begins.tolist()):
                 for a, b in np.frombuffer(spans or b"", "<u4").reshape(-1, 2).tolist():
                     low, high = max(a - at, 0), min(a + b - at, len(part))
                     if low < high:
@@ -323,13 +339,13 @@ def _suffixes(n: int):
             cuts, ends = cuts[unit[cuts] >= 0], ends[unit[cuts] >= 0]
             tops = (grams[places[cuts]] >> np.uint64(32)).astype(np.uint32)
             bounds = np.searchsorted(cuts, np.r_[texts.begins, len(texts.data)])
-            for (doc, tag, _, at, _, wanted), begin, low, high in zip(group, texts.begins.tolist(), bounds[:-1], bounds[1:]):
+            for (doc, tag, _, at, twin, _, wanted), begin, low, high in zip(group, texts.begins.tolist(), bounds[:-1], bounds[1:]):
                 known = np.frombuffer(wanted or b"", "<u4")
                 if not len(known) or low == high:
                     continue
                 near = np.minimum(np.searchsorted(known, tops[low:high]), len(known) - 1)
                 chosen = np.flatnonzero(known[near] == tops[low:high]) + low
-                mark = tag & 0xFFFFFFFF
+                mark = (tag & _WORD, twin)
                 for a, b, place in zip(cuts[chosen].tolist(), ends[chosen].tolist(), places[cuts[chosen]].tolist()):
                     piece, start = texts.data[a : b + OVERLAP], a - begin + at
                     nearest = (place - a) // GROUP * GROUP
@@ -341,9 +357,9 @@ def _suffixes(n: int):
                     elif owner[0] == doc and owner[1] == mark:
                         owner.append(start)
                     elif owner[0] < doc:
-                        repeated.append((doc, mark, start, b - a))
+                        repeated.append((doc, *mark, start, b - a))
                     elif owner[0] > doc:
-                        repeated += [(owner[0], owner[1], s, b - a) for s in owner[3:]]
+                        repeated += [(owner[0], *owner[1], s, b - a) for s in owner[3:]]
                         held[piece] = [doc, mark, core, start]
                     else:  # another text under the same id
                         extra.append((piece, [doc, mark, core, start]))
@@ -360,36 +376,34 @@ def _send_pieces(held: dict[bytes, list], extra: list, repeated: list[tuple], n:
     dealt: dict[int, list] = {}
     for piece, owner in [*held.items(), *extra]:
         for start in owner[3:]:
-            dealt.setdefault(owner[2] % n, []).append((piece, owner[0], owner[1], start))
+            dealt.setdefault(owner[2] % n, []).append((piece, owner[0], *owner[1], start))
     for bucket, rows in dealt.items():
-        pieces, docs, tags, starts = zip(*rows)
+        pieces, docs, tags, twins, starts = zip(*rows)
         lengths = np.array([len(p) for p in pieces], np.uint8)
-        columns = [np.array([len(rows)], "<u8"), lengths, np.array(docs, "<i8"), np.array(tags, "<u4"), np.array(starts, "<u4")]
+        columns = [
+            np.array([len(rows)], "<u8"), lengths, np.array(docs, "<i8"), np.array(tags, "<u8"), np.array(twins, "<u8"), np.array(starts, "<u4"),
+        ]
         yield _row(TEXTS, bucket, b"".join([*(c.tobytes() for c in columns), *pieces]))
 
 
 def _repeated_suffixes(blobs: list[bytes]) -> np.ndarray:
     """Sort the suffixes of a bucket by their 50 bytes and document; entries for those that repeat."""
-    lengths, docs, tags, begins, text = [], [], [], [], []
+    lengths, docs, tags, twins, begins, text = [], [], [], [], [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, "<u8", 1)[0])
         lengths.append(np.frombuffer(blob, np.uint8, n, 8).astype(np.int64))
         docs.append(np.frombuffer(blob, "<i8", n, 8 + n))
-        tags.append(np.frombuffer(blob, "<u4", n, 8 + 9 * n))
-        begins.append(np.frombuffer(blob, "<u4", n, 8 + 13 * n))
-        text.append(blob[8 + 17 * n :])
-    lengths, docs, tags, begins = (np.concatenate(x) for x in (lengths, docs, tags, begins))
+        tags.append(np.frombuffer(blob, "<u8", n, 8 + 9 * n))
+        twins.append(np.frombuffer(blob, "<u8", n, 8 + 17 * n))
+        begins.append(np.frombuffer(blob, "<u4", n, 8 + 25 * n))
+        text.append(blob[8 + 29 * n :])
+    lengths, docs, tags, twins, begins = (np.concatenate(x) for x in (lengths, docs, tags, twins, begins))
+    data = b"".join(text)
     counts = lengths - OVERLAP
     piece = np.repeat(np.arange(len(lengths)), counts)
     nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    prints = _fingerprints(text, lengths)
-    owner = docs[piece]
-    order = np.lexsort((owner, prints))
-    new = np.ones(len(order), bool)
-    new[1:] = prints[order][1:] != prints[order][:-1]
-    first = owner[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    again = np.zeros(len(order), bool)
-    again[order] = owner[order] > first
+    place = (np.cumsum(lengths) - lengths)[piece] + nth
+    again = _later(data, place, _fingerprints(data, lengths), docs[piece])
     # Neighbouring suffixes of a piece make one entry.
     begin = again.copy()
     begin[1:] &= ~again[:-1] | (piece[1:] != piece[:-1])
@@ -397,14 +411,45 @@ def _repeated_suffixes(blobs: list[bytes]) -> np.ndarray:
     end[:-1] &= ~again[1:] | (piece[1:] != piece[:-1])
     at, until = np.flatnonzero(begin), np.flatnonzero(end)
     out = np.zeros(len(at), ENTRY)
-    out["doc"], out["tag"] = owner[at], tags[piece[at]]
-    out["a"], out["b"] = begins[piece[at]] + nth[at], until - at + 1
+    own = piece[at]
+    out["doc"], out["tag"], out["twin"] = docs[own], tags[own], twins[own]
+    out["a"], out["b"] = begins[own] + nth[at], until - at + 1
     return out
 
 
-def _fingerprints(blobs: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def _later(data: bytes, place: np.ndarray, prints: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which 50-byte strings stand in a smaller document too.
+
+    They are sorted by fingerprint and document; the bytes of equal fingerprints are compared, and where
+    they differ the strings of that fingerprint are told apart one by one.
+    """
+    order = np.lexsort((owner, prints))
+    new = np.ones(len(order), bool)
+    new[1:] = prints[order][1:] != prints[order][:-1]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again = np.zeros(len(order), bool)
+    again[order] = owner[order] > owner[head]
+    raw, offsets = np.frombuffer(data, np.uint8), np.arange(LENGTH)
+    mixed: set[int] = set()
+    followers = np.flatnonzero(~new)
+    for at in range(0, len(followers), 1 << 16):
+        some = followers[at : at + (1 << 16)]
+        differ = (raw[place[order[some]][:, None] + offsets] != raw[place[head[some]][:, None] + offsets]).any(axis=1)
+        mixed.update(prints[order[some[differ]]].tolist())
+    for print_ in mixed:
+        members = np.flatnonzero(prints == np.uint64(print_)).tolist()
+        least: dict[bytes, int] = {}
+        for i in members:
+            string = data[place[i] : place[i] + LENGTH]
+            least[string] = min(least.get(string, int(owner[i])), int(owner[i]))
+        for i in members:
+            again[i] = owner[i] > least[data[place[i] : place[i] + LENGTH]]
+    return again
+
+
+def _fingerprints(data: bytes, lengths: np.ndarray) -> np.ndarray:
     """Hashes of the 50 bytes at every start of every piece, about a MB of text at a time."""
-    data, out, at, done = b"".join(blobs), [np.zeros(0, np.uint64)], 0, 0
+    out, at, done = [np.zeros(0, np.uint64)], 0, 0
     ends = np.cumsum(lengths)
     while done < len(lengths):
         until = max(int(np.searchsorted(ends, at + (1 << 20), "right")), done + 1)
@@ -449,7 +494,7 @@ def _sort_buckets(n: int):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document with its repeated starts and its shared anchors."""
+    """One entry row per text with its repeated starts and its shared anchors."""
     held: list[bytes] = []
     last = None
     for batch in batches:
@@ -465,13 +510,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_document(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     found = np.frombuffer(b"".join(blobs), ENTRY)
-    found = found[np.lexsort((found["a"], found["tag"], found["doc"]))]
-    cuts = np.flatnonzero(np.r_[True, (found["doc"][1:] != found["doc"][:-1]) | (found["tag"][1:] != found["tag"][:-1])])
+    found = found[np.lexsort((found["a"], found["twin"], found["tag"], found["doc"]))]
+    apart = [found[k][1:] != found[k][:-1] for k, _ in _ROW]
+    cuts = np.flatnonzero(np.r_[True, apart[0] | apart[1] | apart[2]])
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)]):
         part = found[a:b]
         spans, anchors = part[part["b"] > 0], part[part["b"] == 0]
-        rows.append((int(part["doc"][0]), int(part["tag"][0]), _merged(spans), np.unique(anchors["a"]).tobytes()))
+        tag, twin = part["tag"][:1].view("<i8"), part["twin"][:1].astype("<u8").tobytes()
+        rows.append((int(part["doc"][0]), int(tag[0]), twin, _merged(spans), np.unique(anchors["a"]).tobytes()))
         if len(rows) == 4096:
             yield _gathered(rows)
             rows = []
@@ -491,8 +538,8 @@ def _merged(spans: np.ndarray) -> bytes:
 
 
 def _gathered(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["_doc", "_mark", "spans", "anchors"])
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["_doc", "_mark", "_twin", "spans", "anchors"])
 
 
 def _solved(sent: DataFrame, n: int) -> DataFrame:
@@ -500,7 +547,7 @@ def _solved(sent: DataFrame, n: int) -> DataFrame:
     dealt = sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
     entries = by_batches(dealt, _sort_buckets(n), _ROWS)
     home = entries.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return by_batches(home, _gather, "_doc bigint, _mark bigint, spans binary, anchors binary")
+    return by_batches(home, _gather, "_doc bigint, _mark bigint, _twin binary, spans binary, anchors binary")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,18 +580,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id",
         F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"),
-        F.xxhash64("text").alias("_tag"),
+        F.xxhash64("text").alias("_mark"),
+        F.substring(F.unhex(F.md5("text")), 1, 8).alias("_twin"),
         "text",
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // BUCKET_BYTES + 1
-    first = pin(_solved(by_batches(rows.select("_doc", "_tag", "text"), _parse(n), _ROWS), n))
-    marked = rows.withColumn("_mark", F.col("_tag").bitwiseAND(F.lit(0xFFFFFFFF)))
-    keys = ["_doc", "_mark"]
+    first = pin(_solved(by_batches(rows.select("_doc", "_mark", "text"), _parse(n), _ROWS), n))
+    keys = ["_doc", "_mark", "_twin"]
     open_ = first.where(F.length("anchors") > 0)
-    pieces = join_measured(marked, open_, keys).select("_doc", "_tag", "text", "spans", "anchors")
+    pieces = join_measured(rows, open_, keys).select("_doc", "_mark", "text", "spans", "anchors")
     second = _solved(by_batches(pieces, _suffixes(n), _ROWS), n).select(*keys, F.col("spans").alias("_more"))
-    known = join_measured(marked, first.where(F.length("spans") > 0).select(*keys, "spans"), keys, "left")
+    known = join_measured(rows, first.where(F.length("spans") > 0).select(*keys, "spans"), keys, "left")
     whole = join_measured(known, second, keys, "left").select("doc_id", "text", "spans", "_more")
     return by_batches(whole, _remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 

@@ -190,6 +190,16 @@ def test_bpe_bounded_tables(codec, reference, words):
     assert len(small.states) < 200
 
 
+def test_bpe_bounded_tables_inside_a_piece(codec, reference):
+    """One piece of letters that meets far more states than the bound."""
+    small, rng = bpe.Transducer(codec.ranks, max_states=60), random.Random(21)
+    piece = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    most, move = [0], small._move
+    small._move = lambda key: (most.append(len(small.states)), move(key))[1]
+    assert small.encode(piece.encode()) == reference.encode_ordinary(piece)
+    assert len(most) > 1000 and max(most) <= 62
+
+
 def test_bpe_pairs_against_merges(codec):
     rng, machine = random.Random(9), codec.transducer
     ids = list(machine.tokens)
@@ -303,6 +313,37 @@ def test_repeats_in_parts(documents, words, monkeypatch):
     assert got == repeats_by_hand([(i, t.encode()) for i, t in enumerate(texts)])
 
 
+def test_repeats_of_one_id(documents, words, spark, monkeypatch):
+    """Texts under one id, or none, keep what others of that id lose, whatever their hashes have in common."""
+    rng = random.Random(31)
+    passages = [" ".join(words(400 + i, 30)) for i in range(8)]
+    texts = [rng.choice(passages) + " ".join(words(500 + i, 20)) for i in range(40)] + [" ".join(words(600 + i, 25)) for i in range(20)]
+    rows = [(rng.choice([None, 3, 5, 5, 9]), t) for t in texts] + [(1, passages[0]), (12, passages[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(4)
+    expected = repeats_by_hand([(i, t.encode()) for i, t in rows])
+    assert sorted(map(tuple, suffix_dedup.report(docs).collect()), key=str) == expected
+    # Equal first hashes: the second one tells the texts apart.
+    monkeypatch.setattr(suffix_dedup.F, "xxhash64", lambda *c: suffix_dedup.F.lit(7).cast("long"))
+    assert sorted(map(tuple, suffix_dedup.report(docs).collect()), key=str) == expected
+
+
+def test_equal_fingerprints_are_compared(words):
+    """Strings with one fingerprint count as equal only if their bytes are."""
+    text = " ".join(words(3, 60)).encode()
+    data = text[:50] + text[:50] + text[50:100] + text[50:100]
+    place, owner = np.array([0, 50, 100, 150]), np.array([4, 6, 5, 9])
+    again = suffix_dedup._later(data, place, np.full(4, 77, np.uint64), owner)
+    assert again.tolist() == [False, True, False, True]
+
+
+def test_null_ids_are_spread(documents, words, spark, monkeypatch):
+    """Entries of texts without ids go to many buckets."""
+    found = np.zeros(2000, suffix_dedup.ENTRY)
+    found["doc"], found["tag"] = (1 << 63) - 1, np.arange(2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = [b["bucket"][0].as_py() for b in suffix_dedup._entries([found], 20)]
+    assert len(set(rows)) == 20
+
+
 def test_repeats_odd(odd):
     found = sorted(map(tuple, suffix_dedup.report(odd).collect()), key=str)
     assert found == repeats_by_hand([(r.doc_id, (r.text or "").encode()) for r in odd.collect()])
@@ -401,6 +442,16 @@ def test_near_classes(documents, words):
     assert all(r.class_size == sizes[r.class_id] for r in found.values())
 
 
+def test_near_repeated_ids(spark, words):
+    """A row that is a copy takes only itself out of the search: other texts of its id keep their links."""
+    a, b = " ".join(words(1, 80)), words(2, 80)
+    changed = [*b[:40], "changed", *b[41:]]
+    rows = [(1, a), (5, a), (5, " ".join(b)), (9, " ".join(changed)), (11, " ".join(words(3, 80)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    found = {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()}
+    assert found == {1: 1, 5: 1, 9: 1, 11: 11}
+
+
 @pytest.mark.parametrize("chunk", [1024, 40])
 def test_near_template(documents, monkeypatch, chunk):
     """Families of one template: 0.75 to 0.79 between them, 0.8 to 0.85 inside."""
