@@ -253,10 +253,10 @@ def _send_parse(phrases, anchors, owners, docs, tags, twins, n: int) -> Iterator
     hashes = np.concatenate([*anchors, np.zeros(0, np.uint64)])
     who = np.concatenate([*owners, np.zeros(0, np.int64)])
     hashes, who = hashes[chief[who]], who[chief[who]]
-    order = np.lexsort((who, tags[who], hashes))
+    order = np.lexsort((who, twins[who], tags[who], hashes))
     hashes, who = hashes[order], who[order]
     fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (tags[who][1:] != tags[who][:-1])
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (tags[who][1:] != tags[who][:-1]) | (twins[who][1:] != twins[who][:-1])
     hashes, who = hashes[fresh], who[fresh]
     new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
     at = np.flatnonzero(new)
@@ -307,7 +307,8 @@ def _shared_anchors(blobs: list[bytes]) -> np.ndarray:
     order = np.argsort(hashes, kind="stable")
     hashes, docs, tags, twins, told = hashes[order], docs[order], tags[order], twins[order], told[order]
     at = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    shared = (np.minimum.reduceat(tags, at) != np.maximum.reduceat(tags, at)) | np.logical_or.reduceat(told, at)
+    several = lambda x: np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at)
+    shared = several(tags) | several(twins) | np.logical_or.reduceat(told, at)
     wanted = np.repeat(shared, np.diff(np.r_[at, len(hashes)])) & ~told
     out = np.zeros(int(wanted.sum()), ENTRY)
     out["doc"], out["tag"], out["twin"], out["a"] = docs[wanted], tags[wanted], twins[wanted], hashes[wanted] >> np.uint64(8)
