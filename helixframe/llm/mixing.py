@@ -13,8 +13,8 @@ themselves are a catalogue of one row each.
 
 Defined results: a null text has size 0, a null source is a source of its own and comes last, a
 document of size 0 takes 0 words. Repeated rows are documents of their own: each gets its own
-offset. Equal hashes are ordered by doc_id, size and text hash. An empty table gives an empty
-result. Columns other than doc_id, text and source are not read.
+offset. Rows are ordered by a hash of id and text, so null or repeated ids are spread like others. An
+empty table gives an empty result; a text is counted whole, however long. Columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +34,14 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1
 Schedule = Sequence[tuple[float, float]]
 
 
+def hashed_order() -> Column:
+    """What orders the documents of a source, and names a row: ids that many rows share, or lack, are told apart by text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(text_of())))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and the hashed order; the only step that reads texts."""
-    return docs.select(
-        "doc_id",
-        "source",
-        word_count(text_of()).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"),
-        F.xxhash64(text_of()).alias("_tie"),
-    )
+    return docs.select("doc_id", "source", word_count(text_of()).alias("size"), hashed_order().alias("_order"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_PASSES) -> DataFrame:
@@ -105,7 +104,7 @@ def curriculum(
     schedules: Sequence[Schedule] = SCHEDULES,
     passes: int = MAX_PASSES,
 ) -> DataFrame:
-    """One row per document: source, size, source_size, target, taken and ``positions``.
+    """One row per document: source, size, source_size, target, taken, ``positions`` and ``order_key``.
 
     ``positions`` has the training position, in words, of each pass that the mix takes. A pass is
     taken when its middle lies below the target, so a source misses its target by at most half a
@@ -123,7 +122,7 @@ def curriculum(
         F.col("source").alias("_s"), "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
     ).join(known.withColumnRenamed("source", "_s2"), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")
     inside = (
-        Window.partitionBy("source", "_slice").orderBy("_order", "doc_id", "size", "_tie")
+        Window.partitionBy("source", "_slice").orderBy("_order", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = sizes.withColumn("_slice", slice_).withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -146,6 +145,7 @@ def curriculum(
     return joined.withColumn("positions", positions).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions",
+        F.col("_order").alias("order_key"),
     )
 
 
@@ -168,26 +168,26 @@ def report(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of documents as the mix takes them, a document once per pass, in training order.
 
-    Where rows share a doc_id, the passes of that id are dealt out among them in turn.
+    Rows are known by the hash of id and text; where rows share both, the passes are dealt out among
+    them in turn.
     """
-    id_, turn, copies, position, positions = fresh(docs, "_id", "_turn", "_copies", "_position", "_positions")
-    due = curriculum(docs).select(F.col("doc_id").alias(id_), F.explode("positions").alias(position))
-    due = due.groupBy(id_).agg(F.sort_array(F.collect_list(position)).alias(positions))
-    same = F.col("doc_id").eqNullSafe(F.col(id_))
+    key, turn, copies, position, positions = fresh(docs, "_key", "_turn", "_copies", "_position", "_positions")
+    due = curriculum(docs).select(F.col("order_key").alias(key), F.explode("positions").alias(position))
+    due = due.groupBy(key).agg(F.sort_array(F.collect_list(position)).alias(positions))
+    keyed = docs.withColumn(key, hashed_order())
     once = {turn: F.lit(0), copies: F.lit(1)}
-    rows = docs.withColumns(once)
-    repeated = pin(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_)))
+    rows = keyed.withColumns(once)
+    repeated = pin(keyed.groupBy(key).count().where("count > 1").select(key))
     if not repeated.isEmpty():
-        alike = Window.partitionBy("doc_id")
-        dealt = {
-            turn: F.row_number().over(alike.orderBy(F.xxhash64("text"), "text")) - 1,
-            copies: F.count("*").over(alike).cast("int"),
-        }
-        shared = docs.join(repeated, same, "left_semi").withColumns(dealt)
-        rows = docs.join(repeated, same, "left_anti").withColumns(once).unionByName(shared)
+        alike = Window.partitionBy(key)
+        # The same order whenever a task runs again; rows that are equal in all columns may change places.
+        fields = [F.col(f"`{name}`") for name, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+        dealt = {turn: F.row_number().over(alike.orderBy(F.xxhash64(*fields))) - 1, copies: F.count("*").over(alike).cast("int")}
+        shared = join_measured(keyed, repeated, [key], "left_semi").withColumns(dealt)
+        rows = join_measured(keyed, repeated, [key], "left_anti").withColumns(once).unionByName(shared)
     own = F.filter(positions, lambda p, i: i % F.col(copies) == F.col(turn))
-    taken = rows.join(due, same).withColumn(position, F.explode(own))
-    ordered = taken.repartitionByRange(position, "doc_id").sortWithinPartitions(position, "doc_id")
+    taken = rows.join(due, key).withColumn(position, F.explode(own))
+    ordered = taken.repartitionByRange(position, key).sortWithinPartitions(position, key)
     return ordered.select(*docs.columns)
 
 
@@ -205,7 +205,7 @@ def oracle() -> str:
     )
     return f"""
     WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-               md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+               md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS o FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
     r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS class FROM s),
     c AS (SELECT *, class + 1 AS weight, 3 * source_size AS cap FROM r),

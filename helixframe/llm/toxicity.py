@@ -5,7 +5,7 @@ space stands before and after it. Counts per feature and label come from all lab
 rows: each task counts into arrays and sends the features it met, and Spark sums them. The
 log-count ratio of a feature is smoothed towards 0 in proportion to the class sizes. The classifier
 is a logistic regression over presence times ratio of all features whose ratios lie ``MIN_STRENGTH``
-standard errors from 0. It is fitted on a bounded sample of training texts (``FIT_ROWS``, the first by
+standard errors from 0. It is fitted on a bounded sample of training texts (``FIT_ROWS`` and ``FIT_BYTES``, the first by
 hash, each as often as it occurs), each with ratios that leave it out; a feature that no sampled text
 has gets the mean weight of the others. The model, at most 16 bytes for each of ``BUCKETS``, goes to the tasks that score all texts.
 
@@ -31,6 +31,8 @@ from .common import by_batches, fresh, text_of
 GRAM = 5
 BUCKETS = 1 << 20
 FIT_ROWS = 6_000
+#: Bytes of the sampled texts' features, four each: what the driver fits on at most (one text may have more).
+FIT_BYTES = 64 << 20
 #: Ratios nearer to 0 than so many standard errors say nothing. This and the ridge were chosen by five folds
 #: (by hash of the text) of the 2,990 training rows of the sf0.1 tables: of the pairs whose F1 at the threshold
 #: lies within a standard error of the best (0.850; 3.0 with 1, 3 and 10), the one of least log loss.
@@ -155,14 +157,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
         for batch in batches:
             found = (place[once(features(t))] for t in batch.column(0).to_pylist())
             packed = [np.sort(f[f >= 0]).astype(np.int32).tobytes() for f in found]
-            yield pa.record_batch([pa.array(packed, pa.binary()), batch.column(1)], names=["present", "label"])
+            yield pa.record_batch([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], names=["present", "label", "h"])
 
     # The first texts by hash: chosen by narrow rows, so that no task gathers texts. Copies of a
     # text are one text that counts as often, or a common one would fill the sample.
     keyed = rows.withColumn("_h", F.xxhash64("text"))
     last = keyed.select("_h").distinct().orderBy("_h").limit(FIT_ROWS).agg(F.max("_h")).first()[0]
-    sample = by_batches(keyed.where(F.col("_h") <= last).select("text", "label"), present, "present binary, label int")
-    fitted = sample.groupBy("present", "label").count().orderBy("present", "label").toArrow()
+    drawn = keyed.where(F.col("_h") <= last).select("text", "label", "_h")
+    sample = pin(by_batches(drawn, present, "present binary, label int, h bigint"))
+    # Long texts have many features: texts are taken, in the order of the hash, as far as their bytes go.
+    sizes = sample.groupBy("h").agg(F.max(F.length("present")).alias("n")).orderBy("h").toArrow()
+    enough = np.cumsum(sizes["n"].to_numpy()) <= FIT_BYTES
+    last = sizes["h"][int(max(enough.sum(), 1)) - 1].as_py()
+    fitted = sample.where(F.col("h") <= last).groupBy("present", "label").count().orderBy("present", "label").toArrow()
     y, times_met = (fitted[c].to_numpy().astype(float) for c in ("label", "count"))
     x_rows = [np.frombuffer(r.as_buffer(), np.int32) for r in fitted["present"]]
     weights, bias = _logistic(x_rows, without_own, y, times_met)

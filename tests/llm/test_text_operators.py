@@ -150,6 +150,18 @@ def test_mixing_stage_and_odd(odd):
     assert mixing.report(empty).count() == 0 and mixing.stage(empty).count() == 0
 
 
+def test_mixing_spreads_rows_without_ids(spark):
+    """A third of all rows without an id lie in many slices, and each row is taken as its own text is due."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * (1 + i % 7), "x", "ab"[i % 2], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    slices = mixing.measure(docs.where("doc_id IS NULL")).groupBy(F.substring("_order", 1, 3)).count()
+    assert slices.count() > 700 and slices.agg(F.max("count")).first()[0] < 10
+    passes = {(r.doc_id, r.order_key): len(r.positions) for r in mixing.curriculum(docs).collect()}
+    keyed = {r.k: (r.doc_id, r.text) for r in docs.select("doc_id", "text", mixing.hashed_order().alias("k")).collect()}
+    taken = Counter((r.doc_id, r.text) for r in mixing.stage(docs).collect())
+    assert taken == Counter({keyed[k]: n for (_, k), n in passes.items() if n})
+
+
 # BPE
 
 
@@ -530,6 +542,66 @@ def test_toxicity_copies_in_sample(documents, words, spark, monkeypatch):
     assert found[0].score < 0.1 and found[1].score > 3 * found[0].score
 
 
+def grams_by_hand(text):
+    """Distinct buckets of 5-grams."""
+    clean, found = f" {text.lower()} ", set()
+    for i in range(len(clean) - 4):
+        mixed = 0
+        for c in clean[i : i + 5]:
+            mixed = (mixed * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+        mixed ^= mixed >> 29
+        found.add(mixed * 0xBF58476D1CE4E5B9 % 2**64 >> 64 - 20)
+    return found
+
+
+def test_toxicity_against_python(documents, words, spark):
+    """Features, counts, ratios and the fit, against plain Python and a slow gradient descent."""
+    rng = random.Random(17)
+    texts = [" ".join(words(i, 12)) + (" slur slurs" if i % 3 == 0 else "") + rng.choice(["", " é"]) for i in range(90)]
+    assert all(set(toxicity.features(t).tolist()) == grams_by_hand(t) for t in [*texts, "", "abc", "ÄÖ  x\n"])
+    docs = documents(texts)
+    marks = [(i, 1, int(i % 3 == 0) if i % 7 else None) for i in range(90)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    buckets, weights, bias = toxicity.train(docs, labels)
+    rows = [(grams_by_hand(texts[i]), y) for i, _, y in marks if y is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    n = Counter(y for _, y in rows)
+    count = {y: Counter(g for grams, own in rows if own == y for g in grams) for y in (0, 1)}
+    a1, a0 = n[1] / len(rows), n[0] / len(rows)
+    ratio = lambda g, d0=0, d1=0: np.log((max(count[1][g] - d1, 0) + a1) / (n[1] - d1)) - np.log((max(count[0][g] - d0, 0) + a0) / (n[0] - d0))
+    strong = {g for g in {*count[0], *count[1]} if abs(ratio(g)) / np.sqrt(1 / (count[0][g] + 1) + 1 / (count[1][g] + 1)) >= toxicity.MIN_STRENGTH}
+    assert strong == set(buckets.tolist())
+    place = {g: i for i, g in enumerate(buckets.tolist())}
+    x = np.zeros((len(rows), len(place)))
+    for k, (grams, y) in enumerate(rows):
+        for g in grams & strong:
+            x[k, place[g]] = ratio(g, 1 - y, y)
+    y = np.array([y for _, y in rows], float)
+    w, b = np.zeros(len(place)), 0.0
+    for _ in range(20_000):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w -= 0.002 * (x.T @ error + toxicity.RIDGE * w)
+        b -= 0.002 * error.sum()
+    expected = np.array([w[place[g]] * ratio(g) for g in buckets.tolist()])
+    assert np.allclose(weights, expected, atol=1e-3) and abs(bias - b) < 1e-2
+    scores = {r.doc_id: r.score for r in toxicity.scored(docs, (buckets, weights, bias)).collect()}
+    for i, text in enumerate(texts):
+        by_hand = sum(weights[place[g]] for g in grams_by_hand(text) & strong) + bias
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-by_hand)))
+
+
+def test_toxicity_bounded_bytes(documents, words, spark, monkeypatch):
+    """Few long texts fill the sample by bytes; the model still tells the labels apart."""
+    texts = [" ".join(words(i, 3000)) + " slur slurs" * (i % 2) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    fitted, fit = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, *rest: (fitted.append(len(x)), fit(x, *rest))[1])
+    monkeypatch.setattr(toxicity, "MIN_STRENGTH", 0.0)
+    toxicity.train(documents(texts), labels)
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 100_000)
+    toxicity.train(documents(texts), labels)
+    assert fitted[0] > 2 * fitted[1] >= 2
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(3, 0, 1), (5, 0, 0), (7, 1, 0), (8, 1, 1), (None, 1, 1), (9, 1, None), (77, 1, 1)], "doc_id bigint, quality int, toxic int")
     found, rows = by_id(toxicity.report(odd, labels))
