@@ -1075,6 +1075,16 @@ def gen_row(spark, sf_dir):
     return _generated(spark, sf_dir, fixed_noise())
 
 
+@query
+def gen_row_updated_model(spark, sf_dir):
+    """The generator on a model that three batches of samples have built up."""
+    built = synth.model_of_state(_model_of_batches(spark, sf_dir))
+    chunks = fx.genome(built.stats, "location_bin")
+    rows = synth.generate(fx.draws(spark, sf_dir), built, chunks, fixed_noise())
+    # Deviations of united batches differ in the last digits, which a metric at a half may show.
+    return rows.select("location", "sample_id", "ref", "allele", "allele_pos", "call_GT")
+
+
 @query
 def gen_load(spark, sf_dir):
     path = scratch_path(spark, "generated")

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 
-from ..constants import ALT_ALLELE_COLUMNS
-from ..functions.noise import modular_noise_sql
 from . import fixtures as fx
-from .synth import NOISE_TAGS
 
 
 # Spelled out here once more, so that a wrong value in the package does not pass on both sides.
 SINGLE_ALT_GENOTYPES = ("0/1", "1/0", "1/1", "0|1", "1|0", "1|1", "0/2", "0|2", "2/0", "2|0", "1", "2")
 TWO_ALT_GENOTYPES = ("1/2", "1|2", "2/1", "2|1")
+ALT_ALLELE_COLUMNS = (
+    "location", "sample_id", "ref", "allele", "allele_pos", "call_GT", "call_GQ", "as_raw_mq", "raw_mq", "as_raw_mqranksum",
+    "qual", "as_raw_readposranksum", "as_sb_table", "call_AD", "ref_ad", "ad",
+)
+NOISE_TAGS = (
+    "bin", "spike", "offset_any", "offset_known", "snp", "qual_radius", "qual_angle", "refad_radius", "refad_angle",
+    "ad_radius", "ad_angle", "gq_radius", "gq_angle", "block_slot", "block_item", "bin_slot", "bin_item",
+)
 MODY_GENES = (
     "ABCC8", "APPL1", "BLK", "CEL", "GCK", "HNF1A", "HNF1B", "HNF4A", "INS", "KCNJ11",
     "KLF11", "NEUROD1", "PAX4", "PDX1",
@@ -70,7 +75,9 @@ _COND = f"SELECT location, ref, allele, {_LIST} AS ids FROM {{}} GROUP BY ALL"
 
 
 def _noise(tag: str) -> str:
-    return modular_noise_sql(NOISE_TAGS.index(tag))
+    i = NOISE_TAGS.index(tag)
+    mixed = f"(draw_no % 1000003) * {7919 + 1217 * i} + sample_id * {104729 + 331 * i}"
+    return f"(CAST(({mixed}) % 1000003 AS DOUBLE) / CAST(1000003 AS DOUBLE))"
 
 
 def _normal(tag: str) -> str:
@@ -584,6 +591,7 @@ def oracle_sql() -> dict[str, str]:
             "placed_any", "stats",
         ),
         "gen_row": _sql(f"SELECT {_ALL} FROM calls", "calls"),
+        "gen_row_updated_model": _sql("SELECT location, sample_id, ref, allele, allele_pos, call_GT FROM calls", "calls"),
         "gen_load": _sql(f"SELECT {_ALL} FROM calls", "calls"),
         "load_checked": _sql(f"SELECT {_ALL} FROM aa WHERE sample_id % 10 NOT IN (3, 5, 7, 8)", "aa"),
         "load_rejected": _sql(

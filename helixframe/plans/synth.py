@@ -34,6 +34,7 @@ from ..operators.model import (
     model_bins,
     model_stats,
 )
+from ..operators.model_state import ModelState, state_bins, state_stats
 from ..operators.weights import (
     cell_width,
     cumulative_weight,
@@ -75,6 +76,13 @@ def build_model(alt_allele: DataFrame) -> Model:
     return Model(bin_weights(bins), stats, bin_bitmaps(bins), bin_spikes(bins))
 
 
+def model_of_state(state: ModelState) -> Model:
+    """The tables from partial states that batches of samples have updated; no call is read."""
+    bins = pin(state_bins(state))
+    stats = pin(fill_stats(state_stats(state)))
+    return Model(bin_weights(bins), stats, bin_bitmaps(bins), bin_spikes(bins))
+
+
 def slice_model(model: Model, start: float, end: float) -> Model:
     """The part of a model that one share of the weight needs; ``weights`` stays whole."""
     total = total_weight(model.weights).scalar()

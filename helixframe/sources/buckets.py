@@ -53,12 +53,14 @@ def write_bucketed(
     buckets: int,
     path: str | None = None,
     hot_share: float = HOT_SHARE,
+    stored: bool = False,
 ) -> BucketedTable:
     """Create a bucketed catalog table, sorted by the keys inside its buckets (actions).
 
-    The input is pinned: it is counted by key before it is dealt out.
+    The input is counted by key before it is dealt out; unless it is a stored table (``stored``), it is
+    pinned so that it is not computed twice.
     """
-    spark, rows, keys = df.sparkSession, pin(df), tuple(keys)
+    spark, rows, keys = df.sparkSession, df if stored else pin(df), tuple(keys)
     target = path or scratch_path(spark, name)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     bound = max(1, int(rows.count() * hot_share / buckets))

@@ -42,8 +42,9 @@ def replace_table(df: DataFrame, name: str, path: str | None = None, fmt: str =
 
     The rows are written to a new folder first, below ``path`` or the shared folder, and the name
     is pointed there when they are complete: a write that fails leaves the old table as it was.
-    With the same columns the name never goes away; other columns take a drop and a create, both
-    after the write. The old folder is left to its owner.
+    With the same columns the name never goes away. With other columns the old table steps aside
+    under another name while the new one is created, and comes back if that fails; it is dropped
+    when the name is taken. The old folder is left to its owner.
     """
     spark = df.sparkSession
     target = f"{path}/{uuid.uuid4().hex}" if path else scratch_path(spark, name)
@@ -51,15 +52,28 @@ def replace_table(df: DataFrame, name: str, path: str | None = None, fmt: str =
     _repoint(spark, name, target, fmt)
 
 
+def _quoted(name: str) -> str:
+    return ".".join(f"`{part.strip('`').replace('`', '``')}`" for part in name.split("."))
+
+
 def _repoint(spark: SparkSession, name: str, target: str, fmt: str) -> None:
     written = spark.read.format(fmt).load(target)
-    if spark.catalog.tableExists(name):
-        if spark.table(name).schema == written.schema:
-            spark.sql(f"ALTER TABLE {name} SET LOCATION '{target}'")
-            spark.catalog.refreshTable(name)
-            return
-        spark.sql(f"DROP TABLE {name}")
-    spark.catalog.createTable(name, path=target, source=fmt, schema=written.schema)
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=target, source=fmt, schema=written.schema)
+        return
+    if spark.table(name).schema == written.schema:
+        place = target.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {_quoted(name)} SET LOCATION '{place}'")
+        spark.catalog.refreshTable(name)
+        return
+    aside = f"{name}_{uuid.uuid4().hex}"
+    spark.sql(f"ALTER TABLE {_quoted(name)} RENAME TO {_quoted(aside)}")
+    try:
+        spark.catalog.createTable(name, path=target, source=fmt, schema=written.schema)
+    except Exception:
+        spark.sql(f"ALTER TABLE {_quoted(aside)} RENAME TO {_quoted(name)}")
+        raise
+    spark.sql(f"DROP TABLE {_quoted(aside)}")
 
 
 def _table_writer(df: DataFrame, path: str | None, fmt: str):

@@ -153,6 +153,26 @@ def test_replace_table(spark, scratch):
     assert tables.scan_table(spark, name).columns == ["id", "more"]
 
 
+def test_a_failed_replacement_brings_the_old_table_back(spark, scratch, monkeypatch):
+    """Other columns, and the catalog refuses the new table: the name still has the old rows."""
+    name = "helixframe_kept_test"
+    tables.replace_table(spark.range(4), name, scratch)
+    catalog_type = type(spark.catalog)
+    monkeypatch.setattr(catalog_type, "createTable", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("refused")))
+    with pytest.raises(RuntimeError, match="refused"):
+        tables.replace_table(spark.range(2).select("id", F.lit("x").alias("more")), name, scratch)
+    monkeypatch.undo()
+    assert spark.table(name).columns == ["id"] and spark.table(name).count() == 4
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(name + "_")]
+
+
+def test_paths_with_quotes(spark, scratch):
+    name = "helixframe_quote_test"
+    for n in (1, 2):
+        tables.replace_table(spark.range(n), name, f"{scratch}/it's")
+    assert spark.table(name).count() == 2
+
+
 def test_compact_points_the_table_to_the_new_files(spark, scratch):
     rows = spark.range(1000).select(F.col("id").alias("location"))
     name = "helixframe_compact_test"
