@@ -336,7 +336,7 @@ def member_of_set_indexed(spark, sf_dir):
 
 @query
 def postings_in_range(spark, sf_dir):
-    return postings.variants_in_range(_postings(spark, sf_dir), 41, LOW, HIGH)
+    return postings.variants_in_range(_postings(spark, sf_dir), 1, LOW, HIGH)
 
 
 @query

@@ -362,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_sample": _sql(f"SELECT {_ALL} FROM aa WHERE sample_id = 41", "aa"),
         "member_of_set": _sql("SELECT location, ref, allele FROM merged WHERE list_contains(ids, 1)", "merged"),
         "member_of_set_indexed": _sql("SELECT DISTINCT location, ref, allele FROM aa WHERE sample_id = 1", "aa"),
-        "postings_in_range": _sql(f"SELECT DISTINCT location, ref, allele FROM aa WHERE sample_id = 41 AND {_RANGE}", "aa"),
+        "postings_in_range": _sql(f"SELECT DISTINCT location, ref, allele FROM aa WHERE sample_id = 1 AND {_RANGE}", "aa"),
         "shared_variants": _sql(
             """SELECT location, ref, allele FROM aa WHERE sample_id IN (1, 2) GROUP BY ALL HAVING count(DISTINCT sample_id) = 2""", "aa"
         ),
