@@ -26,23 +26,24 @@ Strings count as equal when their bytes do: phrases by 128 bits, the rest by a c
 
 Defined results: null counts as empty; texts under 50 bytes keep everything, and an empty table has
 no rows. Rows with a null doc_id come after all others. Rows that share a doc_id (or have none) don't
-repeat each other; each is known by its id and 128 bits of its text, so that what one loses is not taken
-from another. Columns other than doc_id and text are not read.
+repeat each other; each is known by its id, 128 bits of its text and its file in a copy of the texts
+that is written first, so that what one loses is not taken from another. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.joins import join_measured
-from ..session import pin
-from .common import by_batches, text_of
+from ..session import scratch_path
+from .common import by_batches, staged, text_of
 from .minhash import mix
 
 LENGTH = 50
@@ -58,15 +59,15 @@ PIECES = 150_000
 #: A longer text is parsed in parts; each start belongs to one.
 PART_BYTES = 4 << 20
 _BASE = 0x5851F42D4C957F2D
-_WORD = (1 << 64) - 1
 _WINDOWS = LENGTH - ANCHOR + 1
-#: A row is known by its document and 128 bits of its text, tag (Spark's hash) and twin (of MD5).
-_ROW = [("doc", "<i8"), ("tag", "<u8"), ("twin", "<u8")]
+#: Rows are known by document, file and text, a text by the halves of its MD5; equal rows of a file are one.
+_ROW = [("doc", "<i8"), ("file", "<u4"), ("tag", "<u8"), ("twin", "<u8")]
 #: a, b: start and number of starts that repeat; or the top of an anchor's hash, and 0.
 ENTRY = np.dtype([*_ROW, ("a", "<u4"), ("b", "<u4")])
 PHRASE = np.dtype([("p", "<u8"), ("q", "<u8"), *_ROW, ("a", "<u4"), ("b", "<u4")])
 _ENTRY_FIELDS = list(ENTRY.names)
 _ROWS = "kind int, bucket int, data binary"
+_NOTES = ["_doc", "_mark", "digest", "spans", "anchors"]
 ENTRIES, PHRASES, ANCHORS, TEXTS = range(4)
 
 
@@ -94,12 +95,12 @@ def _dealt(kind: int, buckets: np.ndarray, records: np.ndarray) -> Iterator[pa.R
 def _entries(parts: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
     """Entries for their rows' buckets: an id that many rows share, or lack, is spread by their texts."""
     found = np.concatenate([*parts, np.zeros(0, ENTRY)])
-    found = found[np.lexsort((found["a"], found["twin"], found["tag"], found["doc"]))]
+    found = found[np.lexsort((found["a"], found["file"], found["twin"], found["tag"], found["doc"]))]
     yield from _dealt(ENTRIES, _bucket(found["doc"].astype(np.uint64) ^ found["tag"], n), found)
 
 
-def _twin(text: bytes) -> bytes:
-    return hashlib.md5(text, usedforsecurity=False).digest()[:8]
+def _digest(text: bytes) -> bytes:
+    return hashlib.md5(text, usedforsecurity=False).digest()
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -174,12 +175,12 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
     group, size = [], 0
     for batch in batches:
         for i in range(batch.num_rows):
-            doc, tag, text, *rest = (c[i].as_py() for c in batch.columns)
+            doc, file, text, *rest = (c[i].as_py() for c in batch.columns)
             text = text.encode()
-            twin = int.from_bytes(_twin(text), "little")
+            digest = _digest(text)
             for at in range(0, max(len(text) - OVERLAP, 1), PART_BYTES):
                 part = text[at : at + PART_BYTES + OVERLAP]
-                group.append((doc, tag, part, at, twin, *rest))
+                group.append((doc, file, part, at, digest, *rest))
                 size += len(part)
                 if size >= limit:
                     yield group
@@ -188,15 +189,44 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
         yield group
 
 
+class _Rows:
+    """What a task has read of texts since it last sent: a record for each part of a row."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+
+    def add(self, group: list[tuple]) -> None:
+        self.parts += [(g[0], g[1], *struct.unpack("<2Q", g[4]), g[3]) for g in group]
+
+    def arrays(self) -> np.ndarray:
+        return np.array(self.parts, np.dtype([*_ROW, ("at", "<u8")]))
+
+
+def _first_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of equal rows of a file; of these, those in the smallest document that has their text; a number for each text."""
+    order = np.lexsort((rows["at"], rows["file"], rows["doc"], rows["twin"], rows["tag"]))
+    sorted_ = rows[order]
+    new_text = np.ones(len(rows), bool)
+    new_text[1:] = (sorted_["tag"][1:] != sorted_["tag"][:-1]) | (sorted_["twin"][1:] != sorted_["twin"][:-1])
+    new_row = new_text.copy()
+    for field in ("doc", "file", "at"):
+        new_row[1:] |= sorted_[field][1:] != sorted_[field][:-1]
+    least = sorted_["doc"][np.maximum.accumulate(np.where(new_text, np.arange(len(rows)), 0))]
+    first, chief, text = np.zeros(len(rows), bool), np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+    first[order] = new_row
+    chief[order] = new_row & (sorted_["doc"] == least)
+    text[order] = np.cumsum(new_text)
+    return first, chief, text
+
+
 def _parse(n: int):
     """Phrase occurrences and anchors of a task's texts, for ``n`` buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, anchors, owners, docs, tags, twins, read = [], [], [], [], [], [], 0
+        phrases, places, anchors, owners, rows, read = [], [], [], [], _Rows(), 0
         for group in _parts(batches):
-            texts = Text([g[2] for g in group])
-            ids, marks = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64).view(np.uint64)
-            pairs = np.array([g[4] for g in group], np.uint64)
+            texts, before = Text([g[2] for g in group]), len(rows.parts)
+            rows.add(group)
             if len(texts.data) >= LENGTH:
                 begins, ends, owner = texts.phrases()
                 found = np.zeros(len(begins), PHRASE)
@@ -204,26 +234,23 @@ def _parse(n: int):
                     hashlib.blake2b(texts.data[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())
                 )
                 found["p"], found["q"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
-                found["doc"], found["tag"], found["twin"] = ids[owner], marks[owner], pairs[owner]
                 found["a"] = begins - texts.begins[owner] + np.array([g[3] for g in group], np.int64)[owner]
                 found["b"] = ends - begins - OVERLAP
                 phrases.append(found)
+                places.append(owner + before)
                 grams, ok = texts.grams(ANCHOR), texts.starts()
-                places = texts.anchors(grams)
+                least = texts.anchors(grams)
                 new = ok.copy()
-                new[1:] &= ~ok[:-1] | (places[1:] != places[:-1])
+                new[1:] &= ~ok[:-1] | (least[1:] != least[:-1])
                 at = np.flatnonzero(new)
-                anchors.append(grams[places[at]])
-                owners.append(np.searchsorted(texts.ends, at, "right") + sum(map(len, docs)))
-            docs.append(ids)
-            tags.append(marks)
-            twins.append(pairs)
+                anchors.append(grams[least[at]])
+                owners.append(np.searchsorted(texts.ends, at, "right") + before)
             read += len(texts.data)
             if read >= FLUSH_BYTES:
-                yield from _send_parse(phrases, anchors, owners, docs, tags, twins, n)
-                phrases, anchors, owners, docs, tags, twins, read = [], [], [], [], [], [], 0
-        if docs:
-            yield from _send_parse(phrases, anchors, owners, docs, tags, twins, n)
+                yield from _send_parse(phrases, places, anchors, owners, rows, n)
+                phrases, places, anchors, owners, rows, read = [], [], [], [], _Rows(), 0
+        if rows.parts:
+            yield from _send_parse(phrases, places, anchors, owners, rows, n)
 
     return run
 
@@ -238,80 +265,82 @@ def _repeated_phrases(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[~again], found[again][_ENTRY_FIELDS].astype(ENTRY)
 
 
-def _send_parse(phrases, anchors, owners, docs, tags, twins, n: int) -> Iterator[pa.RecordBatch]:
-    docs, tags, twins = np.concatenate(docs), np.concatenate(tags), np.concatenate(twins)
-    own, entries = _repeated_phrases(np.concatenate([*phrases, np.zeros(0, PHRASE)]))
+def _send_parse(phrases, places, anchors, owners, read: _Rows, n: int) -> Iterator[pa.RecordBatch]:
+    rows = read.arrays()
+    first, chief, text = _first_rows(rows)
+    found, place = np.concatenate([*phrases, np.zeros(0, PHRASE)]), np.concatenate([*places, np.zeros(0, np.int64)])
+    found, place = found[first[place]], place[first[place]]
+    for field, _ in _ROW:
+        found[field] = rows[field][place]
+    own, entries = _repeated_phrases(found)
     yield from _dealt(PHRASES, _bucket(own["p"], n), own)
     # Of equal texts only the smallest document's anchors matter: the phrases of the others repeat.
-    order = np.lexsort((docs, twins, tags))
-    new = np.r_[True, (tags[order][1:] != tags[order][:-1]) | (twins[order][1:] != twins[order][:-1])]
-    chief = np.zeros(len(docs), bool)
-    chief[order[new]] = True
-    # Parts of one long text have one tag; all of them are kept.
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    chief[order] |= docs[order] == docs[first]
     hashes = np.concatenate([*anchors, np.zeros(0, np.uint64)])
     who = np.concatenate([*owners, np.zeros(0, np.int64)])
     hashes, who = hashes[chief[who]], who[chief[who]]
-    order = np.lexsort((who, twins[who], tags[who], hashes))
+    order = np.lexsort((who, hashes))
     hashes, who = hashes[order], who[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (tags[who][1:] != tags[who][:-1]) | (twins[who][1:] != twins[who][:-1])
-    hashes, who = hashes[fresh], who[fresh]
+    once = np.ones(len(hashes), bool)
+    once[1:] = (hashes[1:] != hashes[:-1]) | (who[1:] != who[:-1])
+    hashes, who = hashes[once], who[once]
     new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    several = np.diff(np.r_[at, len(hashes)]) > 1
-    shared = np.repeat(several, np.diff(np.r_[at, len(hashes)]))
+    shared = np.repeat(_several(text[who], at), np.diff(np.r_[at, len(hashes)]))
     told = np.zeros(int(shared.sum()), ENTRY)
-    told["doc"], told["tag"], told["twin"] = docs[who[shared]], tags[who[shared]], twins[who[shared]]
+    for field, _ in _ROW:
+        told[field] = rows[field][who[shared]]
     told["a"] = hashes[shared] >> np.uint64(32)
     yield from _entries([entries, told], n)
-    # One record per anchor: five bytes of its hash, and the text, or 0 where it is known to be shared.
-    buckets = (hashes[at] & np.uint64((1 << 24) - 1)) * np.uint64(n) >> np.uint64(24)
+    # A record per anchor: five bytes of its hash, and the text, or 0 where it is known to be shared. A text
+    # that several rows of a document have (in other files, or in parts) is told for each.
+    sent = np.flatnonzero(new | ~shared)
+    buckets = (hashes[sent] & np.uint64((1 << 24) - 1)) * np.uint64(n) >> np.uint64(24)
     order = np.argsort(buckets, kind="stable")
-    buckets, at, several = buckets[order], at[order], several[order]
+    buckets, sent = buckets[order], sent[order]
     cuts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else []
     for a, b in zip(cuts, [*cuts[1:], len(buckets)]):
-        inner = np.argsort(who[at[a:b]], kind="stable")
-        part = at[a:b][inner]
+        part = sent[a:b][np.argsort(who[sent[a:b]], kind="stable")]
         texts, number = np.unique(who[part], return_inverse=True)
         five = (hashes[part] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         # By column, and texts in order, which compresses better.
         pieces = [
-            np.array([len(texts), len(part)], "<u8"), docs[texts].astype("<i8"), tags[texts].astype("<u8"), twins[texts].astype("<u8"),
-            np.where(several[a:b][inner], 0, number + 1).astype("<u4"), number.astype("<u4"), five,
+            np.array([len(texts), len(part)], "<u8"), *(rows[field][texts].astype("<u8") for field, _ in _ROW),
+            np.where(shared[part], 0, number + 1).astype("<u4"), number.astype("<u4"), five,
         ]
         yield _row(ANCHORS, int(buckets[a]), b"".join(x.tobytes() for x in pieces))
 
 
+def _several(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the groups that begin at these places hold several values."""
+    if not len(at):
+        return np.zeros(0, bool)
+    return np.minimum.reduceat(values, at) != np.maximum.reduceat(values, at)
+
+
 def _shared_anchors(blobs: list[bytes]) -> np.ndarray:
     """Entries for the texts whose anchor another text has too."""
-    hashes, docs, tags, twins, told = [], [], [], [], []
+    hashes, told, fields = [], [], {name: [] for name, _ in _ROW}
     for blob in blobs:
         texts, n = np.frombuffer(blob, "<u8", 2).astype(int)
-        at = 16
-        ids = np.frombuffer(blob, "<i8", texts, at)
-        marks = np.frombuffer(blob, "<u8", texts, at + 8 * texts)
-        pairs = np.frombuffer(blob, "<u8", texts, at + 16 * texts)
-        at += 24 * texts
-        known = np.frombuffer(blob, "<u4", n, at) == 0
+        at = 16 + 8 * texts * len(_ROW)
         number = np.frombuffer(blob, "<u4", n, at + 4 * n)
+        for i, (name, kind) in enumerate(_ROW):
+            fields[name].append(np.frombuffer(blob, "<u8", texts, 16 + 8 * texts * i).astype(kind)[number])
+        told.append(np.frombuffer(blob, "<u4", n, at) == 0)
         five = np.zeros((n, 8), np.uint8)
         five[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 8 * n).reshape(n, 5)
         hashes.append(five.view("<u8").ravel())
-        docs.append(ids[number])
-        tags.append(marks[number])
-        twins.append(pairs[number])
-        told.append(known)
-    hashes, docs, tags, twins, told = (np.concatenate(x) for x in (hashes, docs, tags, twins, told))
+    hashes, told = np.concatenate(hashes), np.concatenate(told)
     order = np.argsort(hashes, kind="stable")
-    hashes, docs, tags, twins, told = hashes[order], docs[order], tags[order], twins[order], told[order]
+    hashes, told = hashes[order], told[order]
+    rows = {name: np.concatenate(parts)[order] for name, parts in fields.items()}
     at = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    several = lambda x: np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at)
-    shared = several(tags) | several(twins) | np.logical_or.reduceat(told, at)
+    shared = _several(rows["tag"], at) | _several(rows["twin"], at) | np.logical_or.reduceat(told, at)
     wanted = np.repeat(shared, np.diff(np.r_[at, len(hashes)])) & ~told
     out = np.zeros(int(wanted.sum()), ENTRY)
-    out["doc"], out["tag"], out["twin"], out["a"] = docs[wanted], tags[wanted], twins[wanted], hashes[wanted] >> np.uint64(8)
+    for name, values in rows.items():
+        out[name] = values[wanted]
+    out["a"] = hashes[wanted] >> np.uint64(8)
     return out
 
 
@@ -322,7 +351,12 @@ def _suffixes(n: int):
         held: dict[bytes, list] = {}
         extra: list[tuple[bytes, list]] = []
         repeated: list[tuple] = []
+        met: set[tuple] = set()
         for group in _parts(batches):
+            # Equal rows of a file are one.
+            once = dict.fromkeys(k for k in ((g[0], g[1], g[4], g[3]) for g in group) if k not in met)
+            group = [g for g in group if once.pop((g[0], g[1], g[4], g[3]), 0) is None]
+            met.update((g[0], g[1], g[4], g[3]) for g in group)
             texts = Text([g[2] for g in group])
             if len(texts.data) < LENGTH:
                 continue
@@ -340,13 +374,13 @@ def _suffixes(n: int):
             cuts, ends = cuts[unit[cuts] >= 0], ends[unit[cuts] >= 0]
             tops = (grams[places[cuts]] >> np.uint64(32)).astype(np.uint32)
             bounds = np.searchsorted(cuts, np.r_[texts.begins, len(texts.data)])
-            for (doc, tag, _, at, twin, _, wanted), begin, low, high in zip(group, texts.begins.tolist(), bounds[:-1], bounds[1:]):
+            for (doc, file, _, at, digest, _, wanted), begin, low, high in zip(group, texts.begins.tolist(), bounds[:-1], bounds[1:]):
                 known = np.frombuffer(wanted or b"", "<u4")
                 if not len(known) or low == high:
                     continue
                 near = np.minimum(np.searchsorted(known, tops[low:high]), len(known) - 1)
                 chosen = np.flatnonzero(known[near] == tops[low:high]) + low
-                mark = (tag & _WORD, twin)
+                mark = (file, *struct.unpack("<2Q", digest))
                 for a, b, place in zip(cuts[chosen].tolist(), ends[chosen].tolist(), places[cuts[chosen]].tolist()):
                     piece, start = texts.data[a : b + OVERLAP], a - begin + at
                     nearest = (place - a) // GROUP * GROUP
@@ -366,7 +400,7 @@ def _suffixes(n: int):
                         extra.append((piece, [doc, mark, core, start]))
             if len(held) + len(repeated) // 2 >= PIECES:
                 yield from _send_pieces(held, extra, repeated, n)
-                held, extra, repeated = {}, [], []
+                held, extra, repeated, met = {}, [], [], set()
         yield from _send_pieces(held, extra, repeated, n)
 
     return run
@@ -379,42 +413,39 @@ def _send_pieces(held: dict[bytes, list], extra: list, repeated: list[tuple], n:
         for start in owner[3:]:
             dealt.setdefault(owner[2] % n, []).append((piece, owner[0], *owner[1], start))
     for bucket, rows in dealt.items():
-        pieces, docs, tags, twins, starts = zip(*rows)
+        pieces, *owners, starts = zip(*rows)
         lengths = np.array([len(p) for p in pieces], np.uint8)
-        columns = [
-            np.array([len(rows)], "<u8"), lengths, np.array(docs, "<i8"), np.array(tags, "<u8"), np.array(twins, "<u8"), np.array(starts, "<u4"),
-        ]
+        columns = [np.array([len(rows)], "<u8"), lengths, *(np.array(o, k) for o, (_, k) in zip(owners, _ROW)), np.array(starts, "<u4")]
         yield _row(TEXTS, bucket, b"".join([*(c.tobytes() for c in columns), *pieces]))
 
 
 def _repeated_suffixes(blobs: list[bytes]) -> np.ndarray:
     """Sort the suffixes of a bucket by their 50 bytes and document; entries for those that repeat."""
-    lengths, docs, tags, twins, begins, text = [], [], [], [], [], []
+    columns, text = {name: [] for name in ("length", *(f for f, _ in _ROW), "begin")}, []
+    kinds = dict([("length", "u1"), *_ROW, ("begin", "<u4")])
     for blob in blobs:
-        n = int(np.frombuffer(blob, "<u8", 1)[0])
-        lengths.append(np.frombuffer(blob, np.uint8, n, 8).astype(np.int64))
-        docs.append(np.frombuffer(blob, "<i8", n, 8 + n))
-        tags.append(np.frombuffer(blob, "<u8", n, 8 + 9 * n))
-        twins.append(np.frombuffer(blob, "<u8", n, 8 + 17 * n))
-        begins.append(np.frombuffer(blob, "<u4", n, 8 + 25 * n))
-        text.append(blob[8 + 29 * n :])
-    lengths, docs, tags, twins, begins = (np.concatenate(x) for x in (lengths, docs, tags, twins, begins))
-    data = b"".join(text)
+        n, at = int(np.frombuffer(blob, "<u8", 1)[0]), 8
+        for name, parts in columns.items():
+            parts.append(np.frombuffer(blob, kinds[name], n, at))
+            at += parts[-1].nbytes
+        text.append(blob[at:])
+    whole = {name: np.concatenate(parts) for name, parts in columns.items()}
+    lengths, data = whole["length"].astype(np.int64), b"".join(text)
     counts = lengths - OVERLAP
     piece = np.repeat(np.arange(len(lengths)), counts)
     nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
     place = (np.cumsum(lengths) - lengths)[piece] + nth
-    again = _later(data, place, _fingerprints(data, lengths), docs[piece])
+    again = _later(data, place, _fingerprints(data, lengths), whole["doc"][piece])
     # Neighbouring suffixes of a piece make one entry.
     begin = again.copy()
     begin[1:] &= ~again[:-1] | (piece[1:] != piece[:-1])
     end = again.copy()
     end[:-1] &= ~again[1:] | (piece[1:] != piece[:-1])
     at, until = np.flatnonzero(begin), np.flatnonzero(end)
-    out = np.zeros(len(at), ENTRY)
-    own = piece[at]
-    out["doc"], out["tag"], out["twin"] = docs[own], tags[own], twins[own]
-    out["a"], out["b"] = begins[own] + nth[at], until - at + 1
+    out, own = np.zeros(len(at), ENTRY), piece[at]
+    for name, _ in _ROW:
+        out[name] = whole[name][own]
+    out["a"], out["b"] = whole["begin"][own] + nth[at], until - at + 1
     return out
 
 
@@ -511,15 +542,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_document(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     found = np.frombuffer(b"".join(blobs), ENTRY)
-    found = found[np.lexsort((found["a"], found["twin"], found["tag"], found["doc"]))]
-    apart = [found[k][1:] != found[k][:-1] for k, _ in _ROW]
-    cuts = np.flatnonzero(np.r_[True, apart[0] | apart[1] | apart[2]])
+    found = found[np.lexsort((found["a"], found["file"], found["twin"], found["tag"], found["doc"]))]
+    apart = np.zeros(max(len(found) - 1, 0), bool)
+    for name, _ in _ROW:
+        apart |= found[name][1:] != found[name][:-1]
+    cuts = np.flatnonzero(np.r_[True, apart])
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)]):
         part = found[a:b]
         spans, anchors = part[part["b"] > 0], part[part["b"] == 0]
-        tag, twin = part["tag"][:1].view("<i8"), part["twin"][:1].astype("<u8").tobytes()
-        rows.append((int(part["doc"][0]), int(tag[0]), twin, _merged(spans), np.unique(anchors["a"]).tobytes()))
+        digest = struct.pack("<2Q", int(part["tag"][0]), int(part["twin"][0]))
+        rows.append((int(part["doc"][0]), int(part["file"][0]), digest, _merged(spans), np.unique(anchors["a"]).tobytes()))
         if len(rows) == 4096:
             yield _gathered(rows)
             rows = []
@@ -540,7 +573,7 @@ def _merged(spans: np.ndarray) -> bytes:
 
 def _gathered(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["_doc", "_mark", "_twin", "spans", "anchors"])
+    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=_NOTES)
 
 
 def _solved(sent: DataFrame, n: int) -> DataFrame:
@@ -548,7 +581,7 @@ def _solved(sent: DataFrame, n: int) -> DataFrame:
     dealt = sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
     entries = by_batches(dealt, _sort_buckets(n), _ROWS)
     home = entries.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return by_batches(home, _gather, "_doc bigint, _mark bigint, _twin binary, spans binary, anchors binary")
+    return by_batches(home, _gather, "_doc bigint, _mark bigint, digest binary, spans binary, anchors binary")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -575,26 +608,76 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
+def _noted(found: DataFrame, label: str) -> str:
+    """Write what is known of the rows in a folder for each of their files; the path."""
+    path = scratch_path(found.sparkSession, label)
+    # A file's notes are one task's: they are as large as the file at most.
+    found.repartition("_mark").write.partitionBy("_mark").parquet(path)
+    return path
+
+
+def _notes(path: str, number: int) -> dict[tuple[int, bytes], tuple[bytes, bytes]]:
+    """Spans and anchors of the rows of one file, by document and digest of the text."""
+    system, place = fs.FileSystem.from_uri(path)
+    folder = f"{place}/_mark={number}"
+    if system.get_file_info(folder).type == fs.FileType.NotFound:
+        return {}
+    table = dataset.dataset(folder, filesystem=system, format="parquet").to_table()
+    doc, digest, spans, anchors = (table[c].to_pylist() for c in ("_doc", "digest", "spans", "anchors"))
+    return dict(zip(zip(doc, digest), zip(spans, anchors)))
+
+
+def _beside(paths: list[str], take, step):
+    """A step over rows with what the notes at the paths say of them; rows come file by file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[pa.RecordBatch]:
+            known, notes = None, []
+            for batch in batches:
+                found = []
+                for doc, number, text in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_mark", "text"))):
+                    if number != known:
+                        known, notes = number, [_notes(p, number) for p in paths]
+                    key = (doc, _digest(text.encode()))
+                    found.append([n.get(key, (None, None)) for n in notes])
+                yield take(batch, found)
+
+        yield from step(told())
+
+    return run
+
+
+def _with_anchors(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    """The rows that have shared anchors, with their repeated phrases."""
+    chosen = [i for i, ((_, anchors),) in enumerate(found) if anchors]
+    notes = [pa.array([found[i][0][k] for i in chosen], pa.binary()) for k in (0, 1)]
+    columns = [batch.column(c).take(pa.array(chosen, pa.int64())) for c in ("_doc", "_mark", "text")]
+    return pa.record_batch([*columns, *notes], names=["_doc", "_mark", "text", "spans", "anchors"])
+
+
+def _with_spans(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    notes = [pa.array([f[k][0] for f in found], pa.binary()) for k in (0, 1)]
+    return pa.record_batch([batch.column("doc_id"), batch.column("text"), *notes], names=["doc_id", "text", "spans", "more"])
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept``, the bytes that remain, of every row."""
-    text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"),
-        F.xxhash64("text").alias("_mark"),
-        F.substring(F.unhex(F.md5("text")), 1, 8).alias("_twin"),
-        "text",
-    )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """doc_id, n_bytes, n_removed, n_spans and ``kept``, the bytes that remain, of every row (actions).
+
+    Texts are written once, which gives each a file that stays, and are not moved again: what the
+    sorts find is noted by file, and tasks that read a file's texts read its notes beside them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    written = staged(rows, "texts")
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    rows = written.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), number.alias("_mark"), "text")
+    total = written.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // BUCKET_BYTES + 1
-    first = pin(_solved(by_batches(rows.select("_doc", "_mark", "text"), _parse(n), _ROWS), n))
-    keys = ["_doc", "_mark", "_twin"]
-    open_ = first.where(F.length("anchors") > 0)
-    pieces = join_measured(rows, open_, keys).select("_doc", "_mark", "text", "spans", "anchors")
-    second = _solved(by_batches(pieces, _suffixes(n), _ROWS), n).select(*keys, F.col("spans").alias("_more"))
-    known = join_measured(rows, first.where(F.length("spans") > 0).select(*keys, "spans"), keys, "left")
-    whole = join_measured(known, second, keys, "left").select("doc_id", "text", "spans", "_more")
-    return by_batches(whole, _remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    texts = rows.select("_doc", "_mark", "text")
+    first = _noted(_solved(by_batches(texts, _parse(n), _ROWS), n), "first")
+    pieces = by_batches(texts, _beside([first], _with_anchors, _suffixes(n)), _ROWS)
+    second = _noted(_solved(pieces, n), "second")
+    cut = _beside([first, second], _with_spans, _remove)
+    return by_batches(rows, cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

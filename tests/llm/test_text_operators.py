@@ -325,7 +325,7 @@ def test_repeats_in_parts(documents, words, monkeypatch):
     assert got == repeats_by_hand([(i, t.encode()) for i, t in enumerate(texts)])
 
 
-def test_repeats_of_one_id(documents, words, spark, monkeypatch):
+def test_repeats_of_one_id(documents, words, spark):
     """Texts under one id, or none, keep what others of that id lose, whatever their hashes have in common."""
     rng = random.Random(31)
     passages = [" ".join(words(400 + i, 30)) for i in range(8)]
@@ -334,9 +334,19 @@ def test_repeats_of_one_id(documents, words, spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(4)
     expected = repeats_by_hand([(i, t.encode()) for i, t in rows])
     assert sorted(map(tuple, suffix_dedup.report(docs).collect()), key=str) == expected
-    # Equal first hashes: the second one tells the texts apart.
-    monkeypatch.setattr(suffix_dedup.F, "xxhash64", lambda *c: suffix_dedup.F.lit(7).cast("long"))
-    assert sorted(map(tuple, suffix_dedup.report(docs).collect()), key=str) == expected
+    # Rows that repeat both id and text, in one file and in others.
+    rows += rows[:30] + rows[:9]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    assert sorted(map(tuple, suffix_dedup.report(docs).collect()), key=str) == repeats_by_hand([(i, t.encode()) for i, t in rows])
+
+
+def test_texts_are_told_apart_by_both_halves(words):
+    """Two texts with one first half of their digest: an anchor that both have is shared."""
+    rows = np.zeros(4, np.dtype([*suffix_dedup._ROW, ("at", "<u8")]))
+    rows["doc"], rows["file"], rows["twin"] = [5, 3, 5, 3], [0, 0, 0, 1], [1, 2, 1, 2]
+    first, chief, text = suffix_dedup._first_rows(rows)
+    assert first.tolist() == [True, True, False, True] and chief.tolist() == [True, True, False, True]
+    assert text[0] == text[2] != text[1] == text[3]
 
 
 def test_equal_fingerprints_are_compared(words):
