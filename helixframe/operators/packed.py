@@ -2,7 +2,8 @@
 
 A chunk is a list of 64-bit words of 32 bases each. What two bits can't say stands beside them as
 intervals: masked (lower-case) bases, and runs of a letter that is no base, such as N. A chunk takes a
-quarter of its text, and a base is a shift away from its word.
+quarter of its text, and a base is a shift away from its word. For lookups the intervals are laid out
+by word once per chunk, so that a row looks at one word and never at a list of intervals.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import STATS_BIN
 from ..functions.numbers import floor_to, int_div
+from .joins import join_measured
 
 BASES = "ACGT"
 WORD_BASES = 32
@@ -56,30 +58,66 @@ def packed_genome(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _laid_out(runs: Column, letter, filler: str) -> Column:
+    """The runs as one text with a letter per base, fillers in the gaps between them."""
+
+    def part(run: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(runs, i)["stop"])
+        return F.concat(F.repeat(F.lit(filler), run["start"] - before), F.repeat(letter(run), run["stop"] - run["start"]))
+
+    return F.array_join(F.transform(runs, part), "")
+
+
+def by_word(packed: DataFrame) -> DataFrame:
+    """Packed chunks with masked bits and unknown letters by word, in place of the intervals.
+
+    ``masked_bits`` has the first base of a word highest, like the words; ``letters`` is NULL for a word
+    without unknown bases, and elsewhere has a base's letter in the places that are known.
+    """
+    known = BASES[0]
+    numbers = F.sequence(F.lit(0), F.size("words") - 1)
+    piece = lambda name, i: F.substring(F.col(name), i * WORD_BASES + 1, F.lit(WORD_BASES))
+    bits = lambda i: F.conv(F.rpad(piece("_masked", i), WORD_BASES, "0"), 2, 10).cast("bigint")
+    letters = lambda i: F.when(F.translate(piece("_unknown", i), known, "") != "", piece("_unknown", i))
+    texts = packed.withColumns(
+        {
+            "_masked": _laid_out(F.col("masked"), lambda r: F.lit("1"), "0"),
+            "_unknown": _laid_out(F.col("unknown"), lambda r: r["letter"], known),
+        }
+    )
+    per_word = {name: F.when(F.size("words") > 0, F.transform(numbers, f)) for name, f in (("masked_bits", bits), ("letters", letters))}
+    return texts.withColumns(per_word).drop("_masked", "_unknown", "masked", "unknown")
+
+
 def base_at(offset: Column) -> Column:
-    """The base at an offset of a packed chunk's row; NULL outside the chunk."""
-    word = F.try_element_at("words", (int_div(offset, WORD_BASES) + 1).cast("int"))
-    shift = (2 * (WORD_BASES - 1) - 2 * (offset % WORD_BASES)).cast("int")
-    code = F.call_function("shiftright", word, shift).bitwiseAND(F.lit(3)).cast("int")
+    """The base at an offset of a row of ``by_word``; NULL outside the chunk."""
+    number = (int_div(offset, WORD_BASES) + 1).cast("int")
+    place = (offset % WORD_BASES).cast("int")
+    right = lambda word, by: F.call_function("shiftright", word, by)
+    code = right(F.try_element_at("words", number), 2 * (WORD_BASES - 1) - 2 * place).bitwiseAND(F.lit(3)).cast("int")
     base = F.substring(F.lit(BASES), code + 1, F.lit(1))
-    inside = lambda r: (r["start"] <= offset) & (offset < r["stop"])
-    letter = F.try_element_at(F.filter("unknown", inside), F.lit(1))["letter"]
-    found = F.coalesce(letter, base)
-    shown = F.when(F.exists("masked", inside), F.lower(found)).otherwise(found)
+    letter = F.substring(F.try_element_at("letters", number), place + 1, F.lit(1))
+    found = F.when(F.coalesce(letter, F.lit("")).isin("", BASES[0]), base).otherwise(letter)
+    masked = right(F.try_element_at("masked_bits", number), WORD_BASES - 1 - place).bitwiseAND(F.lit(1)) == 1
+    shown = F.when(masked, F.lower(found)).otherwise(found)
     return F.when((offset >= 0) & (offset < F.col("length")), shown)
 
 
 def packed_base_lookup(rows: DataFrame, packed: DataFrame, chunk: int = STATS_BIN) -> DataFrame:
-    """Attach the genome base at each row's location from packed chunks with a column ``location``."""
-    side = packed.select(F.col("location").alias("_chunk"), "length", "words", "masked", "unknown")
+    """Attach the genome base at each row's location from packed chunks with a column ``location`` (an action on the chunks).
+
+    The chunks that the rows' genome has are measured, and broadcast when they are small.
+    """
+    side = by_word(packed.select(F.col("location").alias("_chunk"), "length", "words", "masked", "unknown"))
     keyed = rows.withColumn("_chunk", floor_to(F.col("location"), chunk))
-    joined = keyed.join(side, ["_chunk"]).withColumn("_offset", F.col("location") - F.col("_chunk"))
+    joined = join_measured(keyed, side, ["_chunk"]).withColumn("_offset", F.col("location") - F.col("_chunk"))
     return joined.select(*rows.columns, base_at(F.col("_offset")).alias("ref_base"))
 
 
 def unpacked_genome(packed: DataFrame) -> DataFrame:
     """The chunks with their text again."""
     others = [c for c in packed.columns if c not in ("length", "words", "masked", "unknown")]
+    packed = by_word(packed)
     each = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda o: base_at(o.cast("bigint")))
     text = F.when(F.col("length") > 0, F.array_join(each, "")).otherwise(F.when(F.col("length") == 0, ""))
     return packed.select(*others, text.alias("bases"))
