@@ -14,10 +14,23 @@ from helixframe.sources import buckets, quarantine, text, zorder
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture
+def small_parts(monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_PART", 400)
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_are_dealt_by_their_number(spark, scratch, small_parts):
+    lines = fx.order_lines(spark, SF)
+    assert lines.rdd.getNumPartitions() == -(-lines.count() // 400) > 8
+    spark.range(2000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey").repartition(2).write.parquet(f"{scratch}/lineitem.parquet")
+    assert fx.order_lines(spark, scratch).rdd.getNumPartitions() == 8
+    assert fx.order_lines(spark, scratch).count() == 2000
+
+
 def test_packed_lookup_meets_no_list_of_intervals(spark):
     texts = ["ACGTnnNN--acgtACGT" * 7, "A" * 31 + "n" + "c" * 32 + "éxA", "", "a", None, "N" * 70, "\U0001f600ac\U0001f600T" * 20]
     chunks = spark.createDataFrame([(i * 10_000, t) for i, t in enumerate(texts)], "location bigint, bases string")
