@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import parts_for, scratch_path
 
 #: Bits of a column's rank; 2^bits ranges.
 BITS = 6
@@ -61,12 +61,14 @@ def z_key(ranks: Sequence[Column], bits: int = BITS) -> Column:
 
 
 def z_ordered(df: DataFrame, by: Sequence[str], files: int, bits: int = BITS, bounds: dict[str, list] | None = None) -> DataFrame:
-    """Range-partition by the Z-order key and sort inside (an action unless bounds are given).
+    """Range-partition by the Z-order key and sort inside (actions unless bounds are given).
 
-    The values and the source partition take part in the ranges, so that a hot box, or copies of one
+    With many rows there are more than ``files`` files, so that no task's share grows with the table. The values and the source partition take part in the ranges, so that a hot box, or copies of one
     row, are spread over several files.
     """
-    bounds = range_bounds(df, by, bits) if bounds is None else bounds
+    if bounds is None:
+        rows = df.count()
+        bounds, files = range_bounds(df, by, bits, rows), parts_for(rows, files)
     ranks = {f"_rank{i}": rank_of(F.col(c), bounds[c]) for i, c in enumerate(by)}
     keyed = df.withColumns(ranks).withColumn("_z", z_key([F.col(r) for r in ranks], bits)).drop(*ranks)
     spread = keyed.withColumn("_source", F.spark_partition_id())
