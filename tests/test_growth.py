@@ -31,6 +31,24 @@ def test_lines_are_dealt_by_their_number(spark, scratch, small_parts):
     assert fx.order_lines(spark, scratch).count() == 2000
 
 
+def test_files_and_buckets_grow_with_the_rows(spark, scratch, small_parts, monkeypatch):
+    assert len(catalog.queries()["scan_parquet_dir"](spark, SF).inputFiles()) > 5
+    rows = spark.range(5000).selectExpr("id % 900 AS location", "id % 70 AS sample_id")
+    zorder.write_z_ordered(rows, scratch, ("location", "sample_id"), files=2)
+    laid = zorder.box_of_files(spark, scratch, ["location"]).collect()
+    assert len(laid) > 8 and max(r.n for r in laid) < 1000 and sum(r.n for r in laid) == 5000
+    dealt, write = [], buckets.write_bucketed
+    monkeypatch.setattr(buckets, "write_bucketed", lambda df, name, keys, n, **k: dealt.append(n) or write(df, name, keys, n, **k))
+    calls = fx.alt_allele(spark, SF)
+    found = catalog.queries()["variant_allele_join_bucketed"](spark, SF)
+    assert sorted(found.collect()) == sorted(catalog.queries()["variant_allele_join"](spark, SF).collect())
+    monkeypatch.setattr(session, "ROWS_PER_PART", 90)
+    stored = catalog.queries()["bucketed_rows"](spark, SF)
+    assert Counter(stored.select(*VARIANT_KEYS).collect()) == Counter(calls.select(*VARIANT_KEYS).collect())
+    n = calls.count()
+    assert dealt == [-(-n // 400), -(-n // 400), -(-n // 90)] and dealt[0] > 8 and dealt[2] > 64
+
+
 def test_packed_lookup_meets_no_list_of_intervals(spark):
     texts = ["ACGTnnNN--acgtACGT" * 7, "A" * 31 + "n" + "c" * 32 + "éxA", "", "a", None, "N" * 70, "\U0001f600ac\U0001f600T" * 20]
     chunks = spark.createDataFrame([(i * 10_000, t) for i, t in enumerate(texts)], "location bigint, bases string")
