@@ -123,13 +123,19 @@ def bitmap_with_sample(bitmaps: DataFrame, sample_id: int, block_samples: int =
 
 
 def carrier_rows(bitmaps: DataFrame, block_samples: int = BLOCK_SAMPLES) -> DataFrame:
-    """One row per variant and carrier: the bitmaps taken apart again, without gathering anything."""
+    """One row per variant and carrier: the bitmaps taken apart again, without gathering anything.
+
+    Words are taken apart by bytes first: a word with one carrier makes 16 rows on the way, not 64.
+    """
     others = [c for c in bitmaps.columns if c not in ("words", "sample_block")]
     words = bitmaps.select(*others, "sample_block", F.explode("words").alias("_word", "_bits"))
-    bit = F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)))
-    spread = words.select(*others, "sample_block", "_word", "_bits", bit.alias("_bit"))
-    base = F.col("sample_block") * block_samples + F.col("_word") * WORD_BITS + F.col("_bit")
-    return spread.where(F.getbit("_bits", F.col("_bit")) == 1).select(*others, base.alias("sample_id"))
+    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    bytes_ = words.select(*others, "sample_block", "_word", "_bits", numbers(WORD_BITS // 8).alias("_byte"))
+    held = F.call_function("shiftright", F.col("_bits"), F.col("_byte") * 8).bitwiseAND(F.lit(255).cast("bigint"))
+    start = F.col("sample_block") * block_samples + F.col("_word") * WORD_BITS + F.col("_byte") * 8
+    bytes_ = bytes_.select(*others, held.alias("_held"), start.alias("_start")).where("_held <> 0")
+    spread = bytes_.select("*", numbers(8).alias("_bit")).where(F.getbit("_held", F.col("_bit")) == 1)
+    return spread.select(*others, (F.col("_start") + F.col("_bit")).alias("sample_id"))
 
 
 def carrier_lists(bitmaps: DataFrame, block_samples: int = BLOCK_SAMPLES) -> DataFrame:

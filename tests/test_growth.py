@@ -61,3 +61,11 @@ def test_packed_lookup_meets_no_list_of_intervals(spark):
     assert "lambda" not in _plan(looked)
     back = {r.location: r.bases for r in packed.unpacked_genome(made).collect()}
     assert back == {i * 10_000: t for i, t in enumerate(texts)}
+
+
+def test_words_are_taken_apart_by_bytes(spark):
+    ids = [0, 7, 8, 63, 64, 127, 32_767, 32_768, -1, -64, -65, -32_769]
+    calls = spark.createDataFrame([(5, "A", "C", i) for i in ids], "location bigint, ref string, allele string, sample_id bigint")
+    rows = bitmaps.carrier_rows(bitmaps.condense_bitmap(calls))
+    assert sorted(r.sample_id for r in rows.collect()) == sorted(ids)
+    assert "63" not in _plan(rows).split("Generate", 1)[1].split("Aggregate", 1)[0]
