@@ -18,7 +18,7 @@ from ..functions.numbers import lenient_long
 from ..operators.expand import to_whole
 from ..schemas import ALT_ALLELE, conform
 from ..session import scratch_path
-from .text import TSV_OPTIONS
+from .text import TSV_OPTIONS, read_with_header, reader_of
 
 #: Columns that every call needs.
 REQUIRED = ("location", "sample_id")
@@ -38,14 +38,14 @@ def read_permissive(spark: SparkSession, path: str, columns: Sequence[str] = ALT
     """Tab-separated files with a header: the columns as text, the file, and the whole line where its fields don't match the header."""
     # The parser fails on a line that begins with a blank field when it trims, so blanks are trimmed here.
     options = {k: v for k, v in TSV_OPTIONS.items() if k != "ignoreTrailingWhiteSpace"}
-    reader = spark.read.option("recursiveFileLookup", "true").options(**options)
-    header = reader.csv(path).columns
-    if missing := [c for c in columns if c not in header]:
-        raise ValueError(f"{path} has no column {', '.join(missing)}")
-    schema = StructType([StructField(c, StringType()) for c in [*header, _LINE]])
     # Without column pruning every line is split whole, whatever columns are asked for.
     checks = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _LINE, "columnPruning": "false", "enforceSchema": "false"}
-    rows = reader.options(**checks).schema(schema).csv(path)
+
+    def read(header: list[str]) -> DataFrame:
+        schema = StructType([StructField(c, StringType()) for c in [*header, _LINE]])
+        return reader_of(spark, options | checks).schema(schema).csv(path)
+
+    rows = read_with_header(spark, path, options, columns, read)
     trimmed = [F.nullif(F.rtrim(c), F.lit("")).alias(c) for c in columns]
     return rows.select(*trimmed, _LINE, F.col("_metadata.file_path").alias("_file"))
 

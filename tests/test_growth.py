@@ -69,3 +69,27 @@ def test_words_are_taken_apart_by_bytes(spark):
     rows = bitmaps.carrier_rows(bitmaps.condense_bitmap(calls))
     assert sorted(r.sample_id for r in rows.collect()) == sorted(ids)
     assert "63" not in _plan(rows).split("Generate", 1)[1].split("Aggregate", 1)[0]
+
+
+@pytest.mark.parametrize("read", [text.read_tsv, quarantine.read_permissive])
+def test_sample_folders_are_listed_once(spark, scratch, monkeypatch, read):
+    text.write_sample_tsv(fx.alt_allele(spark, SF), f"{scratch}/samples")
+    kind, asked = type(spark.read), []
+    csv = kind.csv
+    monkeypatch.setattr(kind, "csv", lambda self, path, *a, **b: asked.append(path) or csv(self, path, *a, **b))
+    rows = read(spark, f"{scratch}/samples")
+    assert asked.count(f"{scratch}/samples") == 1 and len(asked) == 2
+    assert rows.count() == fx.alt_allele(spark, SF).count()
+
+
+@pytest.mark.parametrize("read", [text.read_tsv, quarantine.read_permissive])
+def test_another_header_is_read_by_its_names(spark, scratch, read):
+    lines = spark.createDataFrame([("b\tmore\ta\n1\t2\t3\n",)], "value string").coalesce(1)
+    for folder in ("plain", "with space [x]"):
+        lines.write.text(f"{scratch}/{folder}")
+    assert [(r.a, r.b) for r in read(spark, f"{scratch}/plain", ("a", "b")).collect()] == [("3", "1")]
+    with pytest.raises(ValueError):
+        read(spark, f"{scratch}/plain", ("a", "c"))
+    spark.createDataFrame([], "value string").write.text(f"{scratch}/none/x")
+    lines.write.text(f"{scratch}/none/y")
+    assert read(spark, f"{scratch}/none", ("b", "more", "a")).count() == 1
