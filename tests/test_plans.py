@@ -98,6 +98,13 @@ def test_generator_gives_the_same_sample_in_any_partitioning(spark):
     assert first.count() > 0 and first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
 
 
+def test_calls_of_a_hot_bin_are_not_joined_by_one_task(spark):
+    found = catalog.queries()["gen_random"](spark, "/root/testdata/sf0.001")
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "_bin" in line and "Join" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    assert found.where("NOT (in_bins AND bounded AND same_again)").isEmpty()
+
+
 def test_metrics_are_clamped(spark):
     model, genome = small_model(spark, 0.0)
     wild = model.stats.withColumns({c: F.lit(200.0 if c.startswith("stddev") else 0.0) for c in STAT_METRICS})
