@@ -91,6 +91,24 @@ def test_warmup_of_any_length(spark, monkeypatch, warmup):
     assert {r.sample_id: r.warmup_end for r in synth.warmup_ends(made, warmup).collect()} == expected
 
 
+@pytest.mark.parametrize("times", [1, 7, 15, 16, 40])
+def test_warmup_ranks_rows_only_where_draws_repeat_often(spark, monkeypatch, times):
+    """Draws below zero, at word and block ends; no row is pinned, nor ranked unless its draw comes too often."""
+    numbers = [-300, -257, -256, -1, 0, 63, 64, 127, 128, 191, 192, 255, 256, 5000, 2**40]
+    rows = [(1, n) for n in numbers] * times + [(None, 1), (2, None), (2, 3)]
+    made = spark.createDataFrame(rows, "sample_id bigint, draw_no bigint").select(
+        "*", F.lit(True).alias("spiked"), F.lit("a").alias("spike_base"), F.lit(None).cast("string").alias("base_any")
+    )
+    joined, pinned, join, pin = [], [], synth.join_measured, synth.pin
+    monkeypatch.setattr(synth, "join_measured", lambda large, small, *a: joined.append(small.count()) or join(large, small, *a))
+    monkeypatch.setattr(synth, "pin", lambda df: pinned.append(pin(df)) or pinned[-1])
+    for warmup in (1, 2, 4, 7, 12, 15, 15 * times):
+        expected = sorted(numbers * times)[warmup - 1]
+        assert {r.sample_id: r.warmup_end for r in synth.warmup_ends(made, warmup).collect()}[1] == expected
+    assert bool(joined) == (times > 7)
+    assert max(df.count() for df in pinned) <= 3
+
+
 def test_generator_gives_the_same_sample_in_any_partitioning(spark):
     model, genome = small_model(spark, 0.5)
     draws = synth.draw_rows(spark, samples=2, draws=500)
@@ -98,6 +116,14 @@ def test_generator_gives_the_same_sample_in_any_partitioning(spark):
     assert first.count() > 0 and first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
 
 
+def test_draws_too_many_to_broadcast_bins_are_not_sorted(spark):
+    model, genome = small_model(spark, 0.3)
+    draws, rule = synth.draw_rows(spark, samples=3, draws=400), modular_noise(synth.NOISE_TAGS)
+    small, large = (synth.place_draws(draws, model, genome, rule, max_bytes=n) for n in (1 << 30, 0))
+    assert large.count() > 0 and small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
+    assert "SortMergeJoin" not in large._jdf.queryExecution().executedPlan().toString()
+
+
 def test_calls_of_a_hot_bin_are_not_joined_by_one_task(spark):
     found = catalog.queries()["gen_random"](spark, "/root/testdata/sf0.001")
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "_bin" in line and "Join" in line]
