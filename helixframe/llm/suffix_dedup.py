@@ -12,15 +12,18 @@ suffixes by their first 50 bytes therefore follows from the two parts:
   Where the same 50 bytes stand in a smaller document, the string repeats.
 
 Only suffixes that can have an equal are sorted. Each is filed under the least hashed 28-byte gram
-of its 50 bytes (its anchor); an anchor met in one text only leaves its suffixes unsorted. Sorting
-is by a 64-bit fingerprint of the 50 bytes, since order beyond equality is not asked for; the bytes of
-equal fingerprints are compared.
+of its 50 bytes (its anchor); an anchor met in one place only leaves its suffixes unsorted. Anchors are
+taken after the parse is sorted, from phrases that don't repeat, so a phrase that many documents have
+does not make its own anchors shared. Sorting is by a 64-bit fingerprint of the 50 bytes, since order
+beyond equality is not asked for; the bytes of equal fingerprints are compared.
 
-Both sorts happen in buckets. A map task collapses what repeats within it: it sends one occurrence
+All sorts happen in buckets. A map task collapses what repeats within it: it sends one occurrence
 of each phrase, anchor and piece of text, that of its smallest document, and decides the others
 itself, so what a third of all documents share arrives once per task. Pieces with suffixes go to the
 bucket of the bytes that all their suffixes have in common, at least 43 of the 50, so a hot anchor is
-split by what surrounds it. Buckets grow in number with the input.
+split by what surrounds it. Buckets grow in number with the input, so the records that a task has for
+one become few, with hardly two of a row: they name a row by its number in what the task sends. The
+names themselves go once to the row's home bucket, where what the sorts find of it arrives too.
 
 Strings count as equal when their bytes do: phrases by 128 bits, the rest by a comparison.
 
@@ -33,6 +36,7 @@ that is written first, so that what one loses is not taken from another. Columns
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import dataset, fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
@@ -64,15 +69,26 @@ _WINDOWS = LENGTH - ANCHOR + 1
 _ROW = [("doc", "<i8"), ("file", "<u4"), ("tag", "<u8"), ("twin", "<u8")]
 #: a, b: start and number of starts that repeat; or the top of an anchor's hash, and 0.
 ENTRY = np.dtype([*_ROW, ("a", "<u4"), ("b", "<u4")])
-PHRASE = np.dtype([("p", "<u8"), ("q", "<u8"), *_ROW, ("a", "<u4"), ("b", "<u4")])
-_ENTRY_FIELDS = list(ENTRY.names)
+NAME = np.dtype(_ROW)
+#: An anchor's row where the task that sends it knows that it is shared.
+_TOLD = (1 << 32) - 1
+#: What tasks send of phrases, anchors and pieces, and what the sorts find: columns in order; documents and chunks as steps.
+_PHRASE_COLUMNS = ("<u8", "<u8", "<u8", "<u4", "<u4", "<u4")
+_ANCHOR_COLUMNS = ("<u4", "<u4")
+_PIECE_COLUMNS = ("u1", "<u8", "<u4", "<u4")
+_FOUND_COLUMNS = ("<u8", "<u4", "<u4", "<u4")
 _ROWS = "kind int, bucket int, data binary"
 _NOTES = ["_doc", "_mark", "digest", "spans", "anchors"]
 ENTRIES, PHRASES, ANCHORS, TEXTS = range(4)
+#: What goes to homes under ENTRIES, by its first byte: whole entries, names of a chunk's rows, entries by chunk and number.
+_WHOLE, _NAMES, _FOUND = b"w", b"n", b"f"
 
 
 def _row(kind: int, bucket: int, data: bytes) -> pa.RecordBatch:
-    packed = len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return _packed_row(kind, bucket, len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True))
+
+
+def _packed_row(kind: int, bucket: int, packed: bytes) -> pa.RecordBatch:
     return pa.record_batch(
         [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())],
         names=["kind", "bucket", "data"],
@@ -83,20 +99,87 @@ def _unpacked(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _dealt(kind: int, buckets: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per bucket with its records."""
-    order = np.argsort(buckets, kind="stable")
-    buckets, records = buckets[order], records[order]
-    cuts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else []
-    for a, b in zip(cuts, [*cuts[1:], len(buckets)]):
-        yield _row(kind, int(buckets[a]), records[a:b].tobytes())
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of one value."""
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist() if len(values) else []
+    return zip(cuts, [*cuts[1:], len(values)])
+
+
+def _columns(chunk: int, kinds: tuple, columns: tuple) -> bytes:
+    """Numbers by column and place value, which compresses better."""
+    out = [np.array([len(columns[0]), chunk], "<u8").tobytes()]
+    for kind, values in zip(kinds, columns):
+        out.append(np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return b"".join(out)
+
+
+def _read_columns(blob: bytes, kinds: tuple) -> tuple[int, list[np.ndarray], int]:
+    """The chunk, the columns, and where they end."""
+    n, chunk = np.frombuffer(blob, "<u8", 2).tolist()
+    out, at = [], 16
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel())
+        at += size * n
+    return chunk, out, at
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values.astype("<u8"), prepend=np.uint64(0))
+
+
+def _sent_home(chunks: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket found, for the homes of the rows."""
+    home, nth = rows % np.uint32(n), rows // np.uint32(n)
+    order = np.lexsort((a, nth, chunks, home))
+    chunks, home, nth, a, b = (x[order] for x in (chunks, home, nth, a, b))
+    for low, high in _runs(home):
+        columns = (_steps(chunks[low:high]), *(x[low:high] for x in (nth, a, b)))
+        yield _row(ENTRIES, int(home[low]), _FOUND + _columns(0, _FOUND_COLUMNS, columns))
 
 
 def _entries(parts: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
     """Entries for their rows' buckets: an id that many rows share, or lack, is spread by their texts."""
     found = np.concatenate([*parts, np.zeros(0, ENTRY)])
     found = found[np.lexsort((found["a"], found["file"], found["twin"], found["tag"], found["doc"]))]
-    yield from _dealt(ENTRIES, _bucket(found["doc"].astype(np.uint64) ^ found["tag"], n), found)
+    homes = _homes(found, n)
+    order = np.argsort(homes, kind="stable")
+    homes, found = homes[order], found[order]
+    for a, b in _runs(homes):
+        yield _row(ENTRIES, int(homes[a]), _WHOLE + found[a:b].tobytes())
+
+
+def _homes(rows: np.ndarray, n: int) -> np.ndarray:
+    return _bucket(rows["doc"].astype(np.uint64) ^ rows["tag"], n)
+
+
+def _chunks() -> Iterator[int]:
+    """Numbers for what a task sends at a time; a task that is run again gives the same."""
+    context = TaskContext.get()
+    return itertools.count((context.partitionId() if context else 0) << 32)
+
+
+def _numbered(rows: np.ndarray, first: np.ndarray, chunk: int, n: int) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+    """Numbers of a chunk's first rows, whose remainder by ``n`` is the home, and the names that belong to them."""
+    home, numbers, names = _homes(rows, n), np.zeros(len(rows), np.uint32), []
+    order = np.flatnonzero(first)
+    order = order[np.argsort(home[order], kind="stable")]
+    for a, b in _runs(home[order]):
+        some = order[a:b]
+        numbers[some] = home[some] + n * np.arange(b - a)
+        part = np.zeros(b - a, NAME)
+        for name, _ in _ROW:
+            part[name] = rows[name][some]
+        names.append(_row(ENTRIES, int(home[some[0]]), _NAMES + chunk.to_bytes(8, "little") + part.tobytes()))
+    return numbers, names
+
+
+def _as_entries(rows: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    out = np.zeros(len(owner), ENTRY)
+    for name, _ in _ROW:
+        out[name] = rows[name][owner]
+    out["a"], out["b"] = a, b
+    return out
 
 
 def _digest(text: bytes) -> bytes:
@@ -219,26 +302,35 @@ def _first_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, chief, text
 
 
-def _parse(n: int):
-    """Phrase occurrences and anchors of a task's texts, for ``n`` buckets."""
+def _unrepeated(texts: Text, group: list[tuple]) -> np.ndarray:
+    """Starts that no repeated phrase is known to cover."""
+    ok = texts.starts()
+    for (_, _, part, at, _, *notes), begin in zip(group, texts.begins.tolist()):
+        for a, b in np.frombuffer(notes[0] if notes and notes[0] else b"", "<u4").reshape(-1, 2).tolist():
+            low, high = max(a - at, 0), min(a + b - at, len(part))
+            if low < high:
+                ok[begin + low : begin + high] = False
+    return ok
+
+
+def _parse(n: int, kinds: tuple = (PHRASES, ANCHORS)):
+    """Phrase occurrences and anchors of a task's texts, for ``n`` buckets; anchors of starts that are not known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, places, anchors, owners, rows, read = [], [], [], [], _Rows(), 0
+        phrases, places, anchors, owners, rows, read, chunks = [], [], [], [], _Rows(), 0, _chunks()
         for group in _parts(batches):
             texts, before = Text([g[2] for g in group]), len(rows.parts)
             rows.add(group)
-            if len(texts.data) >= LENGTH:
+            if len(texts.data) >= LENGTH and PHRASES in kinds:
                 begins, ends, owner = texts.phrases()
-                found = np.zeros(len(begins), PHRASE)
                 digests = b"".join(
                     hashlib.blake2b(texts.data[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())
                 )
-                found["p"], found["q"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
-                found["a"] = begins - texts.begins[owner] + np.array([g[3] for g in group], np.int64)[owner]
-                found["b"] = ends - begins - OVERLAP
-                phrases.append(found)
+                a = begins - texts.begins[owner] + np.array([g[3] for g in group], np.int64)[owner]
+                phrases.append((*np.frombuffer(digests, "<u8").reshape(-1, 2).T, a, ends - begins - OVERLAP))
                 places.append(owner + before)
-                grams, ok = texts.grams(ANCHOR), texts.starts()
+            if len(texts.data) >= LENGTH and ANCHORS in kinds:
+                grams, ok = texts.grams(ANCHOR), _unrepeated(texts, group)
                 least = texts.anchors(grams)
                 new = ok.copy()
                 new[1:] &= ~ok[:-1] | (least[1:] != least[:-1])
@@ -247,33 +339,47 @@ def _parse(n: int):
                 owners.append(np.searchsorted(texts.ends, at, "right") + before)
             read += len(texts.data)
             if read >= FLUSH_BYTES:
-                yield from _send_parse(phrases, places, anchors, owners, rows, n)
+                yield from _send_parse(phrases, places, anchors, owners, rows, next(chunks), n)
                 phrases, places, anchors, owners, rows, read = [], [], [], [], _Rows(), 0
         if rows.parts:
-            yield from _send_parse(phrases, places, anchors, owners, rows, n)
+            yield from _send_parse(phrases, places, anchors, owners, rows, next(chunks), n)
 
     return run
 
 
-def _repeated_phrases(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences in a phrase's smallest document, and the others as entries."""
-    found = found[np.lexsort((found["doc"], found["q"], found["p"]))]
-    new = np.ones(len(found), bool)
-    new[1:] = (found["p"][1:] != found["p"][:-1]) | (found["q"][1:] != found["q"][:-1])
-    first = found["doc"][np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))]
-    again = found["doc"] > first
-    return found[~again], found[again][_ENTRY_FIELDS].astype(ENTRY)
+def _repeated_phrases(p: np.ndarray, q: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which occurrences are not in their phrase's smallest document."""
+    order = np.lexsort((doc, q, p))
+    p, q, sorted_ = p[order], q[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    first = sorted_[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again = np.zeros(len(order), bool)
+    again[order] = sorted_ > first
+    return again
 
 
-def _send_parse(phrases, places, anchors, owners, read: _Rows, n: int) -> Iterator[pa.RecordBatch]:
+def _send_parse(phrases, places, anchors, owners, read: _Rows, chunk: int, n: int) -> Iterator[pa.RecordBatch]:
     rows = read.arrays()
     first, chief, text = _first_rows(rows)
-    found, place = np.concatenate([*phrases, np.zeros(0, PHRASE)]), np.concatenate([*places, np.zeros(0, np.int64)])
-    found, place = found[first[place]], place[first[place]]
-    for field, _ in _ROW:
-        found[field] = rows[field][place]
-    own, entries = _repeated_phrases(found)
-    yield from _dealt(PHRASES, _bucket(own["p"], n), own)
+    numbers, names = _numbered(rows, first, chunk, n)
+    yield from names
+    told = []
+    if phrases:
+        place = np.concatenate(places)
+        kept = first[place]
+        place = place[kept]
+        p, q, a, b = (np.concatenate(c)[kept] for c in zip(*phrases))
+        doc = rows["doc"][place]
+        again = _repeated_phrases(p, q, doc)
+        told.append(_as_entries(rows, place[again], a[again], b[again]))
+        order = np.flatnonzero(~again)
+        buckets = _bucket(p, n)
+        order = order[np.lexsort((a[order], place[order], doc[order], buckets[order]))]
+        for low, high in _runs(buckets[order]):
+            some = order[low:high]
+            columns = (p[some], q[some], _steps(doc[some]), numbers[place[some]], a[some], b[some])
+            yield _row(PHRASES, int(buckets[some[0]]), _columns(chunk, _PHRASE_COLUMNS, columns))
     # Of equal texts only the smallest document's anchors matter: the phrases of the others repeat.
     hashes = np.concatenate([*anchors, np.zeros(0, np.uint64)])
     who = np.concatenate([*owners, np.zeros(0, np.int64)])
@@ -286,28 +392,20 @@ def _send_parse(phrases, places, anchors, owners, read: _Rows, n: int) -> Iterat
     new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     shared = np.repeat(_several(text[who], at), np.diff(np.r_[at, len(hashes)]))
-    told = np.zeros(int(shared.sum()), ENTRY)
-    for field, _ in _ROW:
-        told[field] = rows[field][who[shared]]
-    told["a"] = hashes[shared] >> np.uint64(32)
-    yield from _entries([entries, told], n)
-    # A record per anchor: five bytes of its hash, and the text, or 0 where it is known to be shared. A text
-    # that several rows of a document have (in other files, or in parts) is told for each.
+    tops = (hashes >> np.uint64(32)).astype(np.uint32)
+    told.append(_as_entries(rows, who[shared], tops[shared], 0))
+    yield from _entries(told, n)
+    # A record per anchor: the top of its hash, in order, and the row, or none where it is known to be shared.
+    # A text that several rows of a document have (in other files, or in parts) is told for each.
     sent = np.flatnonzero(new | ~shared)
-    buckets = (hashes[sent] & np.uint64((1 << 24) - 1)) * np.uint64(n) >> np.uint64(24)
+    buckets = ((hashes[sent] & np.uint64((1 << 24) - 1)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
     order = np.argsort(buckets, kind="stable")
-    buckets, sent = buckets[order], sent[order]
-    cuts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else []
-    for a, b in zip(cuts, [*cuts[1:], len(buckets)]):
-        part = sent[a:b][np.argsort(who[sent[a:b]], kind="stable")]
-        texts, number = np.unique(who[part], return_inverse=True)
-        five = (hashes[part] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        # By column, and texts in order, which compresses better.
-        pieces = [
-            np.array([len(texts), len(part)], "<u8"), *(rows[field][texts].astype("<u8") for field, _ in _ROW),
-            np.where(shared[part], 0, number + 1).astype("<u4"), number.astype("<u4"), five,
-        ]
-        yield _row(ANCHORS, int(buckets[a]), b"".join(x.tobytes() for x in pieces))
+    sent, buckets = sent[order], buckets[order]
+    number = np.where(shared, np.uint32(_TOLD), numbers[who])
+    for low, high in _runs(buckets):
+        some = sent[low:high]
+        columns = (np.diff(tops[some], prepend=np.uint32(0)), number[some])
+        yield _row(ANCHORS, int(buckets[low]), _columns(chunk, _ANCHOR_COLUMNS, columns))
 
 
 def _several(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -317,31 +415,35 @@ def _several(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values, at) != np.maximum.reduceat(values, at)
 
 
-def _shared_anchors(blobs: list[bytes]) -> np.ndarray:
-    """Entries for the texts whose anchor another text has too."""
-    hashes, told, fields = [], [], {name: [] for name, _ in _ROW}
+def _read(blobs: list[bytes], kinds: tuple, steps: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The chunk of each record of a bucket, and the columns; one of them came as steps."""
+    chunks, parts = [], []
     for blob in blobs:
-        texts, n = np.frombuffer(blob, "<u8", 2).astype(int)
-        at = 16 + 8 * texts * len(_ROW)
-        number = np.frombuffer(blob, "<u4", n, at + 4 * n)
-        for i, (name, kind) in enumerate(_ROW):
-            fields[name].append(np.frombuffer(blob, "<u8", texts, 16 + 8 * texts * i).astype(kind)[number])
-        told.append(np.frombuffer(blob, "<u4", n, at) == 0)
-        five = np.zeros((n, 8), np.uint8)
-        five[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 8 * n).reshape(n, 5)
-        hashes.append(five.view("<u8").ravel())
-    hashes, told = np.concatenate(hashes), np.concatenate(told)
-    order = np.argsort(hashes, kind="stable")
-    hashes, told = hashes[order], told[order]
-    rows = {name: np.concatenate(parts)[order] for name, parts in fields.items()}
-    at = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    shared = _several(rows["tag"], at) | _several(rows["twin"], at) | np.logical_or.reduceat(told, at)
-    wanted = np.repeat(shared, np.diff(np.r_[at, len(hashes)])) & ~told
-    out = np.zeros(int(wanted.sum()), ENTRY)
-    for name, values in rows.items():
-        out[name] = values[wanted]
-    out["a"] = hashes[wanted] >> np.uint64(8)
-    return out
+        chunk, columns, _ = _read_columns(blob, kinds)
+        columns[steps] = np.cumsum(columns[steps], dtype=columns[steps].dtype)
+        chunks.append(np.full(len(columns[0]), chunk, np.uint64))
+        parts.append(columns)
+    return np.concatenate(chunks), [np.concatenate(c) for c in zip(*parts)]
+
+
+def _solved_phrases(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Chunk, row, start and number of starts of the occurrences that repeat."""
+    chunks, (p, q, doc, rows, a, b) = _read(blobs, _PHRASE_COLUMNS, 2)
+    again = _repeated_phrases(p, q, doc.view(np.int64))
+    return chunks[again], rows[again], a[again], b[again]
+
+
+def _shared_anchors(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Chunk and row of those whose anchor another has too, and the anchor."""
+    chunks, (tops, rows) = _read(blobs, _ANCHOR_COLUMNS, 0)
+    order = np.argsort(tops, kind="stable")
+    tops, rows, chunks = tops[order], rows[order], chunks[order]
+    told = rows == _TOLD
+    at = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
+    counts = np.diff(np.r_[at, len(tops)])
+    wanted = np.repeat((counts > 1) | np.logical_or.reduceat(told, at), counts) & ~told
+    tops = tops[wanted]
+    return chunks[wanted], rows[wanted], tops, np.zeros(len(tops), np.uint32)
 
 
 def _suffixes(n: int):
@@ -352,21 +454,18 @@ def _suffixes(n: int):
         extra: list[tuple[bytes, list]] = []
         repeated: list[tuple] = []
         met: set[tuple] = set()
+        rows, chunks = _Rows(), _chunks()
         for group in _parts(batches):
             # Equal rows of a file are one.
             once = dict.fromkeys(k for k in ((g[0], g[1], g[4], g[3]) for g in group) if k not in met)
             group = [g for g in group if once.pop((g[0], g[1], g[4], g[3]), 0) is None]
             met.update((g[0], g[1], g[4], g[3]) for g in group)
-            texts = Text([g[2] for g in group])
+            texts, before = Text([g[2] for g in group]), len(rows.parts)
             if len(texts.data) < LENGTH:
                 continue
-            ok, grams = texts.starts(), texts.grams(ANCHOR)
+            rows.add(group)
+            ok, grams = _unrepeated(texts, group), texts.grams(ANCHOR)
             places = texts.anchors(grams)
-            for (_, _, part, at, _, spans, _), begin in zip(group, texts.begins.tolist()):
-                for a, b in np.frombuffer(spans or b"", "<u4").reshape(-1, 2).tolist():
-                    low, high = max(a - at, 0), min(a + b - at, len(part))
-                    if low < high:
-                        ok[begin + low : begin + high] = False
             offset = places - np.arange(len(places))
             unit = np.where(ok, places * 4 + offset // GROUP, -1)
             cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -374,13 +473,14 @@ def _suffixes(n: int):
             cuts, ends = cuts[unit[cuts] >= 0], ends[unit[cuts] >= 0]
             tops = (grams[places[cuts]] >> np.uint64(32)).astype(np.uint32)
             bounds = np.searchsorted(cuts, np.r_[texts.begins, len(texts.data)])
-            for (doc, file, _, at, digest, _, wanted), begin, low, high in zip(group, texts.begins.tolist(), bounds[:-1], bounds[1:]):
+            for row, ((doc, _, _, at, _, _, wanted), begin, low, high) in enumerate(
+                zip(group, texts.begins.tolist(), bounds[:-1], bounds[1:]), before
+            ):
                 known = np.frombuffer(wanted or b"", "<u4")
                 if not len(known) or low == high:
                     continue
                 near = np.minimum(np.searchsorted(known, tops[low:high]), len(known) - 1)
                 chosen = np.flatnonzero(known[near] == tops[low:high]) + low
-                mark = (file, *struct.unpack("<2Q", digest))
                 for a, b, place in zip(cuts[chosen].tolist(), ends[chosen].tolist(), places[cuts[chosen]].tolist()):
                     piece, start = texts.data[a : b + OVERLAP], a - begin + at
                     nearest = (place - a) // GROUP * GROUP
@@ -388,65 +488,59 @@ def _suffixes(n: int):
                     core = zlib.crc32(texts.data[place - nearest : place - farthest + LENGTH])
                     owner = held.get(piece)
                     if owner is None:
-                        held[piece] = [doc, mark, core, start]
-                    elif owner[0] == doc and owner[1] == mark:
+                        held[piece] = [doc, row, core, start]
+                    elif owner[1] == row:
                         owner.append(start)
                     elif owner[0] < doc:
-                        repeated.append((doc, *mark, start, b - a))
+                        repeated.append((row, start, b - a))
                     elif owner[0] > doc:
-                        repeated += [(owner[0], *owner[1], s, b - a) for s in owner[3:]]
-                        held[piece] = [doc, mark, core, start]
-                    else:  # another text under the same id
-                        extra.append((piece, [doc, mark, core, start]))
-            if len(held) + len(repeated) // 2 >= PIECES:
-                yield from _send_pieces(held, extra, repeated, n)
-                held, extra, repeated, met = {}, [], [], set()
-        yield from _send_pieces(held, extra, repeated, n)
+                        repeated += [(owner[1], s, b - a) for s in owner[3:]]
+                        held[piece] = [doc, row, core, start]
+                    else:  # another text under the same id, or another part
+                        extra.append((piece, [doc, row, core, start]))
+            if len(held) + len(extra) + len(repeated) // 2 >= PIECES:
+                yield from _send_pieces(held, extra, repeated, rows, next(chunks), n)
+                held, extra, repeated, met, rows = {}, [], [], set(), _Rows()
+        if rows.parts:
+            yield from _send_pieces(held, extra, repeated, rows, next(chunks), n)
 
     return run
 
 
-def _send_pieces(held: dict[bytes, list], extra: list, repeated: list[tuple], n: int) -> Iterator[pa.RecordBatch]:
-    yield from _entries([np.array(repeated, ENTRY)] if repeated else [], n)
+def _send_pieces(held: dict[bytes, list], extra: list, repeated: list[tuple], read: _Rows, chunk: int, n: int) -> Iterator[pa.RecordBatch]:
+    rows = read.arrays()
+    numbers, names = _numbered(rows, np.ones(len(rows), bool), chunk, n)
+    yield from names
+    if repeated:
+        yield from _entries([_as_entries(rows, *map(np.array, zip(*repeated)))], n)
     dealt: dict[int, list] = {}
     for piece, owner in [*held.items(), *extra]:
         for start in owner[3:]:
-            dealt.setdefault(owner[2] % n, []).append((piece, owner[0], *owner[1], start))
-    for bucket, rows in dealt.items():
-        pieces, *owners, starts = zip(*rows)
-        lengths = np.array([len(p) for p in pieces], np.uint8)
-        columns = [np.array([len(rows)], "<u8"), lengths, *(np.array(o, k) for o, (_, k) in zip(owners, _ROW)), np.array(starts, "<u4")]
-        yield _row(TEXTS, bucket, b"".join([*(c.tobytes() for c in columns), *pieces]))
-
-
-def _repeated_suffixes(blobs: list[bytes]) -> np.ndarray:
-    """Sort the suffixes of a bucket by their 50 bytes and document; entries for those that repeat."""
-    columns, text = {name: [] for name in ("length", *(f for f, _ in _ROW), "begin")}, []
-    kinds = dict([("length", "u1"), *_ROW, ("begin", "<u4")])
-    for blob in blobs:
-        n, at = int(np.frombuffer(blob, "<u8", 1)[0]), 8
-        for name, parts in columns.items():
-            parts.append(np.frombuffer(blob, kinds[name], n, at))
-            at += parts[-1].nbytes
-        text.append(blob[at:])
-    whole = {name: np.concatenate(parts) for name, parts in columns.items()}
-    lengths, data = whole["length"].astype(np.int64), b"".join(text)
+            dealt.setdefault(owner[2] % n, []).append((owner[0], owner[1], start, piece))
+    for bucket, found in dealt.items():
+        docs, owners, starts, pieces = zip(*sorted(found))
+        columns = ([len(p) for p in pieces], _steps(np.array(docs, np.int64)), numbers[list(owners)], starts)
+        yield _row(TEXTS, bucket, _columns(chunk, _PIECE_COLUMNS, columns) + b"".join(pieces))
+
+
+def _repeated_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Sort the suffixes of a bucket by their 50 bytes and document; chunk, row, start and number of those that repeat."""
+    text = [blob[_read_columns(blob, _PIECE_COLUMNS)[2] :] for blob in blobs]
+    chunks, (lengths, docs, rows, begins) = _read(blobs, _PIECE_COLUMNS, 1)
+    lengths, data = lengths.astype(np.int64), b"".join(text)
     counts = lengths - OVERLAP
     piece = np.repeat(np.arange(len(lengths)), counts)
     nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
     place = (np.cumsum(lengths) - lengths)[piece] + nth
-    again = _later(data, place, _fingerprints(data, lengths), whole["doc"][piece])
+    again = _later(data, place, _fingerprints(data, lengths), docs.view(np.int64)[piece])
     # Neighbouring suffixes of a piece make one entry.
     begin = again.copy()
     begin[1:] &= ~again[:-1] | (piece[1:] != piece[:-1])
     end = again.copy()
     end[:-1] &= ~again[1:] | (piece[1:] != piece[:-1])
     at, until = np.flatnonzero(begin), np.flatnonzero(end)
-    out, own = np.zeros(len(at), ENTRY), piece[at]
-    for name, _ in _ROW:
-        out[name] = whole[name][own]
-    out["a"], out["b"] = whole["begin"][own] + nth[at], until - at + 1
-    return out
+    own = piece[at]
+    return chunks[own], rows[own], (begins[own] + nth[at]).astype(np.uint32), (until - at + 1).astype(np.uint32)
 
 
 def _later(data: bytes, place: np.ndarray, prints: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -494,33 +588,25 @@ def _fingerprints(data: bytes, lengths: np.ndarray) -> np.ndarray:
 
 
 def _sort_buckets(n: int):
-    """One bucket after the other: phrases, anchors and pieces become entries; entries pass."""
+    """One bucket after the other: what repeats of phrases, anchors and pieces goes to the homes of the rows; names and entries pass."""
+    solve = {PHRASES: _solved_phrases, ANCHORS: _shared_anchors, TEXTS: _repeated_suffixes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         last = None
 
-        def solved() -> Iterator[pa.RecordBatch]:
-            kind = last[0]
-            if kind == PHRASES:
-                found = _repeated_phrases(np.frombuffer(b"".join(held), PHRASE))[1]
-            else:
-                found = _shared_anchors(held) if kind == ANCHORS else _repeated_suffixes(held)
-            if len(found):
-                yield from _entries([found], n)
-
         for batch in batches:
             for kind, bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == ENTRIES:
-                    yield _row(ENTRIES, bucket, _unpacked(data))
+                    yield _packed_row(kind, bucket, data)
                     continue
                 if held and (kind, bucket) != last:
-                    yield from solved()
+                    yield from _sent_home(*solve[last[0]](held), n)
                     held = []
                 last = (kind, bucket)
                 held.append(_unpacked(data))
         if held:
-            yield from solved()
+            yield from _sent_home(*solve[last[0]](held), n)
 
     return run
 
@@ -532,16 +618,32 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
             if held and bucket != last:
-                yield from _by_document(held)
+                yield from _by_document(_named(held))
                 held = []
             last = bucket
             held.append(_unpacked(data))
     if held:
-        yield from _by_document(held)
+        yield from _by_document(_named(held))
 
 
-def _by_document(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    found = np.frombuffer(b"".join(blobs), ENTRY)
+def _named(blobs: list[bytes]) -> np.ndarray:
+    """Entries of a home: those that came whole, and what the sorts found of the rows that its names number."""
+    kinds: dict[bytes, list[bytes]] = {_WHOLE: [], _NAMES: [], _FOUND: []}
+    for blob in blobs:
+        kinds[blob[:1]].append(blob[1:])
+    parts = [np.frombuffer(b"".join(kinds[_WHOLE]), ENTRY)]
+    names = sorted((int.from_bytes(b[:8], "little"), b[8:]) for b in kinds[_NAMES])
+    begins = np.cumsum([0, *(len(b) // NAME.itemsize for _, b in names)])
+    known, rows = np.array([chunk for chunk, _ in names], np.uint64), np.frombuffer(b"".join(b for _, b in names), NAME)
+    for blob in kinds[_FOUND]:
+        _, (steps, nth, a, b), _ = _read_columns(blob, _FOUND_COLUMNS)
+        parts.append(_as_entries(rows, begins[np.searchsorted(known, np.cumsum(steps, dtype="<u8"))] + nth, a, b))
+    return np.concatenate(parts)
+
+
+def _by_document(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(found):
+        return
     found = found[np.lexsort((found["a"], found["file"], found["twin"], found["tag"], found["doc"]))]
     apart = np.zeros(max(len(found) - 1, 0), bool)
     for name, _ in _ROW:
@@ -647,10 +749,16 @@ def _beside(paths: list[str], take, step):
     return run
 
 
+def _with_phrases(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    """The rows with their repeated phrases."""
+    columns = [batch.column(c) for c in ("_doc", "_mark", "text")]
+    return pa.record_batch([*columns, pa.array([f[0][0] for f in found], pa.binary())], names=["_doc", "_mark", "text", "spans"])
+
+
 def _with_anchors(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
     """The rows that have shared anchors, with their repeated phrases."""
-    chosen = [i for i, ((_, anchors),) in enumerate(found) if anchors]
-    notes = [pa.array([found[i][0][k] for i in chosen], pa.binary()) for k in (0, 1)]
+    chosen = [i for i, (_, (_, anchors)) in enumerate(found) if anchors]
+    notes = [pa.array([found[i][k][k] for i in chosen], pa.binary()) for k in (0, 1)]
     columns = [batch.column(c).take(pa.array(chosen, pa.int64())) for c in ("_doc", "_mark", "text")]
     return pa.record_batch([*columns, *notes], names=["_doc", "_mark", "text", "spans", "anchors"])
 
@@ -667,16 +775,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     sorts find is noted by file, and tasks that read a file's texts read its notes beside them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    written = staged(rows, "texts")
+    written = staged(rows, "texts", compression="zstd")
     number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
     rows = written.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), number.alias("_mark"), "text")
     total = written.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // BUCKET_BYTES + 1
     texts = rows.select("_doc", "_mark", "text")
-    first = _noted(_solved(by_batches(texts, _parse(n), _ROWS), n), "first")
-    pieces = by_batches(texts, _beside([first], _with_anchors, _suffixes(n)), _ROWS)
-    second = _noted(_solved(pieces, n), "second")
-    cut = _beside([first, second], _with_spans, _remove)
+    first = _noted(_solved(by_batches(texts, _parse(n, (PHRASES,)), _ROWS), n), "first")
+    anchors = by_batches(texts, _beside([first], _with_phrases, _parse(n, (ANCHORS,))), _ROWS)
+    second = _noted(_solved(anchors, n), "second")
+    pieces = by_batches(texts, _beside([first, second], _with_anchors, _suffixes(n)), _ROWS)
+    third = _noted(_solved(pieces, n), "third")
+    cut = _beside([first, third], _with_spans, _remove)
     return by_batches(rows, cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

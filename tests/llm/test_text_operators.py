@@ -325,6 +325,104 @@ def test_repeats_in_parts(documents, words, monkeypatch):
     assert got == repeats_by_hand([(i, t.encode()) for i, t in enumerate(texts)])
 
 
+class Steps:
+    """The steps of the operator in this process, as one task each."""
+
+    def __init__(self, rows, n):
+        self.rows, self.n = rows, n
+
+    def sent(self, step, rows):
+        import pyarrow as pa
+
+        batch = pa.record_batch([pa.array(list(c)) for c in zip(*rows)], names=[f"c{i}" for i in range(len(rows[0]))])
+        return [r for b in step(iter([batch])) for r in b.to_pylist()]
+
+    def solved(self, sent):
+        import pyarrow as pa
+
+        def dealt(rows, *by):
+            rows = sorted(rows, key=lambda r: [r[k] for k in by])
+            return iter([pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())]))])
+
+        homes = [r for b in suffix_dedup._sort_buckets(self.n)(dealt(sent, "kind", "bucket")) for r in b.to_pylist()]
+        notes = [r for b in suffix_dedup._gather(dealt(homes, "bucket")) for r in b.to_pylist()]
+        assert len({(r["_doc"], r["_mark"], r["digest"]) for r in notes}) == len(notes)
+        return {(r["_doc"], r["_mark"]): r for r in notes}
+
+    def phrases(self):
+        return self.sent(suffix_dedup._parse(self.n, (suffix_dedup.PHRASES,)), self.rows)
+
+    def anchors(self, first):
+        rows = [(d, f, t, first.get((d, f), {}).get("spans")) for d, f, t in self.rows]
+        return self.sent(suffix_dedup._parse(self.n, (suffix_dedup.ANCHORS,)), rows)
+
+    def pieces(self, first, second):
+        rows = [(d, f, t, first.get((d, f), {}).get("spans"), second[d, f]["anchors"]) for d, f, t in self.rows if (d, f) in second]
+        return self.sent(suffix_dedup._suffixes(self.n), rows)
+
+    def all(self):
+        """What is sent by each step, and the results."""
+        out = [self.phrases()]
+        first = self.solved(out[0])
+        out.append(self.anchors(first))
+        second = self.solved(out[1])
+        out.append(self.pieces(first, second))
+        third = self.solved(out[2])
+        final = [(d, t, *(k.get((d, f), {}).get("spans") for k in (first, third))) for d, f, t in self.rows]
+        left = self.sent(suffix_dedup._remove, final)
+        results = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in left]
+        return out, second, sorted(results, key=str)
+
+
+def test_equal_rows_have_one_number():
+    """Many rows without id and text, or equal otherwise, leave no others without a number."""
+    rows = np.zeros(1001, np.dtype([*suffix_dedup._ROW, ("at", "<u8")]))
+    rows["tag"][1000] = 1
+    first = suffix_dedup._first_rows(rows)[0]
+    numbers, names = suffix_dedup._numbered(rows, first, 0, 1)
+    assert first.sum() == 2 and numbers[1000] == 1 and len(names) == 1
+
+
+def _bytes(sent):
+    return sum(int.from_bytes(r["data"][:8], "little") for r in sent)
+
+
+def _alike(words, n):
+    """Texts that have passages of each other."""
+    rng = random.Random(n)
+    base = [" ".join(words(700 + i, 250)) for i in range(n)]
+    return [(i, i % 7, t[:900] + rng.choice(base)[300:700] + " ".join(words(rng.random(), 9))) for i, t in enumerate(base)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 90])
+def test_repeats_of_many_chunks(words, monkeypatch, n):
+    """Rows are known by their number in what a task sends at a time, by whatever bucket finds them."""
+    import functools
+
+    monkeypatch.setattr(suffix_dedup, "_parts", functools.partial(suffix_dedup._parts, limit=4000))
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 8000)
+    monkeypatch.setattr(suffix_dedup, "PIECES", 50)
+    rows = [(d - 20, f, t) for d, f, t in _alike(words, 40)]
+    assert Steps(rows, n).all()[2] == repeats_by_hand([(d, t.encode()) for d, _, t in rows])
+
+
+def test_what_is_sent_does_not_grow_with_the_buckets(words):
+    """Records that go to more buckets take no more bytes: names of rows don't go with them."""
+    rows = _alike(words, 300)
+    few, many = (Steps(rows, n).all()[0] for n in (2, 60))
+    for a, b in zip(few, many):
+        assert _bytes(b) < 1.1 * _bytes(a)
+
+
+def test_phrases_of_many_documents_share_no_anchors(words):
+    """Only where a text differs from the one it repeats are suffixes sorted."""
+    text = " ".join(words(5, 4000))
+    rows = [(i, 0, text if i % 2 else text + " ".join(words(i, 30))) for i in range(8)]
+    sent, second, results = Steps(rows, 3).all()
+    assert results == repeats_by_hand([(d, t.encode()) for d, _, t in rows])
+    assert max(len(r["anchors"]) for r in second.values()) // 4 < len(text) // 12 // 4
+
+
 def test_repeats_of_one_id(documents, words, spark):
     """Texts under one id, or none, keep what others of that id lose, whatever their hashes have in common."""
     rng = random.Random(31)
