@@ -30,7 +30,9 @@ Strings count as equal when their bytes do: phrases by 128 bits, the rest by a c
 Defined results: null counts as empty; texts under 50 bytes keep everything, and an empty table has
 no rows. Rows with a null doc_id come after all others. Rows that share a doc_id (or have none) don't
 repeat each other; each is known by its id, 128 bits of its text and its file in a copy of the texts
-that is written first, so that what one loses is not taken from another. Columns other than doc_id and text are not read.
+that is written first, so that what one loses is not taken from another. Of rows in several files that
+share both id and text, the first file's alone has its anchors and suffixes sorted, and its home gives the
+others what was found. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -78,7 +80,9 @@ _ANCHOR_COLUMNS = ("<u4", "<u4")
 _PIECE_COLUMNS = ("u1", "<u8", "<u4", "<u4")
 _FOUND_COLUMNS = ("<u8", "<u4", "<u4", "<u4")
 _ROWS = "kind int, bucket int, data binary"
-_NOTES = ["_doc", "_mark", "digest", "spans", "anchors"]
+_NOTES = ["_doc", "_mark", "digest", "spans", "anchors", "copy"]
+#: All starts of a text.
+_WHOLE_TEXT = struct.pack("<2I", 0, (1 << 32) - 1)
 ENTRIES, PHRASES, ANCHORS, TEXTS = range(4)
 #: What goes to homes under ENTRIES, by its first byte: whole entries, names of a chunk's rows, entries by chunk and number.
 _WHOLE, _NAMES, _FOUND = b"w", b"n", b"f"
@@ -618,16 +622,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
             if held and bucket != last:
-                yield from _by_document(_named(held))
+                yield from _by_document(*_named(held))
                 held = []
             last = bucket
             held.append(_unpacked(data))
     if held:
-        yield from _by_document(_named(held))
+        yield from _by_document(*_named(held))
 
 
-def _named(blobs: list[bytes]) -> np.ndarray:
-    """Entries of a home: those that came whole, and what the sorts found of the rows that its names number."""
+def _named(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a home, those that came whole and what the sorts found of the rows that its names number; the names."""
     kinds: dict[bytes, list[bytes]] = {_WHOLE: [], _NAMES: [], _FOUND: []}
     for blob in blobs:
         kinds[blob[:1]].append(blob[1:])
@@ -638,24 +642,33 @@ def _named(blobs: list[bytes]) -> np.ndarray:
     for blob in kinds[_FOUND]:
         _, (steps, nth, a, b), _ = _read_columns(blob, _FOUND_COLUMNS)
         parts.append(_as_entries(rows, begins[np.searchsorted(known, np.cumsum(steps, dtype="<u8"))] + nth, a, b))
-    return np.concatenate(parts)
+    return np.concatenate(parts), rows
 
 
-def _by_document(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(found):
-        return
-    found = found[np.lexsort((found["a"], found["file"], found["twin"], found["tag"], found["doc"]))]
+def _by_document(found: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each file that has a text under an id, with all that was found of that text; those after the first file's are copies."""
+    # Names go last in a text's entries, as starts past all others.
+    listed = _as_entries(names, np.arange(len(names)), 0, _TOLD)
+    found = np.concatenate([found, listed])
+    found = found[np.lexsort((found["a"], found["b"] == _TOLD, found["twin"], found["tag"], found["doc"]))]
     apart = np.zeros(max(len(found) - 1, 0), bool)
-    for name, _ in _ROW:
+    for name in ("doc", "tag", "twin"):
         apart |= found[name][1:] != found[name][:-1]
-    cuts = np.flatnonzero(np.r_[True, apart])
+    cuts = np.flatnonzero(np.r_[True, apart]) if len(found) else np.zeros(0, np.int64)
+    ends = np.r_[cuts[1:], len(found)]
+    # Of most texts there is one name and nothing else.
+    several = ends - cuts > 1
     rows = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)]):
+    for a, b in zip(cuts[several].tolist(), ends[several].tolist()):
         part = found[a:b]
+        files, part = np.unique(part["file"]).tolist(), part[part["b"] != _TOLD]
+        if not len(part) and len(files) == 1:
+            continue
         spans, anchors = part[part["b"] > 0], part[part["b"] == 0]
-        digest = struct.pack("<2Q", int(part["tag"][0]), int(part["twin"][0]))
-        rows.append((int(part["doc"][0]), int(part["file"][0]), digest, _merged(spans), np.unique(anchors["a"]).tobytes()))
-        if len(rows) == 4096:
+        doc, digest = int(found["doc"][a]), struct.pack("<2Q", int(found["tag"][a]), int(found["twin"][a]))
+        notes = (_merged(spans), np.unique(anchors["a"]).tobytes())
+        rows += [(doc, file, digest, *notes, file != files[0]) for file in files]
+        if len(rows) >= 4096:
             yield _gathered(rows)
             rows = []
     if rows:
@@ -674,7 +687,7 @@ def _merged(spans: np.ndarray) -> bytes:
 
 
 def _gathered(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=_NOTES)
 
 
@@ -683,7 +696,7 @@ def _solved(sent: DataFrame, n: int) -> DataFrame:
     dealt = sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
     entries = by_batches(dealt, _sort_buckets(n), _ROWS)
     home = entries.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return by_batches(home, _gather, "_doc bigint, _mark bigint, digest binary, spans binary, anchors binary")
+    return by_batches(home, _gather, "_doc bigint, _mark bigint, digest binary, spans binary, anchors binary, copy boolean")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -718,15 +731,15 @@ def _noted(found: DataFrame, label: str) -> str:
     return path
 
 
-def _notes(path: str, number: int) -> dict[tuple[int, bytes], tuple[bytes, bytes]]:
-    """Spans and anchors of the rows of one file, by document and digest of the text."""
+def _notes(path: str, number: int) -> dict[tuple[int, bytes], tuple[bytes, bytes, bool]]:
+    """Spans and anchors, and whether it is a copy, of the rows of one file, by document and digest of the text."""
     system, place = fs.FileSystem.from_uri(path)
     folder = f"{place}/_mark={number}"
     if system.get_file_info(folder).type == fs.FileType.NotFound:
         return {}
     table = dataset.dataset(folder, filesystem=system, format="parquet").to_table()
-    doc, digest, spans, anchors = (table[c].to_pylist() for c in ("_doc", "digest", "spans", "anchors"))
-    return dict(zip(zip(doc, digest), zip(spans, anchors)))
+    doc, digest, *notes = (table[c].to_pylist() for c in ("_doc", "digest", "spans", "anchors", "copy"))
+    return dict(zip(zip(doc, digest), zip(*notes)))
 
 
 def _beside(paths: list[str], take, step):
@@ -741,7 +754,7 @@ def _beside(paths: list[str], take, step):
                     if number != known:
                         known, notes = number, [_notes(p, number) for p in paths]
                     key = (doc, _digest(text.encode()))
-                    found.append([n.get(key, (None, None)) for n in notes])
+                    found.append([n.get(key, (None, None, None)) for n in notes])
                 yield take(batch, found)
 
         yield from step(told())
@@ -749,16 +762,21 @@ def _beside(paths: list[str], take, step):
     return run
 
 
+def _closed(spans: bytes | None, anchors: bytes | None, copy: bool | None) -> bytes | None:
+    """The starts not to be sorted: those that repeat; in a copy all."""
+    return _WHOLE_TEXT if copy else spans
+
+
 def _with_phrases(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
     """The rows with their repeated phrases."""
     columns = [batch.column(c) for c in ("_doc", "_mark", "text")]
-    return pa.record_batch([*columns, pa.array([f[0][0] for f in found], pa.binary())], names=["_doc", "_mark", "text", "spans"])
+    return pa.record_batch([*columns, pa.array([_closed(*f[0]) for f in found], pa.binary())], names=["_doc", "_mark", "text", "spans"])
 
 
 def _with_anchors(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
     """The rows that have shared anchors, with their repeated phrases."""
-    chosen = [i for i, (_, (_, anchors)) in enumerate(found) if anchors]
-    notes = [pa.array([found[i][k][k] for i in chosen], pa.binary()) for k in (0, 1)]
+    chosen = [i for i, (_, (_, anchors, _)) in enumerate(found) if anchors]
+    notes = [pa.array([_closed(*found[i][0]) for i in chosen], pa.binary()), pa.array([found[i][1][1] for i in chosen], pa.binary())]
     columns = [batch.column(c).take(pa.array(chosen, pa.int64())) for c in ("_doc", "_mark", "text")]
     return pa.record_batch([*columns, *notes], names=["_doc", "_mark", "text", "spans", "anchors"])
 

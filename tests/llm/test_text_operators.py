@@ -349,15 +349,18 @@ class Steps:
         assert len({(r["_doc"], r["_mark"], r["digest"]) for r in notes}) == len(notes)
         return {(r["_doc"], r["_mark"]): r for r in notes}
 
+    def closed(self, notes, doc, file):
+        return suffix_dedup._closed(*((notes[doc, file][k] for k in ("spans", "anchors", "copy")) if (doc, file) in notes else (None,) * 3))
+
     def phrases(self):
         return self.sent(suffix_dedup._parse(self.n, (suffix_dedup.PHRASES,)), self.rows)
 
     def anchors(self, first):
-        rows = [(d, f, t, first.get((d, f), {}).get("spans")) for d, f, t in self.rows]
+        rows = [(d, f, t, self.closed(first, d, f)) for d, f, t in self.rows]
         return self.sent(suffix_dedup._parse(self.n, (suffix_dedup.ANCHORS,)), rows)
 
     def pieces(self, first, second):
-        rows = [(d, f, t, first.get((d, f), {}).get("spans"), second[d, f]["anchors"]) for d, f, t in self.rows if (d, f) in second]
+        rows = [(d, f, t, self.closed(first, d, f), second[d, f]["anchors"]) for d, f, t in self.rows if (d, f) in second]
         return self.sent(suffix_dedup._suffixes(self.n), rows)
 
     def all(self):
@@ -414,6 +417,22 @@ def test_what_is_sent_does_not_grow_with_the_buckets(words):
         assert _bytes(b) < 1.1 * _bytes(a)
 
 
+def test_rows_repeated_with_their_ids_are_sorted_once(words, monkeypatch):
+    """Where all rows stand in a second file too, no more anchors are shared, and no more pieces sent."""
+    import functools
+
+    monkeypatch.setattr(suffix_dedup, "_parts", functools.partial(suffix_dedup._parts, limit=4000))
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 8000)
+    rows = _alike(words, 40)
+    twice = rows + [(d, f + 7, t) for d, f, t in rows]
+    (_, _, once), second, _ = Steps(rows, 5).all()
+    (_, _, again), copied, results = Steps(twice, 5).all()
+    assert results == repeats_by_hand([(d, t.encode()) for d, _, t in twice])
+    assert {k: r["anchors"] for k, r in copied.items() if k in second} == {k: r["anchors"] for k, r in second.items()}
+    texts = [sum(int.from_bytes(r["data"][:8], "little") for r in sent if r["kind"] == suffix_dedup.TEXTS) for sent in (once, again)]
+    assert texts[0] == texts[1] > 0
+
+
 def test_phrases_of_many_documents_share_no_anchors(words):
     """Only where a text differs from the one it repeats are suffixes sorted."""
     text = " ".join(words(5, 4000))
